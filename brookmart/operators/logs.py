@@ -14,7 +14,7 @@ def parse_log(df: DataFrame, value: str = "value") -> DataFrame:
     keep = [c for c in df.columns if c != value]
     return (
         df.filter(is_json_object(F.col(value)))
-        .select(*keep, F.try_variant_get(F.try_parse_json(value), "$", LOG_TYPE).alias("_log"))
+        .select(*keep, F.from_json(F.col(value), LOG_TYPE).alias("_log"))
         .select(*keep, "_log.*")
     )
 
