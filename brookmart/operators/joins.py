@@ -29,6 +29,53 @@ def dim_lookup(
     return joined.select(*kept, *[F.col(f"_dim_{out}").alias(out) for out in columns])
 
 
+def hot_keys(df: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and the number of salts to spread each over.
+
+    One pass over the key column, counted before the exchange. There are at most
+    ``rows / hot_rows`` such keys, so they are fetched and returned as a relation
+    to broadcast; None when there are none.
+    """
+    salts = F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias("_salts")
+    hot = df.groupBy(F.col(key).alias("_hot_key")).agg(salts).filter(
+        (F.col("_salts") > 1) & F.col("_hot_key").isNotNull()
+    )
+    rows = hot.collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema)) if rows else None
+
+
+def left_join_hot_right(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: DataFrame | None
+) -> DataFrame:
+    """Left outer equi-join that stays parallel when one key fills the right side.
+
+    The adaptive planner can split a hot partition of the preserved side only.
+    Here the right rows of a hot key (see :func:`hot_keys`) are spread over its
+    salts and its left rows are copied to each salt. A hot key has matches, so a
+    copy without one is dropped and the result is exactly the outer join.
+    """
+    if hot is None:
+        return left.join(right, F.col(left_key) == F.col(right_key), "left")
+    salts = F.coalesce("_salts", F.lit(1))
+    lhs = (
+        left.join(hot, F.col(left_key) == F.col("_hot_key"), "left")
+        .withColumn("_left_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .withColumn("_is_hot", F.col("_hot_key").isNotNull())
+        .drop("_hot_key", "_salts")
+    )
+    rhs = (
+        right.join(hot, F.col(right_key) == F.col("_hot_key"), "left")
+        .withColumn("_right_salt", F.pmod(F.xxhash64(*right.columns), salts).cast("int"))
+        .drop("_hot_key", "_salts")
+    )
+    matched = (F.col(left_key) == F.col(right_key)) & (F.col("_left_salt") == F.col("_right_salt"))
+    return (
+        lhs.join(rhs, matched, "left")
+        .filter(~F.col("_is_hot") | F.col("_right_salt").isNotNull())
+        .drop("_left_salt", "_right_salt", "_is_hot")
+    )
+
+
 def id_join(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
     """Inner equi-join on one key; streams must use :func:`interval_join`, which bounds state."""
     if left.isStreaming and right.isStreaming:

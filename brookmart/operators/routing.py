@@ -28,13 +28,26 @@ def current_config(config_log: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def route(ods: DataFrame, config: DataFrame) -> DataFrame:
+def bounded_routes(config: DataFrame, max_routes: int = 10_000) -> DataFrame:
+    """The routes as a broadcast relation while there are at most ``max_routes``.
+
+    Read once, with a limit, so neither the driver nor the broadcast can grow
+    with the log. More routes than that stay a distributed relation.
+    """
+    rows = config.limit(max_routes + 1).collect()
+    if len(rows) > max_routes:
+        return config
+    return F.broadcast(config.sparkSession.createDataFrame(rows, config.schema))
+
+
+def route(ods: DataFrame, config: DataFrame, max_routes: int = 10_000) -> DataFrame:
     """Attach the sink of each change; rows of unknown tables and deletes are dropped.
 
-    The join carries no hint: routes are one row per source table, and the size
-    threshold (static or adaptive) turns it into a broadcast hash join.
+    Joining on the few table names by shuffle would put each business table into
+    one partition; see :func:`bounded_routes`. Beyond the bound the adaptive
+    planner splits the hot tables.
     """
-    routes = config.select("source_table", "sink_table", "sink_columns", "sink_pk")
+    routes = bounded_routes(config.select("source_table", "sink_table", "sink_columns", "sink_pk"), max_routes)
     return (
         ods.filter(F.col("type") != "delete")
         .join(routes, F.col("table") == F.col("source_table"))
