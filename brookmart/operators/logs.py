@@ -127,6 +127,57 @@ def action_rows(
     return items.withColumn("value", _with_entries(F.col("_item"), ("common", "page_id"), entries)).drop("_item")
 
 
+# Detail topics of the log job.
+TOPICS = {
+    "page": "dwd_page_log",
+    "error": "dwd_error_log",
+    "display": "dwd_display_log",
+    "action": "dwd_action_log",
+    "start": "dwd_start_log",
+}
+
+
+def fan_out(log: DataFrame) -> DataFrame:
+    """All five detail streams of repaired records as ``(id, topic, value)`` in one pass.
+
+    A sink that takes a topic per row, or folders by topic, writes them without
+    reading or caching the input five times.
+    """
+    # Serialised once per record; the messages below only refer to the text.
+    texts = log.withColumns({
+        "_record": F.to_json(F.struct("common", "page", "actions", "displays", "start", "err", "ts")),
+        "_common": F.to_json("common"),
+        "_is_start": is_start(),
+        "_is_error": is_error(),
+    })
+    page_id = _as_variant(F.col("page.page_id"))
+    nothing = F.array().cast("array<struct<topic:string,value:string>>")
+
+    def message(topic: str | Column, value: Column) -> Column:
+        return F.struct((F.lit(topic) if isinstance(topic, str) else topic).alias("topic"), value.alias("value"))
+
+    def when_page(items: Column) -> Column:
+        return F.coalesce(F.when(~F.col("_is_start"), items), nothing)
+
+    def display(item: Column) -> Column:
+        entries = {"ts": _as_variant(F.col("ts")), "page_id": page_id}
+        return message(TOPICS["display"], _with_entries(item, ("ts", "page_id"), entries))
+
+    def action(item: Column) -> Column:
+        entries = {"common": _as_variant(F.col("_common")), "page_id": page_id}
+        return message(TOPICS["action"], _with_entries(item, ("common", "page_id"), entries))
+
+    main_topic = F.when(F.col("_is_start"), TOPICS["start"]).otherwise(TOPICS["page"])
+    record = F.col("_record")
+    messages = F.concat(
+        F.array(message(main_topic, record)),
+        F.when(F.col("_is_error"), F.array(message(TOPICS["error"], record))).otherwise(nothing),
+        when_page(F.transform("displays", display)),
+        when_page(F.transform("actions", action)),
+    )
+    return texts.select("id", F.explode(messages).alias("_m")).select("id", "_m.*")
+
+
 def log_json(log: DataFrame) -> DataFrame:
     """Serialise records for a text sink."""
     members = [c for c in ("common", "page", "actions", "displays", "start", "err", "ts") if c in log.columns]

@@ -128,6 +128,11 @@ def log_action(s: Standins) -> DataFrame:
     )
 
 
+@query
+def log_fan_out(s: Standins) -> DataFrame:
+    return logs.fan_out(_repaired(s)).groupBy("id", "topic").agg(F.count("value").alias("n"))
+
+
 @query
 def epoch_to_ts(s: Standins) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))

@@ -95,6 +95,16 @@ LOG_SQL = {
                  FROM repaired WHERE NOT has_start)""",
         **_LOG,
     ),
+    "log_fan_out": with_(
+        """SELECT id, 'dwd_error_log' AS topic, CAST(1 AS BIGINT) AS n FROM repaired WHERE has_err
+           UNION ALL SELECT id, 'dwd_start_log', 1 FROM repaired WHERE has_start
+           UNION ALL SELECT id, 'dwd_page_log', 1 FROM repaired WHERE NOT has_start
+           UNION ALL SELECT id, 'dwd_display_log', json_array_length(value, '$.displays') FROM repaired
+                     WHERE NOT has_start AND json_array_length(value, '$.displays') > 0
+           UNION ALL SELECT id, 'dwd_action_log', json_array_length(value, '$.actions') FROM repaired
+                     WHERE NOT has_start AND json_array_length(value, '$.actions') > 0""",
+        **_LOG,
+    ),
     "epoch_to_ts": """
         SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS rt,
                strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g') AS rt_ms,
