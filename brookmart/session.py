@@ -42,14 +42,19 @@ def pin_session(spark: SparkSession, zone: str = "UTC") -> SparkSession:
     return spark
 
 
+_local_roots: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) is a local folder made and remembered.
+    (tests on one machine) is a local folder made, one per application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="brookmart-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="brookmart-")
+    return _local_roots[app]
