@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brookmart.operators.latest import latest_per_key
 from brookmart.schemas import ODS_TYPE
@@ -14,14 +15,30 @@ from brookmart.schemas import ODS_TYPE
 BOOTSTRAP_MARKERS = ("bootstrap-start", "bootstrap-complete")
 
 
-def is_json_object(value: Column) -> Column:
-    """True for text that is one well-formed JSON object, false for anything else.
+def parsed_object(value: Column) -> Column:
+    """Text of one well-formed JSON object as a variant, null for anything else.
 
     Only text framed by braces reaches the parser, so scalars, arrays and
-    trailing text fail; ``value`` is evaluated once.
+    trailing text are out.
+    """
+    bare = F.btrim(value, F.lit(" \t\r\n"))
+    return F.try_parse_json(F.when(bare.startswith("{") & bare.endswith("}"), value))
+
+
+def is_json_object(value: Column) -> Column:
+    return parsed_object(value).isNotNull()
+
+
+def well_formed(df: DataFrame, value: str = "value", name: str = "_json") -> DataFrame:
+    """Rows whose text is one JSON object, with ``value`` replaced by the parsed variant.
+
+    The parse sits in a one-element array that is exploded: the test for null
+    then stays above it, so a record is parsed once and not once more for the
+    filter.
     """
-    framed = F.regexp_extract(value, r"(?s)^\s*(\{.*\})\s*$", 1)
-    return F.try_parse_json(framed).isNotNull()
+    keep = [c for c in df.columns if c != value]
+    exploded = df.select(*keep, F.explode(F.array(parsed_object(F.col(value)))).alias(name))
+    return exploded.filter(F.col(name).isNotNull())
 
 
 def drop_tombstones(df: DataFrame, value: str = "value") -> DataFrame:
@@ -32,11 +49,16 @@ def drop_tombstones(df: DataFrame, value: str = "value") -> DataFrame:
 def parse_changes(df: DataFrame, value: str = "value") -> DataFrame:
     """Well-formed change rows with their fields as columns; other columns are kept."""
     keep = [c for c in df.columns if c != value]
-    return (
-        df.filter(is_json_object(F.col(value)))
-        .select(*keep, F.from_json(F.col(value), ODS_TYPE).alias("_c"))
-        .select(*keep, "_c.*")
-    )
+    return well_formed(df, value).select(*keep, *members("_json", ODS_TYPE))
+
+
+def members(variant: str, struct_type: str) -> list[Column]:
+    """One column per member of a struct type; members nobody selects are not extracted."""
+    fields = T._parse_datatype_string(struct_type).fields
+    return [
+        F.try_variant_get(variant, f"$.{field.name}", field.dataType.simpleString()).alias(field.name)
+        for field in fields
+    ]
 
 
 def dirty_changes(df: DataFrame, value: str = "value") -> DataFrame:

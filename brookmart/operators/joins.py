@@ -29,17 +29,25 @@ def dim_lookup(
     return joined.select(*kept, *[F.col(f"_dim_{out}").alias(out) for out in columns])
 
 
+# Rows of a hot key that a detection pass should see; more are not needed to spot it.
+_WITNESSES = 1000
+
+
 def hot_keys(df: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and the number of salts to spread each over.
+    """Keys with more than about ``hot_rows`` rows and the number of salts to spread each over.
 
-    One pass over the key column, counted before the exchange. There are at most
-    ``rows / hot_rows`` such keys, so they are fetched and returned as a relation
-    to broadcast; None when there are none.
+    Reads the key column and counts a fraction of it, so almost nothing is
+    shuffled even when keys are unique. Counting a fraction cannot change a
+    result: :func:`left_join_hot_right` only relies on listed keys to exist.
+    There are at most ``rows / hot_rows`` of them, so they are fetched and
+    returned as a relation to broadcast; None when there are none.
     """
-    salts = F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias("_salts")
-    hot = df.groupBy(F.col(key).alias("_hot_key")).agg(salts).filter(
-        (F.col("_salts") > 1) & F.col("_hot_key").isNotNull()
-    )
+    fraction = min(1.0, _WITNESSES / hot_rows)
+    seen = df.select(F.col(key).alias("_hot_key")).filter(F.col("_hot_key").isNotNull())
+    if fraction < 1.0:
+        seen = seen.sample(False, fraction, seed=17)
+    salts = F.ceil(F.count(F.lit(1)) / F.lit(hot_rows * fraction)).cast("int").alias("_salts")
+    hot = seen.groupBy("_hot_key").agg(salts).filter(F.col("_salts") > 1)
     rows = hot.collect()
     return F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema)) if rows else None
 

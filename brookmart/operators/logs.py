@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmart.operators.changelog import is_json_object
+from brookmart.operators.changelog import is_json_object, members, well_formed
 from brookmart.schemas import LOG_TYPE
 
 
 def parse_log(df: DataFrame, value: str = "value") -> DataFrame:
     """Well-formed records with the members of the log as columns."""
     keep = [c for c in df.columns if c != value]
-    return (
-        df.filter(is_json_object(F.col(value)))
-        .select(*keep, F.from_json(F.col(value), LOG_TYPE).alias("_log"))
-        .select(*keep, "_log.*")
-    )
+    return well_formed(df, value).select(*keep, *members("_json", LOG_TYPE))
 
 
 def dirty_log(df: DataFrame, value: str = "value") -> DataFrame:
