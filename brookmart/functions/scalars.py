@@ -30,6 +30,11 @@ def epoch_ms_to_ts(ms: Column) -> Column:
     return F.timestamp_millis(ms)
 
 
+def processing_ms() -> Column:
+    """Wall-clock time of the run (of the micro-batch on a stream) in whole seconds, as milliseconds."""
+    return F.unix_timestamp() * 1000
+
+
 def text_to_ts(text: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` text to a timestamp, null when it does not parse."""
     return F.try_to_timestamp(text, F.lit(TEXT_TIME))

@@ -18,6 +18,8 @@ from brookmart.plans import reports
 from brookmart.session import pin_session
 from brookmart.sources.readers import renamed_dimension
 from brookmart.sources.standins import DATABASE, Standins
+from brookmart.streaming import replay, stateful
+from brookmart.streaming.watermark import with_event_time
 
 VISIT_DAY = 20240115
 KEYWORD_DAY = 20240101
@@ -550,3 +552,52 @@ def report_uv_rows(s: Standins) -> DataFrame:
 @query
 def report_keyword(s: Standins) -> DataFrame:
     return reports.top_keywords(_keyword_counts(s), KEYWORD_DAY)
+
+
+# --- streaming forms, run to the end of the feed ---------------------------------
+
+
+@query
+def stream_page_view_stats(s: Standins) -> DataFrame:
+    pages = with_event_time(s.page_stream(), F.col("event_ts"))
+    keys = ["stt", "page_id", *windows.VISITOR_KEYS]
+    folder = replay.new_folder(s.spark, "page_view_stats")
+    return replay.update_to_end(windows.page_view_stats(pages), keys, folder)
+
+
+@query
+def stream_new_visitor_repair(s: Standins) -> DataFrame:
+    pages = s.page_stream().select("id", "mid", "is_new", F.unix_micros("event_ts").alias("ts"))
+    fixed = stateful.repair_new_flag_stream(pages).select("id", "mid", "is_new")
+    return replay.append_to_end(fixed, replay.new_folder(s.spark, "new_visitor_repair"))
+
+
+@query
+def stream_first_visit_per_day(s: Standins) -> DataFrame:
+    pages = with_event_time(s.page_stream().select("id", "mid", "ts", "last_page_id", "event_ts"), F.col("event_ts"))
+    first = stateful.first_visit_stream(pages)
+    rows = replay.append_to_end(first, replay.new_folder(s.spark, "first_visit"))
+    return rows.select("id", "mid", scalars.day_text(F.col("event_ts")).alias("day"))
+
+
+@query
+def stream_bounces(s: Standins) -> DataFrame:
+    folder = replay.new_folder(s.spark, "bounces")
+    far = F.lit("2100-01-01 00:00:00").cast("timestamp")
+    pages = s.page_stream().select("id", "mid", "ts", "last_page_id", "event_ts")
+    closed = replay.end_of_feed(pages, folder, event_ts=far, ts=F.unix_millis(far), last_page_id="end", id=-1, mid="end")
+    bounced = stateful.bounce_stream(with_event_time(closed, F.col("event_ts")), BOUNCE_WITHIN)
+    return replay.append_to_end(bounced.select("id", "mid", "outcome"), folder)
+
+
+@query
+def stream_interval_join(s: Standins) -> DataFrame:
+    def side(name: str) -> DataFrame:
+        rows = s.page_stream().select("mid", F.col("id").alias(f"{name}_id"), F.col("event_ts").alias(f"{name}_ts"))
+        return rows.withWatermark(f"{name}_ts", "2 seconds")
+
+    pairs = joins.interval_join(side("left"), side("right"), "mid", "left_ts", "right_ts", JOIN_RANGE, JOIN_RANGE)
+    rows = replay.append_to_end(
+        pairs.select("mid", "left_id", "right_id"), replay.new_folder(s.spark, "interval_join")
+    )
+    return rows

@@ -562,5 +562,15 @@ REPORT_SQL = {
 }
 
 
+# The streaming forms give the rows of the batch forms.
+STREAM_SQL = {
+    "stream_page_view_stats": VISIT_SQL["page_view_stats"],
+    "stream_new_visitor_repair": LOG_SQL["new_visitor_repair"],
+    "stream_first_visit_per_day": VISIT_SQL["first_visit_per_day"],
+    "stream_bounces": VISIT_SQL["bounce_union"],
+    "stream_interval_join": WIDE_SQL["interval_join"],
+}
+
+
 def all_sql() -> dict[str, str]:
-    return {**LOG_SQL, **CHANGE_SQL, **WIDE_SQL, **ORDER_SQL, **VISIT_SQL, **REPORT_SQL}
+    return {**LOG_SQL, **CHANGE_SQL, **WIDE_SQL, **ORDER_SQL, **VISIT_SQL, **REPORT_SQL, **STREAM_SQL}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookmart.operators.enrich import Dimensions
+from brookmart.streaming.replay import table_stream
 
 DATABASE = "shop"
 
@@ -316,6 +317,11 @@ class Standins:
     def page_log(self) -> DataFrame:
         return self.table("events").selectExpr(*_exprs(PAGE_LOG))
 
+    def page_stream(self) -> DataFrame:
+        """The page log as a stream of the event files, with ``ts`` in milliseconds."""
+        events = table_stream(self.spark, f"{self.sf_dir}/events.parquet")
+        return events.selectExpr(*_exprs([*PAGE_LOG, ("ts", SPARK_MS)]))
+
     def raw_log(self) -> DataFrame:
         return self.table("events").selectExpr(*_exprs(_RECORD_COLUMNS)).selectExpr(*_exprs(RAW_LOG))
 

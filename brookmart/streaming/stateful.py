@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -180,7 +179,3 @@ def bounce_stream(pages: DataFrame, within: str = "10 seconds") -> DataFrame:
         statefulProcessor=Bounces(row_type, seconds_of(within) * 1000), outputStructType=out,
         outputMode="append", timeMode="eventTime",
     )
-
-
-def utc(ms: int) -> datetime:
-    return datetime.fromtimestamp(ms / 1000, tz=timezone.utc)
