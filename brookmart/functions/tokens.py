@@ -11,11 +11,15 @@ from pyspark.sql.functions import udtf
 # A run of Han/kana/Hangul characters, or a run of other letters and digits.
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 TOKEN_PATTERN = rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"
+PLAIN_PATTERN = r"[\p{L}\p{N}]+"
+# All CJK characters lie above this code point; script tests are slow and skipped below it.
+MAYBE_CJK = r"[\x{1100}-\x{10FFFF}]"
 
 
 def words(text: Column) -> Column:
     """Array of words of a text: lower-cased letter/digit runs, CJK runs as bigrams."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+    def runs(pattern: str) -> Column:
+        return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
     def split_run(run: Column) -> Column:
         bigrams = F.transform(
@@ -23,8 +27,8 @@ def words(text: Column) -> Column:
         )
         return F.when(run.rlike(f"^[{CJK}]{{2,}}$"), bigrams).otherwise(F.array(run))
 
-    # Texts without any CJK character skip the second pass over the runs.
-    return F.when(text.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, split_run))).otherwise(runs)
+    with_cjk = F.flatten(F.transform(runs(TOKEN_PATTERN), split_run))
+    return F.when(text.rlike(MAYBE_CJK), with_cjk).otherwise(runs(PLAIN_PATTERN))
 
 
 def register_split_words(spark: SparkSession, name: str = "split_words") -> None:
