@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookmart.llm import bpe, decontamination, quality_rules, token_counts, token_files, url_filter
+from brookmart.llm import bpe, decontamination, pii, quality_rules, token_counts, token_files, url_filter
 from brookmart.llm.common import scratch, table
 
 
@@ -44,5 +44,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(spark, folder)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs).withColumnRenamed("__pii_count", "n_entities")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}

@@ -101,8 +101,8 @@ def fit(ruled: DataFrame, url: str = "url") -> DataFrame:
 
 def scored(urls: DataFrame, model: DataFrame, url: str = "url") -> DataFrame:
     """``urls`` with ``score``: log-likelihood difference per symbol, to six places."""
-    total = let(model.scalar(), lambda m: let(cells(F.col(url)), lambda c: F.aggregate(c, F.lit(0.0), lambda s, i: s + F.get(m, i)) / F.size(c)))
-    return urls.withColumn("score", F.round(total, 6))
+    total = let(F.col("__model"), lambda m: let(cells(F.col(url)), lambda c: F.aggregate(c, F.lit(0.0), lambda s, i: s + F.get(m, i)) / F.size(c)))
+    return urls.withColumn("__model", model.scalar()).withColumn("score", F.round(total, 6)).drop("__model")
 
 
 def threshold(judged: DataFrame) -> DataFrame:
