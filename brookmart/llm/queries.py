@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookmart.llm import bpe, decontamination, jaccard_join, pii, quality_rules, substring_dedup, token_counts, token_files, url_filter
+from brookmart.llm import bpe, decontamination, jaccard_join, lm_scoring, pii, quality_rules, substring_dedup, token_counts, token_files, url_filter
 from brookmart.llm.common import scratch, table
 
 
@@ -46,6 +46,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
