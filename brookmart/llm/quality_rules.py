@@ -82,8 +82,8 @@ def _repeat_words(w: Column, size: int = WINDOW) -> Column:
     return F.when(F.size(w) <= size, F.lit(0).cast("long")).when(any_twice, slow()).otherwise(F.lit(0).cast("long"))
 
 
-def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with its measures (long)."""
+def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", carried: list[Column] | None = None) -> DataFrame:
+    """One row per document with its measures (long), and ``carried`` columns as ``row``."""
     body = F.coalesce(F.col(text), F.lit(""))
 
     def without(letters: str) -> Column:
@@ -102,7 +102,7 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         _repeat_words(w).alias("repeat"),
     ))
     got = docs.select(
-        F.col(key).alias("doc_id"), of_words.alias("w"), lines.alias("l"),
+        F.struct(*carried).alias("row") if carried else F.lit(None).alias("row"), F.col(key).alias("doc_id"), of_words.alias("w"), lines.alias("l"),
         (F.length(body) - without(SPACES)).alias("word_chars"), without(SYMBOLS).alias("n_symbols"),
         without(UPPER).alias("n_upper"), without("!").alias("n_exclaim"),
     )
@@ -110,7 +110,7 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         "n_words": "w.n", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_dup_lines": "l.dup", "n_repeat_words": "w.repeat",
         "n_lines": "l.n", "n_upper": "n_upper", "n_exclaim": "n_exclaim", "n_stops": "w.stops", "n_plain": "w.plain", "n_bare": "w.bare", "n_bar_lines": "l.bars", "n_distinct": "w.distinct",
     }
-    return got.select("doc_id", *[F.col(c).cast("long").alias(n) for n, c in named.items()])
+    return got.select("row", "doc_id", *[F.col(c).cast("long").alias(n) for n, c in named.items()])
 
 
 def with_votes(measured: DataFrame) -> DataFrame:
@@ -175,7 +175,17 @@ def estimate(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: measures, ``base_failed``, ``votes``, ``quality`` and ``kept``."""
-    voted = with_votes(measures(docs, key, text))
+    return _judged(measures(docs, key, text)).drop("row")
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that pass, columns unchanged."""
+    fields = [F.col(f"`{c}`") for c in docs.columns]
+    return _judged(measures(docs, key, text, fields)).where("kept").select("row.*")
+
+
+def _judged(measured: DataFrame) -> DataFrame:
+    voted = with_votes(measured)
     # At most 3^rules rows.
     quality = F.broadcast(estimate(voted).select("votes", "quality"))
     judged = voted.join(quality, "votes")
