@@ -2,6 +2,132 @@
 
 from __future__ import annotations
 
+from brookmart.llm import quality_rules, url_filter
+
+
+def _op3() -> str:
+    q = quality_rules
+    n = len(q.RULES)
+    votes = " || ".join(f"CASE WHEN {bad} THEN '0' WHEN {good} THEN '1' ELSE '-' END" for _, good, bad in q.RULES)
+
+    def odds(p: str = "em") -> str:
+        terms = [f"ln(1 - {p}.share) - ln({p}.share)"]
+        for j in range(1, n + 1):
+            terms.append(
+                f"CASE substr(votes, {j}, 1) WHEN '1' THEN ln({p}.bad[{j}]) - ln({p}.good[{j}]) "
+                f"WHEN '0' THEN ln(1 - {p}.bad[{j}]) - ln(1 - {p}.good[{j}]) ELSE 0.0 END")
+        return " + ".join(terms)
+
+    def held(x: str) -> str:
+        return f"least(greatest({x}, {q.FLOOR}), {1 - q.FLOOR})"
+
+    def rate(j: int, start: float, mass: str) -> str:
+        ones = f"sum(CASE WHEN substr(votes, {j}, 1) = '1' THEN {mass} ELSE 0.0 END)"
+        cast = f"sum(CASE WHEN substr(votes, {j}, 1) <> '-' THEN {mass} ELSE 0.0 END)"
+        return held(f"({ones} + (sum(n) * {q.PRIOR} + 1) * {start}) / ({cast} + (sum(n) * {q.PRIOR} + 1))")
+
+    good = ", ".join(rate(j, q.START_GOOD, "n * q") for j in range(1, n + 1))
+    bad = ", ".join(rate(j, q.START_BAD, "n * (1 - q)") for j in range(1, n + 1))
+    share = held(f"(sum(n * q) + (sum(n) * {q.PRIOR} + 1) * {q.START_SHARE}) / (sum(n) + (sum(n) * {q.PRIOR} + 1))")
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM documents
+), win AS (
+  SELECT rid, p, count(*) OVER (PARTITION BY rid, w) AS c
+  FROM (SELECT rid, p, ws[p:p + {q.WINDOW - 1}] AS w FROM (SELECT rid, ws, unnest(range(1, len(ws) - {q.WINDOW - 2})) AS p FROM d))
+), rep AS (
+  SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(p, p + {q.WINDOW})) AS k FROM win WHERE c > 1) GROUP BY rid
+), m AS (
+  SELECT d.rid, doc_id, len(ws) AS n_words,
+         length(t) - length(regexp_replace(t, '[^\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaim,
+         len(list_filter(ws, lambda x: ends_with(x, '.') OR ends_with(x, '?'))) AS n_stops,
+         len(list_distinct(ws)) AS n_distinct,
+         len(list_filter(ws, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}][.,;:?!]?$'))) AS n_plain,
+         len(list_filter(ws, lambda x: NOT regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) AS n_bare,
+         len(list_filter(ls, lambda x: contains(x, '|'))) AS n_bar_lines
+  FROM d LEFT JOIN rep ON d.rid = rep.rid
+), v AS MATERIALIZED (
+  SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, {votes} AS votes FROM m
+), pat AS MATERIALIZED (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY votes),
+em AS (
+  SELECT 0 AS it, CAST({q.START_SHARE} AS DOUBLE) AS share,
+         CAST({[q.START_GOOD] * n} AS DOUBLE[]) AS good, CAST({[q.START_BAD] * n} AS DOUBLE[]) AS bad
+  UNION ALL
+  SELECT it + 1, {share}, [{good}], [{bad}]
+  FROM (SELECT em.it, pat.votes, pat.n, 1 / (1 + exp({odds()})) AS q FROM em, pat WHERE em.it < {q.ROUNDS}) GROUP BY it
+), quality AS (
+  SELECT votes, 1 / (1 + exp({odds('em')})) AS quality FROM pat, em WHERE em.it = {q.ROUNDS}
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND quality >= 0.5 AS kept, v.votes, round(quality, 4) AS quality
+FROM v JOIN quality ON v.votes = quality.votes
+"""
+
+
+def _op6() -> str:
+    u = url_filter
+    a, edge = u.ALPHABET, u.EDGE
+    ranked = sorted(u.RULES, key=lambda r: (-len(r[0]), r[0]))
+
+    def case(value) -> str:
+        arms = []
+        for text, verdict in ranked:
+            host, slash, path = text.partition("/")
+            arms.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}') THEN '{value(text, verdict)}'")
+        return "CASE " + " ".join(arms) + " END"
+
+    def log_p(k: str) -> str:
+        p0 = f"(({k}_c + 1) / ({k}_n + {a}))"
+        p1 = f"(CASE WHEN {k}_b > 0 THEN ({k}_bc + {k}_bt * {p0}) / ({k}_b + {k}_bt) ELSE {p0} END)"
+        return f"ln(CASE WHEN {k}_ab > 0 THEN ({k} + {k}_abt * {p1}) / ({k}_ab + {k}_abt) ELSE {p1} END)"
+
+    both = ("allow", "block")
+    return f"""
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), '{u.UPPER}', '{u.LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), r AS MATERIALIZED (SELECT *, {case(lambda t, v: t)} AS rule, {case(lambda t, v: v)} AS ruled FROM p),
+sym AS (
+  SELECT rid, ruled, list_concat([{edge}, {edge}], list_transform(
+           list_filter(string_split(translate(url, '{u.UPPER}', '{u.LOWER}'), ''), lambda c: c <> ''), lambda c: instr('{u.LETTERS}', c)), [{edge}]) AS s
+  FROM r
+), cell AS MATERIALIZED (
+  SELECT rid, ruled, i, (s[i] * {a} + s[i + 1]) * {a} + s[i + 2] AS cell FROM (SELECT rid, ruled, s, unnest(range(1, len(s) - 1)) AS i FROM sym)
+), cnt AS (
+  SELECT g.cell, {', '.join(f"CAST(count(CASE WHEN ruled = '{k}' THEN 1 END) AS DOUBLE) AS {k}" for k in both)}
+  FROM (SELECT unnest(range({a ** 3})) AS cell) g LEFT JOIN (SELECT * FROM cell WHERE ruled IS NOT NULL) x ON g.cell = x.cell GROUP BY g.cell
+), grid AS MATERIALIZED (SELECT cell, allow, block, cell // {a} AS ab, (cell // {a}) % {a} AS b, cell % {a} AS c FROM cnt),
+bc AS (SELECT b, c, {', '.join(f'sum({k}) AS {k}_bc' for k in both)} FROM grid GROUP BY b, c),
+one AS (SELECT c, {', '.join(f'sum({k}_bc) AS {k}_c, sum(sum({k}_bc)) OVER () AS {k}_n' for k in both)} FROM bc GROUP BY c),
+aft AS (SELECT b, {', '.join(f'sum({k}_bc) AS {k}_b, count(CASE WHEN {k}_bc > 0 THEN 1 END) AS {k}_bt' for k in both)} FROM bc GROUP BY b),
+two AS (SELECT ab, {', '.join(f'sum({k}) AS {k}_ab, count(CASE WHEN {k} > 0 THEN 1 END) AS {k}_abt' for k in both)} FROM grid GROUP BY ab),
+model AS (SELECT cell, {log_p('allow')} - {log_p('block')} AS d FROM grid JOIN bc USING (b, c) JOIN one USING (c) JOIN aft USING (b) JOIN two USING (ab)),
+score AS (SELECT rid, round(sum(d ORDER BY i) / count(*), 6) AS score FROM cell JOIN model USING (cell) GROUP BY rid),
+bins AS (
+  SELECT CAST(least(greatest(floor(score * {u.EDGES_PER_UNIT}), {-u.LARGEST * u.EDGES_PER_UNIT}), {u.LARGEST * u.EDGES_PER_UNIT}) AS BIGINT) AS bin,
+         count(CASE WHEN ruled = 'allow' THEN 1 END) AS allow, count(CASE WHEN ruled = 'block' THEN 1 END) AS block
+  FROM r JOIN score USING (rid) WHERE ruled IS NOT NULL GROUP BY 1
+), cut AS (
+  SELECT bin, round(coalesce(sum(allow) OVER below, 0) / greatest(sum(allow) OVER (), 1) + 1
+                    - coalesce(sum(block) OVER below, 0) / greatest(sum(block) OVER (), 1), 9) AS wrong,
+         sum(allow) OVER () AS allows, sum(block) OVER () AS blocks
+  FROM bins WINDOW below AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), best AS (
+  SELECT coalesce((SELECT bin / {u.EDGES_PER_UNIT}.0 FROM cut WHERE allows > 0 AND blocks > 0 ORDER BY wrong, abs(bin), bin LIMIT 1), 0.0) AS threshold
+)
+SELECT page_id, host, path, rule, score, coalesce(ruled, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict
+FROM r JOIN score USING (rid), best
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": _op3(), "op6_url_filter": _op6()}
