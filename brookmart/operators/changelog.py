@@ -18,11 +18,16 @@ BOOTSTRAP_MARKERS = ("bootstrap-start", "bootstrap-complete")
 def parsed_object(value: Column) -> Column:
     """Text of one well-formed JSON object as a variant, null for anything else.
 
-    Only text framed by braces reaches the parser, so scalars, arrays and
-    trailing text are out.
+    Only text framed by braces reaches the parser, so scalars and arrays are out. The
+    parser itself stops behind the first value; as the one element of an array, a
+    second value or other trailing text is an error or a second element. Of members
+    with the same name the last counts (a session setting).
     """
     bare = F.btrim(value, F.lit(" \t\r\n"))
-    return F.try_parse_json(F.when(bare.startswith("{") & bare.endswith("}"), value))
+    framed = F.when(bare.startswith("{") & bare.endswith("}"), F.concat(F.lit("["), value, F.lit("]")))
+    listed = F.transform(F.array(F.try_parse_json(framed)), lambda v: F.when(
+        F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))
+    return F.element_at(listed, 1)
 
 
 def is_json_object(value: Column) -> Column:
@@ -115,7 +120,25 @@ def dim_upserts(routed: DataFrame) -> DataFrame:
     return routed.filter(~F.col("type").isin(*BOOTSTRAP_MARKERS, "delete"))
 
 
-def dim_upsert_state(routed: DataFrame, order: Sequence[str], pk: str = "id") -> DataFrame:
+def keyed_upserts(routed: DataFrame) -> DataFrame:
+    """Accepted changes with their key in ``pk``, read from the column that the route names.
+
+    Take it before columns are pruned: the key need not be one of the stored columns.
+    Changes without a key are left out; see :func:`unkeyed_upserts`.
+    """
+    return _with_key(routed).filter(F.col("pk").isNotNull())
+
+
+def unkeyed_upserts(routed: DataFrame) -> DataFrame:
+    """Accepted changes whose key is null: they name no row and must not replace one another."""
+    return _with_key(routed).filter(F.col("pk").isNull())
+
+
+def _with_key(routed: DataFrame) -> DataFrame:
+    named = F.col("sink_pk") if "sink_pk" in routed.columns else F.lit("id")
+    return dim_upserts(routed).withColumn("pk", F.try_element_at("data", F.coalesce(F.nullif(named, F.lit("")), F.lit("id"))))
+
+
+def dim_upsert_state(routed: DataFrame, order: Sequence[str]) -> DataFrame:
     """Dimension contents after all upserts, one row per (sink table, key)."""
-    keyed = dim_upserts(routed).withColumn("pk", F.col("data")[pk])
-    return latest_per_key(keyed, ["sink_table", "pk"], order)
+    return latest_per_key(keyed_upserts(routed), ["sink_table", "pk"], order)

@@ -29,59 +29,19 @@ def dim_lookup(
     return joined.select(*kept, *[F.col(f"_dim_{out}").alias(out) for out in columns])
 
 
-# Rows of a hot key that a detection pass should see; more are not needed to spot it.
-_WITNESSES = 1000
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame | None:
-    """Keys with more than about ``hot_rows`` rows and the number of salts to spread each over.
-
-    Reads the key column and counts a fraction of it, so almost nothing is
-    shuffled even when keys are unique. Counting a fraction cannot change a
-    result: :func:`left_join_hot_right` only relies on listed keys to exist.
-    There are at most ``rows / hot_rows`` of them, so they are fetched and
-    returned as a relation to broadcast; None when there are none.
-    """
-    fraction = min(1.0, _WITNESSES / hot_rows)
-    seen = df.select(F.col(key).alias("_hot_key")).filter(F.col("_hot_key").isNotNull())
-    if fraction < 1.0:
-        seen = seen.sample(False, fraction, seed=17)
-    salts = F.ceil(F.count(F.lit(1)) / F.lit(hot_rows * fraction)).cast("int").alias("_salts")
-    hot = seen.groupBy("_hot_key").agg(salts).filter(F.col("_salts") > 1)
-    rows = hot.collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema)) if rows else None
-
-
-def left_join_hot_right(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: DataFrame | None
-) -> DataFrame:
+def left_join_split(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Left outer equi-join that stays parallel when one key fills the right side.
 
-    The adaptive planner can split a hot partition of the preserved side only.
-    Here the right rows of a hot key (see :func:`hot_keys`) are spread over its
-    salts and its left rows are copied to each salt. A hot key has matches, so a
-    copy without one is dropped and the result is exactly the outer join.
+    Adaptive execution splits both sides of an inner join but only the left side of an
+    outer one. So the matches come from an inner join, and the rows without a match
+    from an anti-join with the distinct right keys, one row per key and map task. Both
+    read the same exchange of the left side.
     """
-    if hot is None:
-        return left.join(right, F.col(left_key) == F.col(right_key), "left")
-    salts = F.coalesce("_salts", F.lit(1))
-    lhs = (
-        left.join(hot, F.col(left_key) == F.col("_hot_key"), "left")
-        .withColumn("_left_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .withColumn("_is_hot", F.col("_hot_key").isNotNull())
-        .drop("_hot_key", "_salts")
-    )
-    rhs = (
-        right.join(hot, F.col(right_key) == F.col("_hot_key"), "left")
-        .withColumn("_right_salt", F.pmod(F.xxhash64(*right.columns), salts).cast("int"))
-        .drop("_hot_key", "_salts")
-    )
-    matched = (F.col(left_key) == F.col(right_key)) & (F.col("_left_salt") == F.col("_right_salt"))
-    return (
-        lhs.join(rhs, matched, "left")
-        .filter(~F.col("_is_hot") | F.col("_right_salt").isNotNull())
-        .drop("_left_salt", "_right_salt", "_is_hot")
-    )
+    matched = left.join(right, F.col(left_key) == F.col(right_key))
+    keys = right.select(F.col(right_key).alias("_key")).distinct()
+    alone = left.join(keys, F.col(left_key) == F.col("_key"), "left_anti")
+    padded = alone.select(*left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
+    return matched.unionByName(padded)
 
 
 def id_join(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:

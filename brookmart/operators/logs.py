@@ -10,9 +10,15 @@ from brookmart.schemas import LOG_TYPE
 
 
 def parse_log(df: DataFrame, value: str = "value") -> DataFrame:
-    """Well-formed records with the members of the log as columns."""
+    """Well-formed records with the listed members of the log as columns.
+
+    ``record`` is the text as received and ``common_all`` the whole of ``common``:
+    messages made from a record carry every member, listed or not.
+    """
     keep = [c for c in df.columns if c != value]
-    return well_formed(df, value).select(*keep, *members("_json", LOG_TYPE))
+    parsed = well_formed(df.withColumn("record", F.col(value)), value)
+    whole = F.try_variant_get("_json", "$.common", "variant").alias("common_all")
+    return parsed.select(*keep, *members("_json", LOG_TYPE), whole, "record")
 
 
 def dirty_log(df: DataFrame, value: str = "value") -> DataFrame:
@@ -44,7 +50,22 @@ def repair_log(log: DataFrame, order: tuple[str, ...] = ("ts", "id")) -> DataFra
     columns = log.columns
     lifted = log.withColumn("_dev", F.col("common.mid")).withColumn("_new", F.col("common.is_new"))
     fixed = repair_new_flag(lifted, "_dev", "_new", order)
-    return fixed.withColumn("common", F.col("common").withField("is_new", F.col("_new"))).select(*columns)
+    return with_new_flag(fixed, F.col("_new")).select(*columns)
+
+
+def with_new_flag(log: DataFrame, is_new: Column) -> DataFrame:
+    """Put the repaired flag into ``common`` and, where it differs, into the whole record.
+
+    Records whose flag stands are forwarded as received.
+    """
+    changed = ~is_new.eqNullSafe(F.col("common.is_new"))
+    common = F.parse_json(_with_entries(F.col("common_all"), ("is_new",), {"is_new": _as_variant(is_new)}))
+    log = log.withColumns({
+        "_changed": changed, "common_all": F.when(changed, common).otherwise(F.col("common_all")),
+        "common": F.col("common").withField("is_new", is_new),
+    })
+    record = _with_entries(F.parse_json("record"), ("common",), {"common": F.col("common_all")})
+    return log.withColumn("record", F.when(F.col("_changed"), record).otherwise(F.col("record"))).drop("_changed")
 
 
 def _present(member: str) -> Column:
@@ -113,7 +134,7 @@ def action_rows(
 
     ``common`` is embedded as JSON text, or as an object on request.
     """
-    common = F.to_json("common")
+    common = F.to_json("common_all")
     items = pages.select(
         *keep, common.alias("common"), F.col("page.page_id").alias("page_id"),
         F.explode("actions").alias("_item"),
@@ -141,8 +162,8 @@ def fan_out(log: DataFrame) -> DataFrame:
     """
     # Serialised once per record; the messages below only refer to the text.
     texts = log.withColumns({
-        "_record": F.to_json(F.struct("common", "page", "actions", "displays", "start", "err", "ts")),
-        "_common": F.to_json("common"),
+        "_record": F.col("record"),
+        "_common": F.to_json("common_all"),
         "_is_start": is_start(),
         "_is_error": is_error(),
     })
@@ -174,13 +195,6 @@ def fan_out(log: DataFrame) -> DataFrame:
     return texts.select("id", F.explode(messages).alias("_m")).select("id", "_m.*")
 
 
-def log_json(log: DataFrame) -> DataFrame:
-    """Serialise records for a text sink."""
-    members = [c for c in ("common", "page", "actions", "displays", "start", "err", "ts") if c in log.columns]
-    rest = [c for c in log.columns if c not in members]
-    return log.select(*rest, F.to_json(F.struct(*members)).alias("value"))
-
-
 def flat_pages(pages: DataFrame) -> DataFrame:
     """Page records as flat columns, the input of the visit and window operators."""
     rest = [c for c in ("id",) if c in pages.columns]

@@ -28,26 +28,14 @@ def current_config(config_log: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def bounded_routes(config: DataFrame, max_routes: int = 10_000) -> DataFrame:
-    """The routes as a broadcast relation while there are at most ``max_routes``.
-
-    Read once, with a limit, so neither the driver nor the broadcast can grow
-    with the log. More routes than that stay a distributed relation.
-    """
-    rows = config.limit(max_routes + 1).collect()
-    if len(rows) > max_routes:
-        return config
-    return F.broadcast(config.sparkSession.createDataFrame(rows, config.schema))
-
-
-def route(ods: DataFrame, config: DataFrame, max_routes: int = 10_000) -> DataFrame:
+def route(ods: DataFrame, config: DataFrame) -> DataFrame:
     """Attach the sink of each change; rows of unknown tables and deletes are dropped.
 
-    Joining on the few table names by shuffle would put each business table into
-    one partition; see :func:`bounded_routes`. Beyond the bound the adaptive
-    planner splits the hot tables.
+    There is one route per table name, so the planner broadcasts the routes once their
+    measured size is below its threshold; beyond it adaptive execution splits the
+    partitions of large tables.
     """
-    routes = bounded_routes(config.select("source_table", "sink_table", "sink_columns", "sink_pk"), max_routes)
+    routes = config.select("source_table", "sink_table", "sink_columns", "sink_pk")
     return (
         ods.filter(F.col("type") != "delete")
         .join(routes, F.col("table") == F.col("source_table"))
@@ -55,21 +43,20 @@ def route(ods: DataFrame, config: DataFrame, max_routes: int = 10_000) -> DataFr
     )
 
 
+def column_list(text: str) -> list[str]:
+    """Names of a comma list; blanks around them and empty entries do not count."""
+    return [name for part in text.split(",") if (name := part.strip(" \t\r\n"))]
+
+
 def prune_columns(routed: DataFrame) -> DataFrame:
-    """Keep only the ``data`` entries listed in ``sink_columns``."""
-    listed = F.split("sink_columns", ",")
-    return routed.withColumn(
-        "data", F.map_filter("data", lambda key, _: F.array_contains(listed, key))
-    )
+    """Keep only the ``data`` entries listed in ``sink_columns``, read as by :func:`column_list`."""
+    listed = F.transform(F.split("sink_columns", ","), lambda c: F.btrim(c, F.lit(" \t\r\n")))
+    return routed.withColumn("data", F.map_filter("data", lambda key, _: F.array_contains(listed, key)))
 
 
 def sink_schema(sink_columns: str) -> T.StructType:
     """Schema of a dimension table: every configured column is text."""
-    return T.StructType([T.StructField(c.strip(), T.StringType()) for c in sink_columns.split(",")])
-
-
-def sink_key(sink_pk: str | None) -> str:
-    return sink_pk or "id"
+    return T.StructType([T.StructField(c, T.StringType()) for c in column_list(sink_columns)])
 
 
 def explode_data(routed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookmart import schemas
-from brookmart.operators.joins import hot_keys, left_join_hot_right
+from brookmart.operators.joins import left_join_split
 
 
 def detail_with_order(detail: DataFrame, info: DataFrame) -> DataFrame:
@@ -15,9 +15,7 @@ def detail_with_order(detail: DataFrame, info: DataFrame) -> DataFrame:
     return detail.join(order, F.col("order_id") == F.col("_order_id")).drop("_order_id")
 
 
-def order_wide(
-    detail: DataFrame, info: DataFrame, activity: DataFrame, coupon: DataFrame, hot_rows: int = 1_000_000
-) -> DataFrame:
+def order_wide(detail: DataFrame, info: DataFrame, activity: DataFrame, coupon: DataFrame) -> DataFrame:
     """Order line with order, activity and coupon columns; the last two are optional.
 
     The outer joins run first: they move the narrow line rows, before the order
@@ -34,24 +32,20 @@ def order_wide(
         F.col("id").alias("order_detail_coupon_id"), "coupon_id", "coupon_use_id",
         F.col("create_time").alias("order_detail_coupon_create_time"),
     )
-    act_hot, cou_hot = hot_keys(act, "_act_key", hot_rows), hot_keys(cou, "_cou_key", hot_rows)
-    lines = left_join_hot_right(detail, act, "id", "_act_key", act_hot)
-    lines = left_join_hot_right(lines, cou, "id", "_cou_key", cou_hot).withColumnRenamed("id", "order_detail_id")
+    lines = left_join_split(detail, act, "id", "_act_key")
+    lines = left_join_split(lines, cou, "id", "_cou_key").withColumnRenamed("id", "order_detail_id")
     return detail_with_order(lines, info).select(*schemas.ORDER_WIDE)
 
 
-def payment_wide(payment: DataFrame, wide: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
-    """Every payment with all lines of its order; a payment without lines stays, null-padded.
-
-    ``wide`` is read twice (once for its key column alone), so hand in a stored table.
-    """
+def payment_wide(payment: DataFrame, wide: DataFrame) -> DataFrame:
+    """Every payment with all lines of its order; a payment without lines stays, null-padded."""
     pay = payment.select(
         F.col("id").alias("payment_id"), F.col("order_id").alias("_pay_order"),
         F.col("out_trade_no").alias("_pay_trade_no"), "subject", "payment_status",
         F.col("create_time").alias("payment_create_time"), "callback_time", "callback_content",
     )
     lines = wide.drop("out_trade_no", "img_url")
-    joined = left_join_hot_right(pay, lines, "_pay_order", "order_id", hot_keys(lines, "order_id", hot_rows))
+    joined = left_join_split(pay, lines, "_pay_order", "order_id")
     return joined.withColumnRenamed("_pay_trade_no", "out_trade_no").select(*schemas.PAYMENT_WIDE)
 
 

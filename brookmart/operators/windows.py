@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,19 +74,33 @@ def keyword_stats(word_rows: DataFrame, width: str = "10 seconds", source: str =
 
 
 def order_measures(wide: DataFrame) -> DataFrame:
-    """Order-line rows as typed measures with the event time taken from ``create_time``."""
+    """Order-line rows as typed measures with the event time taken from ``create_time``.
+
+    A malformed number or time is null; see :func:`rejected_measures`.
+    """
     return wide.select(
         "order_detail_id",
-        F.col("sku_id").cast("bigint").alias("sku_id"), "sku_name",
-        F.col("order_price").cast("decimal(18,2)").alias("sku_price"),
-        F.col("user_id").cast("bigint").alias("user_id"),
-        F.col("province_id").cast("bigint").alias("province_id"),
-        F.col("sku_num").cast("bigint").alias("sku_num"),
-        F.col("split_total_amount").cast("decimal(18,2)").alias("amount"),
+        F.col("sku_id").try_cast("bigint").alias("sku_id"), "sku_name",
+        F.col("order_price").try_cast("decimal(18,2)").alias("sku_price"),
+        F.col("user_id").try_cast("bigint").alias("user_id"),
+        F.col("province_id").try_cast("bigint").alias("province_id"),
+        F.col("sku_num").try_cast("bigint").alias("sku_num"),
+        F.col("split_total_amount").try_cast("decimal(18,2)").alias("amount"),
         text_to_ts(F.col("create_time")).alias("event_ts"),
     )
 
 
+def rejected_measures(wide: DataFrame) -> DataFrame:
+    """Order lines with a number or time that :func:`order_measures` cannot read (absent ones aside)."""
+    def broken(column: str, kind: str) -> Column:
+        return F.col(column).isNotNull() & F.col(column).try_cast(kind).isNull()
+
+    whole = [broken(c, "bigint") for c in ("sku_id", "user_id", "province_id", "sku_num")]
+    money = [broken(c, "decimal(18,2)") for c in ("order_price", "split_total_amount")]
+    # A line without a time has no window either.
+    return wide.filter(reduce(or_, [*whole, *money, text_to_ts(F.col("create_time")).isNull()]))
+
+
 def user_province_sku_stats(measures: DataFrame, width: str = "10 seconds") -> DataFrame:
     """Quantity, amount and line count per user, province and sku.
 

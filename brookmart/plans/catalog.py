@@ -232,7 +232,9 @@ def _routed(s: Standins) -> DataFrame:
 
 @query
 def dim_route(s: Standins) -> DataFrame:
-    return _routed(s).select("table", "type", "sink_table", "sink_pk", F.col("data")["id"].alias("id"))
+    slim = s.ods.select("table", "type", F.col("data")["id"].alias("id"))
+    return routing.route(slim, routing.current_config(s.config_log(), ["change_ts", "seq"])).select(
+        "table", "type", "sink_table", "sink_pk", "id")
 
 
 @query
@@ -439,11 +441,7 @@ def bounce_timeout(s: Standins) -> DataFrame:
 
 @query
 def bounce_union(s: Standins) -> DataFrame:
-    pages = s.page_log()
-    both = visits.bounce_union(
-        visits.bounce_matched(pages, BOUNCE_WITHIN), visits.bounce_timeout(pages, BOUNCE_WITHIN)
-    )
-    return both.select("id", "mid", "outcome")
+    return visits.bounce_outcomes(s.page_log(), BOUNCE_WITHIN).select("id", "mid", "outcome")
 
 
 def _bounces(s: Standins, width: str = "10 seconds") -> DataFrame:

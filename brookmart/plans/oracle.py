@@ -428,7 +428,7 @@ _VISIT = {
     "bounces": _bounce_rows(WITHIN),
 }
 _KEYWORD = {
-    "keyword_log": f"SELECT p.*, d.text AS item FROM ({st.page_log_sql()}) p JOIN documents d ON p.id = d.doc_id",
+    "keyword_log": f"SELECT p.*, d.text AS item FROM ({st.page_log_sql()}) p JOIN documents d ON p.id % (SELECT greatest(count(*), 1) FROM documents) = d.doc_id",
     "search_rows": "SELECT * FROM keyword_log WHERE last_page_id = 'search' AND item IS NOT NULL",
     "keyword_stats": f"""
         SELECT keyword, count(*) AS ct, 'search' AS source, {_stt('bucket', _TEN)}, epoch_us(min(event_ts)) // 1000 AS ts

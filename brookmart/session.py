@@ -20,6 +20,7 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -39,6 +40,7 @@ def pin_session(spark: SparkSession, zone: str = "UTC") -> SparkSession:
     """Give an existing session the zone of text and day conversions, and skew splitting."""
     spark.conf.set("spark.sql.session.timeZone", zone)
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
 
@@ -48,12 +50,15 @@ _local_roots: dict[str, str] = {}
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) is a local folder made, one per application.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, one
+    machine (a local master) gets a folder per application; a cluster has no
+    folder that all executors see, so the call fails.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="brookmart-")

@@ -92,7 +92,7 @@ RAW_LOG: Pairs = [
     ("id", "id"),
     ("value",
      "CASE k WHEN 50 THEN '50' ELSE '' END"
-     " || substr(record, 1, CASE k WHEN 13 THEN 90 WHEN 77 THEN 0 WHEN 50 THEN 0 ELSE 1000000 END)"),
+     " || CASE k WHEN 13 THEN substr(record, 1, 90) WHEN 77 THEN '' WHEN 50 THEN '' ELSE record END"),
 ]
 
 # --- business tables (orders, lineitem, customer) ----------------------------
@@ -326,9 +326,11 @@ class Standins:
         return self.table("events").selectExpr(*_exprs(_RECORD_COLUMNS)).selectExpr(*_exprs(RAW_LOG))
 
     def keyword_log(self) -> DataFrame:
-        """Page log whose phrases are the document texts, whole."""
-        docs = self.table("documents").select("doc_id", F.col("text").alias("item"))
-        return self.page_log().join(docs, F.col("id") == F.col("doc_id")).drop("doc_id")
+        """Page log whose phrases are the document texts, whole; documents are dealt to events in turn."""
+        docs = self.table("documents")
+        turn = F.pmod("id", docs.agg(F.greatest(F.count("*"), F.lit(1))).scalar())
+        texts = docs.select("doc_id", F.col("text").alias("item"))
+        return self.page_log().withColumn("_doc", turn).join(texts, F.col("_doc") == F.col("doc_id")).drop("doc_id", "_doc")
 
     def business(self, name: str) -> DataFrame:
         pairs, source, condition = BUSINESS[name]
@@ -438,13 +440,13 @@ _ODS_RECORD = (
 ODS_JSON: Pairs = [
     ("id", "o_orderkey"),
     ("value",
-     f"substr({_ODS_RECORD}, 1, CASE WHEN o_totalprice > 450000 THEN 60 ELSE 1000000 END)"),
+     f"CASE WHEN o_totalprice > 450000 THEN substr({_ODS_RECORD}, 1, 60) ELSE {_ODS_RECORD} END"),
 ]
 WIDE_TOPIC: Pairs = [
     ("id", LINE_KEY),
     ("value",
-     "CASE WHEN l_returnflag <> 'R' THEN substr(" + json_object(ORDER_DETAIL)
-     + ", 1, CASE WHEN l_quantity = 50 THEN 0 WHEN l_quantity = 49 THEN 6 ELSE 1000000 END) END"),
+     "CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_quantity = 50 THEN '' WHEN l_quantity = 49 THEN substr("
+     + json_object(ORDER_DETAIL) + ", 1, 6) ELSE " + json_object(ORDER_DETAIL) + " END"),
 ]
 
 

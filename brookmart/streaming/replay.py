@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookmart.session import ROCKSDB, checkpoint_root
-from brookmart.streaming.sinks import KeyedTable
+from brookmart.streaming.sinks import VersionTable
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -49,11 +49,11 @@ def append_to_end(stream: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def update_to_end(stream: DataFrame, keys: list[str], folder: str, buckets: int = 8) -> DataFrame:
-    """Latest value per key of an update-mode stream, kept in a keyed table."""
+def update_to_end(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Latest value per key of an update-mode stream, kept in a table of versions."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    table = KeyedTable(f"{folder}/table", keys, ["_batch"], buckets)
+    table = VersionTable(f"{folder}/table", keys, ["_batch"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         table(batch.withColumn("_batch", F.lit(batch_id)), batch_id)

@@ -1,5 +1,6 @@
 """Hand-made cases for the edges of each operator."""
 
+import json
 import random
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -28,13 +29,14 @@ def test_json_object_detection(spark):
     cases = {
         '{"a":1}': True, ' {"a":{"b":[1]}}\n': True, '{}': True,
         '{"a":1': False, '': False, '12': False, 'null': False, '[{"a":1}]': False, '{"a":1} tail': False,
-        '{a:1}': False, None: False,
+        '{a:1}': False, None: False, '{"a":1}{"b":2}': False, '{"a":1},{"b":2}': False, '{"a":1} x}': False,
+        '{"a":1,"a":2}': True,
     }
     df = spark.createDataFrame([(v,) for v in cases], "value string")
     got = {r.value: r.ok for r in df.select("value", changelog.is_json_object(F.col("value")).alias("ok")).collect()}
     assert got == cases
-    assert changelog.drop_tombstones(df).count() == 3
-    assert changelog.dirty_changes(df).count() == len(cases) - 3
+    assert changelog.drop_tombstones(df).count() == 4
+    assert changelog.dirty_changes(df).count() == len(cases) - 4
     assert logs.parse_log(df).count() + logs.dirty_log(df).count() == len(cases)
 
 
@@ -70,7 +72,7 @@ def test_items_keep_their_own_types_and_fields(spark):
     shown = [r.value for r in logs.display_rows(pages).orderBy("value").collect()]
     assert shown == ['{"deep":{"x":[1,2]},"order":1,"ts":9,"page_id":"p"}', '{"order":2,"ts":9,"page_id":"p"}']
     (text,) = column(logs.action_rows(pages), "value")
-    assert text == '{"id":"a","ts":7,"common":"{\\"mid\\":\\"m\\",\\"is_new\\":\\"0\\"}","page_id":"p"}'
+    assert text == '{"id":"a","ts":7,"common":"{\\"is_new\\":\\"0\\",\\"mid\\":\\"m\\"}","page_id":"p"}'
     (nested,) = column(logs.action_rows(pages, common_as_text=False), "value")
     assert nested.startswith('{"id":"a","ts":7,"common":{') and '"mid":"m"' in nested
     topics = logs.fan_out(log).groupBy("topic").count().collect()
@@ -80,6 +82,23 @@ def test_items_keep_their_own_types_and_fields(spark):
     assert {r.value for r in logs.fan_out(log).filter("topic = 'dwd_display_log'").collect()} == set(shown)
 
 
+def test_messages_carry_the_whole_record(spark):
+    """Members nobody lists reach every message, with the repaired flag where it changed."""
+    record = ('{"common":{"mid":"m","uid":"7","is_new":"1","os":{"v":[1,2.5]}},"page":{"page_id":"p","item_type":"sku"},'
+              '"actions":[{"id":"a"}],"trace":{"k":null},"ts":%d}')
+    log = logs.repair_log(log_rows(spark, record % 1, record % 2, '{"common":{"mid":"n","is_new":"1"},"ts":3,"ts":4}'))
+    sent = {(r.id, r.topic): r.value for r in logs.fan_out(log).collect()}
+    assert sent[0, "dwd_page_log"] == record % 1  # as received
+    changed = json.loads(sent[1, "dwd_page_log"])
+    want = json.loads(record % 2)
+    want["common"]["is_new"] = "0"
+    assert changed == want
+    for i, flag in ((0, "1"), (1, "0")):
+        common = json.loads(json.loads(sent[i, "dwd_action_log"])["common"])
+        assert common == {"mid": "m", "uid": "7", "is_new": flag, "os": {"v": [1, 2.5]}}
+    assert log.filter("id = 2").first().ts == 4
+
+
 def test_new_flag_first_row_wins_even_if_old(spark):
     df = spark.createDataFrame(
         [(1, "a", "0", 1), (2, "a", "1", 2), (3, "b", "1", 5), (4, "b", "1", 5), (5, None, "1", 1)],
@@ -129,12 +148,11 @@ def test_config_routes_and_prunes(spark):
          ("other", "insert", {"id": "3"}), ("u", "bootstrap-start", {}), ("u", "update", {"id": "4", "id2": "x"})],
         "table string, type string, data map<string,string>",
     )
-    for limit in (10, 1):  # broadcast, and beyond its bound
-        routed = routing.prune_columns(routing.route(ods, live, max_routes=limit))
-        got = sorted((r.sink_table, r.type, tuple(sorted(r.data.items()))) for r in routed.collect())
-        assert got == [
-            ("dim_t", "insert", (("id", "1"),)), ("dim_u", "bootstrap-start", ()), ("dim_u", "update", (("id", "4"),)),
-        ]
+    routed = routing.prune_columns(routing.route(ods, live))
+    got = sorted((r.sink_table, r.type, tuple(sorted(r.data.items()))) for r in routed.collect())
+    assert got == [
+        ("dim_t", "insert", (("id", "1"),)), ("dim_u", "bootstrap-start", ()), ("dim_u", "update", (("id", "4"),)),
+    ]
     assert sorted(column(changelog.dim_upserts(routed), "sink_table")) == ["dim_t", "dim_u"]
 
 
@@ -142,7 +160,6 @@ def test_sink_schema():
     assert [(f.name, f.dataType.simpleString()) for f in routing.sink_schema("id,name")] == [
         ("id", "string"), ("name", "string"),
     ]
-    assert routing.sink_key(None) == routing.sink_key("") == "id" and routing.sink_key("k") == "k"
 
 
 def test_current_state_ignores_arrival_order(spark):
@@ -187,15 +204,35 @@ def test_unbounded_stream_join_is_refused(spark, tmp_path):
         joins.id_join(stream, stream)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 3, 1000])
-def test_left_join_with_hot_right_keys(spark, hot_rows):
+def test_column_list_with_blanks(spark):
+    routed = spark.createDataFrame([("id, name ,,", {"id": "1", "name": "n", "x": "y"})], "sink_columns string, data map<string,string>")
+    assert routing.prune_columns(routed).first().data == {"id": "1", "name": "n"}
+    assert routing.sink_schema("id, name ,,").names == ["id", "name"]
+
+
+def test_keys_come_from_the_configured_column(spark):
+    rows = [("t", "code", "insert", 1, {"id": "1", "code": "a"}), ("t", "code", "update", 2, {"id": "2", "code": "a"}),
+            ("t", "code", "insert", 3, {"id": "3"}), ("t", "code", "insert", 4, {"id": "4"}), ("t", "", "insert", 5, {"id": "5"})]
+    routed = spark.createDataFrame(rows, "sink_table string, sink_pk string, type string, seq int, data map<string,string>")
+    assert {(r.pk, r.seq) for r in changelog.dim_upsert_state(routed, ["seq"]).collect()} == {("a", 2), ("5", 5)}
+    assert {r.seq for r in changelog.unkeyed_upserts(routed).collect()} == {3, 4}
+
+
+def test_malformed_measures_are_set_apart(spark):
+    columns = "order_detail_id, sku_id, sku_name, order_price, user_id, province_id, sku_num, split_total_amount, create_time"
+    good = ("1", "2", "s", "1.50", "3", "4", "5", "7.50", "2024-01-01 00:00:00")
+    rows = [good, ("2", "x", *good[2:]), ("3", *good[1:7], "1,5", good[8]), ("4", *good[1:8], None)]
+    wide_rows = spark.createDataFrame(rows, ", ".join(f"{c.strip()} string" for c in columns.split(",")))
+    assert windows.order_measures(wide_rows).filter("sku_id is null or amount is null").count() == 2
+    assert {r.order_detail_id for r in windows.rejected_measures(wide_rows).collect()} == {"2", "3", "4"}
+
+
+def test_left_join_with_hot_right_keys(spark):
     left = spark.createDataFrame([(1, "hot"), (2, "hot"), (3, "cold"), (4, "none"), (5, None)], "l int, k string")
     right = spark.createDataFrame(
         [("hot", i) for i in range(40)] + [("cold", 99), ("unused", 1), (None, 7)], "rk string, r int"
     )
-    hot = joins.hot_keys(right, "rk", hot_rows)
-    assert (hot is None) == (hot_rows == 1000)
-    got = joins.left_join_hot_right(left, right, "k", "rk", hot).select("l", "k", "r").collect()
+    got = joins.left_join_split(left, right, "k", "rk").select("l", "k", "r").collect()
     plain = left.join(right, F.col("k") == F.col("rk"), "left").select("l", "k", "r").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, plain)) and len(got) == 83
 
@@ -228,11 +265,9 @@ def test_hot_order_in_wide_tables(spark):
     cou = rows(schemas.ORDER_DETAIL_COUPON, [{"id": "c", "order_detail_id": "d1"}])
     pay = rows(schemas.PAYMENT_INFO, [{"id": "p1", "order_id": "o1"}, {"id": "p3", "order_id": "o3"}])
     plain = wide.order_wide(detail, info, act, cou)
-    salted = wide.order_wide(detail, info, act, cou, hot_rows=2)
-    assert sorted(map(repr, plain.collect())) == sorted(map(repr, salted.collect()))
     assert plain.count() == 30
-    paid = [wide.payment_wide(pay, plain, hot_rows=n).collect() for n in (2, 10**6)]
-    assert sorted(map(repr, paid[0])) == sorted(map(repr, paid[1])) and len(paid[0]) == 29
+    paid = wide.payment_wide(pay, plain).collect()
+    assert len(paid) == 29 and sum(r.order_detail_id is None for r in paid) == 1
 
 
 # --- dedupe and windows -------------------------------------------------------------

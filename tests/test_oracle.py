@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from brookmart.plans.catalog import all_queries as queries
+from brookmart.plans.oracle import all_sql as oracle_sql
 from tests.oracle_check import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"

@@ -85,46 +85,56 @@ def test_aggregate_writer_column_order_and_days(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(dt" in reports.on_day(table, 20240101)._jdf.queryExecution().toString()
 
 
-def test_keyed_table_upserts_and_replay(spark, tmp_path):
-    path = str(tmp_path / "table")
-    table = sinks.KeyedTable(path, ["id"], ["seq"], buckets=4)
-
-    def batch(*rows):
-        return spark.createDataFrame(rows, "id string, seq int, v string")
-
-    table(batch(("1", 1, "a"), ("2", 1, "b"), ("1", 2, "a2")), 0)
-    table(batch(("2", 3, "b3"), ("3", 3, "c")), 1)
-    want = {("1", 2, "a2"), ("2", 3, "b3"), ("3", 3, "c")}
-    assert {tuple(r) for r in table.read(spark).select("id", "seq", "v").collect()} == want
-    table(batch(("2", 3, "b3"), ("3", 3, "c")), 1)  # replayed
-    table(batch(("2", 2, "stale")), 2)
-    assert {tuple(r) for r in table.read(spark).select("id", "seq", "v").collect()} == want
-    table(batch(), 3)
-    assert table.read(spark).count() == 3
-    # A failure between stage and swap: the stage is complete, the swap repeats.
-    table._merged(batch(("9", 9, "z"))).write.partitionBy("bucket").parquet(f"{table.stage}/batch=4")
-    table(batch(("9", 9, "z")), 4)
-    assert {r.id for r in table.read(spark).collect()} == {"1", "2", "3", "9"}
+@pytest.mark.parametrize("mode", ["dynamic", "static"])
+def test_version_table_upserts_replay_and_restart(spark, tmp_path, mode):
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    try:
+        table = sinks.VersionTable(str(tmp_path / "table"), ["id"], ["seq"], ["kind"])
+
+        def batch(*rows):
+            return spark.createDataFrame([(*r, "k") for r in rows], "id string, seq int, v string, kind string")
+
+        def held(t=table):
+            return {tuple(r) for r in t.read(spark).select("id", "seq", "v").collect()}
+
+        table(batch(("1", 1, "a"), ("2", 1, "b"), ("1", 2, "a2")), 0)
+        table(batch(("2", 3, "b3"), ("3", 3, "c")), 1)
+        want = {("1", 2, "a2"), ("2", 3, "b3"), ("3", 3, "c")}
+        assert held() == want
+        table(batch(("2", 3, "b3"), ("3", 3, "c")), 1)  # replayed
+        table(batch(("2", 2, "stale")), 2)
+        table(batch(), 3)
+        assert held() == want
+        # Another query with a new checkpoint counts its batches from 0 again.
+        again = sinks.VersionTable(str(tmp_path / "table"), ["id"], ["seq"], ["kind"])
+        again(batch(("9", 9, "z")), 0)
+        assert held() == want | {("9", 9, "z")}
+        small = table.compacted(spark, str(tmp_path / "small"))
+        assert held(small) == held() and small.versions(spark).count() == 4
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
 def test_dimension_job(spark, tmp_path):
     config_log = spark.createDataFrame(
-        [(1, "user_info", "c", {"sink_table": "dim_user_info", "sink_columns": "id,name", "sink_pk": "id"})],
+        [(1, "user_info", "c", {"sink_table": "dim_user_info", "sink_columns": "id, name", "sink_pk": "code"})],
         "seq int, source_table string, op string, after map<string,string>")
     rows = [
         ("user_info", "bootstrap-start", 0, {}),
-        ("user_info", "bootstrap-insert", 1, {"id": "1", "name": "a", "phone": "x"}),
-        ("user_info", "insert", 2, {"id": "2", "name": None, "phone": "y"}),
-        ("user_info", "update", 3, {"id": "1", "name": "b", "phone": "x"}),
+        ("user_info", "bootstrap-insert", 1, {"id": "1", "code": "c1", "name": "a"}),
+        ("user_info", "insert", 2, {"id": "2", "code": "c2", "name": None}),
+        ("user_info", "update", 3, {"id": "1", "code": "c1", "name": "b"}),
         ("user_info", "delete", 4, {"id": "2"}),
+        ("user_info", "insert", 6, {"id": "7"}), ("user_info", "insert", 7, {"id": "8"}),
         ("other", "insert", 5, {"id": "9"}),
     ]
     spark.createDataFrame(rows, "table string, type string, seq int, data map<string,string>").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("table string, type string, seq int, data map<string,string>").parquet(str(tmp_path / "in"))
-    store = sinks.KeyedTable(str(tmp_path / "dims"), ["pk"], ["seq"], 4, partition_by=["sink_table"])
+    store = sinks.VersionTable(str(tmp_path / "dims"), ["pk"], ["seq"], partition_by=["sink_table"])
     write = jobs.dim_sync(lambda: routing.current_config(config_log, ["seq"]), store)
     finish(stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")))
-    dim = jobs.dimension_columns(store.read(spark), "dim_user_info", "id,name")
+    dim = jobs.dimension_columns(store.read(spark), "dim_user_info", "id, name")
     assert dim.columns == ["ID", "NAME"]
     assert {tuple(r) for r in dim.collect()} == {("1", "b"), ("2", None)}
 
@@ -135,10 +145,9 @@ def test_keyed_json(spark):
     assert json.loads(sinks.value_json(spark.createDataFrame([("1", None)], "id string, v string")).first().value) == {"id": "1"}
 
 
-def test_ensure_table(spark, tmp_path):
-    schema = routing.sink_schema("id,name")
+def test_create_table(spark, tmp_path):
     for _ in range(2):
-        sinks.ensure_table(spark, str(tmp_path / "t"), schema)
+        sinks.create_table(spark, str(tmp_path / "t"), "id, name", "compression=gzip, parquet.page.size=65536")
     assert readers.dimension(spark, str(tmp_path / "t")).columns == ["id", "name"]
 
 
