@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, Row, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 # A run of Han/kana/Hangul characters, or a run of other letters and digits.
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
@@ -32,28 +29,19 @@ def words(text: Column) -> Column:
 
 
 def register_split_words(spark: SparkSession, name: str = "split_words") -> None:
-    """Register ``name(text) -> (word)`` for ``LATERAL`` use in SQL.
+    """Register ``name(text) -> (word)`` for ``LATERAL`` use in SQL, over the expressions of :func:`words`."""
+    def literal(pattern: str) -> str:
+        return "'" + pattern.replace("\\", "\\\\") + "'"
 
-    Convenience for SQL users; the jobs use :func:`words`, which stays in the JVM.
-    """
-    import regex
+    def runs(pattern: str) -> str:
+        return f"regexp_extract_all(lower(text), {literal(pattern)}, 0)"
 
-    pattern = regex.compile(
-        r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+"
-        r"|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}])[\p{L}\p{N}])+"
+    split_run = (
+        f"run -> CASE WHEN run RLIKE {literal(f'^[{CJK}]{{2,}}$')} "
+        "THEN transform(sequence(1, length(run) - 1), i -> substring(run, i, 2)) ELSE array(run) END"
+    )
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS TABLE (word STRING) RETURN "
+        f"SELECT explode(CASE WHEN text RLIKE {literal(MAYBE_CJK)} "
+        f"THEN flatten(transform({runs(TOKEN_PATTERN)}, {split_run})) ELSE {runs(PLAIN_PATTERN)} END) AS word"
     )
-    cjk = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
-
-    @udtf(returnType="word: string")
-    class SplitWords:
-        def eval(self, text: str) -> Iterator[Row]:
-            if text is None:
-                return
-            for run in pattern.findall(text.lower()):
-                if len(run) > 1 and cjk.match(run):
-                    for i in range(len(run) - 1):
-                        yield (run[i : i + 2],)
-                else:
-                    yield (run,)
-
-    spark.udtf.register(name, SplitWords)

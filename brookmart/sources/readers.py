@@ -12,14 +12,32 @@ from brookmart.schemas import ODS_TYPE
 def topic_text(spark: SparkSession, source: str, fmt: str = "kafka", **options: str) -> DataFrame:
     """Unbounded topic as text in ``value``, from the latest offset.
 
-    ``kafka`` takes a topic name and the options of the connector; any file
-    format takes a directory of one-column text records.
+    Beside the text come ``key``, ``topic``, ``partition``, ``offset`` and ``timestamp``,
+    and from partition and offset ``id`` (unique in a topic) and ``seq`` (ascending within
+    a partition), which the jobs ask for. ``kafka`` takes a topic name and the options of
+    the connector. Any file format takes a directory of text records: columns of these
+    names are used if the files have them, else a file is a partition and the row of a
+    record (Parquet), or the hash of its text, stands for the offset.
     """
     if fmt == "kafka":
         reader = spark.readStream.format("kafka").option("subscribe", source)
-        reader = reader.options(**{"startingOffsets": "latest", **options})
-        return reader.load().select(F.col("value").cast("string").alias("value"))
-    return spark.readStream.format(fmt).schema("value string").options(**options).load(source)
+        raw = reader.options(**{"startingOffsets": "latest", **options}).load()
+        raw = raw.withColumns({"key": F.col("key").cast("string"), "value": F.col("value").cast("string")})
+        return _placed(raw.select("key", "value", "topic", "partition", "offset", "timestamp"))
+    schema = "key string, value string, partition int, offset bigint"
+    stream = spark.readStream.format(fmt).schema("value string" if fmt == "text" else schema).options(**options).load(source)
+    name = F.col("_metadata.file_name")
+    own = {"key": F.lit(None).cast("string"), "partition": F.lit(None).cast("int"), "offset": F.lit(None).cast("bigint")}
+    stream = stream.withColumns({n: c for n, c in own.items() if n not in stream.columns})
+    # Only Parquet knows a record's row; elsewhere its hash tells records of a file apart.
+    place = F.col("_metadata.row_index") if fmt == "parquet" else F.xxhash64("value")
+    return _placed(stream.select(
+        "key", "value", F.lit(source).alias("topic"), F.coalesce("partition", F.hash(name)).alias("partition"),
+        F.coalesce("offset", place).alias("offset"), F.col("_metadata.file_modification_time").alias("timestamp")))
+
+
+def _placed(records: DataFrame) -> DataFrame:
+    return records.withColumns({"seq": F.col("offset"), "id": F.xxhash64("topic", "partition", "offset")})
 
 
 def topic_text_or_empty(spark: SparkSession, source: str, fmt: str = "kafka", **options: str) -> DataFrame:
@@ -28,8 +46,12 @@ def topic_text_or_empty(spark: SparkSession, source: str, fmt: str = "kafka", **
 
 
 def json_table(text: DataFrame, schema: str, view: str | None = None) -> DataFrame:
-    """JSON text in ``value`` as columns of ``schema`` (a struct type), optionally as a view."""
-    rows = text.select(F.from_json("value", schema).alias("_row")).select("_row.*")
+    """JSON text in ``value`` as columns of ``schema`` (a struct type), optionally as a view.
+
+    ``id`` and ``seq`` of the records are kept if there are any.
+    """
+    places = [c for c in ("id", "seq") if c in text.columns]
+    rows = text.select(*places, F.from_json("value", schema).alias("_row")).select("_row.*", *places)
     if view:
         rows.createOrReplaceTempView(view)
     return rows

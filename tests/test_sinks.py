@@ -26,6 +26,24 @@ def test_topics_round_trip(spark, tmp_path):
     assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["", "", "a"]
 
 
+def test_log_job_feeds_the_page_job_and_the_report(spark, tmp_path):
+    """Raw text files -> topics -> page aggregate by day -> report, by public functions only."""
+    (tmp_path / "raw").mkdir()
+    ms = 1704067200000
+    lines = ['{"common":{"mid":"m%d","is_new":"1","vc":"v"},"page":{"page_id":"home","during_time":5},"ts":%d}' % (i % 3, ms + i * 1000) for i in range(30)]
+    (tmp_path / "raw" / "1.txt").write_text("\n".join([*lines[:20], "broken"]))
+    (tmp_path / "raw" / "2.txt").write_text("\n".join([*lines[20:], lines[0].replace(str(ms), str(ms + 10**8))]))
+    raw = readers.topic_text(spark, str(tmp_path / "raw"), "text", maxFilesPerTrigger="1")
+    assert {"id", "seq", "partition", "offset", "topic", "timestamp"} <= set(raw.columns)
+    finish(sinks.topic_writer(jobs.log_topics(raw), str(tmp_path / "topics"), str(tmp_path / "cp1"), "parquet"))
+    pages = jobs.page_stream(readers.topic_text(spark, str(tmp_path / "topics" / "topic=dwd_page_log"), "parquet"))
+    finish(sinks.aggregate_writer(jobs.page_view_stats(pages), schemas.PAGE_VIEW_STATS, str(tmp_path / "dws"), str(tmp_path / "cp2")))
+    table = readers.aggregate_table(spark, str(tmp_path / "dws"))
+    assert reports.page_view_row_count(table, 20240101).first().pv_ct > 0
+    assert table.filter("dt = '2024-01-01'").agg(F.sum("pv_ct")).first()[0] == 30
+    assert table.filter("is_new = '1' and dt = '2024-01-01'").agg(F.sum("pv_ct")).first()[0] == 3
+
+
 def test_kafka_reader_is_declared(spark):
     with pytest.raises(Exception, match="[Kk]afka"):
         readers.topic_text(spark, "topic_log", **{"kafka.bootstrap.servers": "nowhere:1"})

@@ -1,5 +1,6 @@
 """Batch and stream forms agree; watermarks, late rows and state behave as documented."""
 
+import time
 import random
 from datetime import datetime, timedelta
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brookmart.operators import logs, visits, wide, windows
 from brookmart.streaming import jobs, stateful
-from brookmart.streaming.watermark import keep_watermark, late_rows, with_event_time
+from brookmart.streaming.watermark import LateRows, keep_watermark, with_event_time
 from brookmart import schemas
 
 PAGE = ("id long, mid string, is_new string, vc string, ch string, ar string, page_id string, "
@@ -134,10 +135,21 @@ def test_late_rows_are_dropped_and_counted(spark, feed, drain):
     # Lateness is judged by the watermark of the batch before, hence the extra batch.
     late = page(4, "a", 5)
     batches = [[page(1, "a", 0)], [page(2, "a", 100)], [page(3, "a", 101)], [late], sentinel(0), sentinel(1)]
-    stream = timed(feed(batches, PAGE))
-    got = without_sentinels(drain(jobs.page_view_stats(stream)))
-    assert sum(r.pv_ct for r in got) == 3
-    assert late_rows(drain.query) == 1
+    counter = LateRows()
+    spark.streams.addListener(counter)
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        got = without_sentinels(drain(jobs.page_view_stats(timed(feed(batches, PAGE)))))
+        assert sum(r.pv_ct for r in got) == 3
+        for _ in range(50):  # reports come on a thread of their own
+            if counter.of(drain.query) == 1:
+                break
+            time.sleep(0.2)
+        assert counter.of(drain.query) == 1
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+        spark.streams.removeListener(counter)
 
 
 # --- orders ---------------------------------------------------------------------
