@@ -362,7 +362,7 @@ def test_lm_probabilities_sum_to_one():
     total = np.zeros(len(symbols.byte))
     for bit in range(8):
         slots, value = symbols.slots(bit)
-        p = model.mixer.predict(symbols, model.stretched[slots], model.levels[slots])[3]
+        p = model.mixer.predict(symbols, model.stretched[slots], model.levels[slots[lm_scoring.FOUR:]])[3]
         total += np.log(np.where(value == 1, p, 1 - p))
     starts = np.unique(symbols.word, return_index=True)[1]
     assert abs(np.exp(total[starts]).sum() - 1) < 1e-6
