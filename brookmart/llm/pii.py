@@ -20,6 +20,9 @@ begin with ``__pii`` are taken.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +37,12 @@ OTHER_TITLES = ["Dr", "Prof"]
 
 _TITLE = "(?:" + "|".join(sorted(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES, key=lambda t: (-len(t), t))) + r")\.?"
 _SECRET_NAME = "(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key)"
+_ASSIGNED = rf"{_SECRET_NAME}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = [
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    rf"(?<={_SECRET_NAME}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[A-Za-z0-9+/_.~-]{{8,}}={{0,2}}",
-    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,})(?![A-Za-z0-9])",
+    rf"{_ASSIGNED}[A-Za-z0-9+/_.~-]{{8,}}={{0,2}}",
+    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|(?=[a-f]*[0-9])[0-9a-f]{32,})(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
     r"(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
@@ -49,8 +53,8 @@ PATTERNS = [
     rf"(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}",
 ]
 ENTITY = "(?:" + "|".join(PATTERNS) + ")"
-#: Texts without any of these hold no entity; a cheap test before the patterns.
-HINT = rf"[0-9@]|{_SECRET_NAME}|{_TITLE} "
+#: Every entity without a digit or @ holds one of these or follows it.
+HINTS = ["token", "secret", "passw", "pwd", "key", "AKIA", "sk-", "gho_", "ghp_", "ghs_", "ghu_", *FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES]
 
 
 def _letters(text: Column) -> Column:
@@ -60,7 +64,8 @@ def _letters(text: Column) -> Column:
 def kind_of(raw: Column) -> Column:
     """Type of an entity as found."""
     return (
-        F.when(raw.contains("@"), "email")
+        F.when(raw.rlike(rf"\A{_ASSIGNED}"), "secret")
+        .when(raw.contains("@"), "email")
         .when(raw.rlike(rf"\A{_TITLE} "), "name")
         .when(raw.rlike(rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"), "ip")
         .when(raw.rlike(r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), "ssn")
@@ -80,6 +85,7 @@ def key_of(kind: Column, raw: Column) -> Column:
         .when(kind == "phone", F.when(F.length(digits) > 10, F.right(digits, F.lit(10))).otherwise(digits))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.upper(F.regexp_replace(raw, " ", "")))
+        .when(kind == "secret", F.regexp_replace(raw, rf"\A{_ASSIGNED}", ""))
         .otherwise(raw)
     )
 
@@ -189,6 +195,7 @@ def shown(kind: Column, raw: Column, surrogate: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "ssn"), filled())
         .when(kind == "name", F.concat(F.regexp_extract(raw, rf"\A({_TITLE} )", 1), surrogate))
+        .when(kind == "secret", F.concat(F.regexp_extract(raw, rf"\A((?:{_ASSIGNED})?)", 1), surrogate))
         .when((kind == "iban") & raw.contains(" "), F.trim(F.regexp_replace(surrogate, "(.{4})", "$1 ")))
         .otherwise(surrogate)
     )
@@ -197,7 +204,9 @@ def shown(kind: Column, raw: Column, surrogate: Column) -> Column:
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``__pii``: the entities of the text in order."""
     body = F.col(text)
-    return docs.withColumn("__pii", F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    # A cheap test before the patterns.
+    hint = reduce(or_, [body.contains(h) for h in HINTS], body.rlike("[0-9@]"))
+    return docs.withColumn("__pii", F.when(hint, F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")))
 
 
 def surrogates(entities: DataFrame, secret: str = KEY, rounds: int = ROUNDS) -> DataFrame:
@@ -226,9 +235,10 @@ def replace(docs: DataFrame, text: str = "text", secret: str = KEY) -> DataFrame
     plain = marked.where((F.size("__pii") <= 0)).withColumn("__pii_count", F.lit(0).cast("long")).drop("__pii")
     body = F.col(text)
     holding = marked.where(F.size("__pii") > 0).withColumns({"__pii_a": F.xxhash64(body), "__pii_b": F.xxhash64(F.lit(1), body)})
-    entities = holding.select("__pii_a", "__pii_b", "__pii").dropDuplicates(["__pii_a", "__pii_b"])
+    # One row per distinct text that holds entities; read twice, so it is stored.
+    entities = written(holding.select("__pii_a", "__pii_b", "__pii").dropDuplicates(["__pii_a", "__pii_b"]), "pii-texts")
     each = entities.select("__pii_a", "__pii_b", F.posexplode("__pii").alias("at", "raw"))
-    mapping = surrogates(marked.select(F.explode("__pii").alias("raw")), secret)
+    mapping = surrogates(each.select("raw"), secret)
     kind = kind_of(F.col("raw"))
     joined = each.withColumns({"kind": kind, "key": key_of(kind, F.col("raw"))}).join(mapping, ["kind", "key"])
     shown_at = joined.select("__pii_a", "__pii_b", F.struct("at", shown(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("s")).alias("x"))
