@@ -29,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brookmart.llm.common import n_buckets, rows_of, text_slices
+from brookmart.llm.common import SLICE_BYTES, n_buckets, rows_of, text_slices
 from brookmart.llm.wordhash import Memo, Words, laid_out
 
 #: Ids in a block before a new one begins; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
 
+#: Widths whose packed form is an array of integers.
+_WHOLE_BYTES = {8: "<u1", 16: "<u2", 32: "<u4"}
+
 BLOCKS = T.StructType([
     T.StructField("block", T.LongType()),
     T.StructField("first_key", T.LongType()),
@@ -54,6 +57,8 @@ def width_of(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """``width`` bits per id, the lowest first, without gaps."""
+    if width in _WHOLE_BYTES:
+        return ids.astype(_WHOLE_BYTES[width]).tobytes()
     out = []
     for at in range(0, len(ids), 1 << 16):  # a multiple of eight ids ends on a byte
         bits = np.unpackbits(ids[at:at + (1 << 16)].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
@@ -61,8 +66,19 @@ def pack(ids: np.ndarray, width: int) -> bytes:
     return b"".join(out)
 
 
+def packed_rows(ids: np.ndarray, bounds: np.ndarray, width: int) -> list[bytes]:
+    """Stretches of ``ids`` between ``bounds``, packed one by one."""
+    pairs = zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+    if width in _WHOLE_BYTES:
+        data, size = pack(ids, width), width // 8
+        return [data[a * size:b * size] for a, b in pairs]
+    return [pack(ids[a:b], width) for a, b in pairs]
+
+
 def unpack(packed: bytes, width: int, first: int, n: int) -> np.ndarray:
     """The ids at places ``first`` to ``first + n``; reads only their bytes."""
+    if width in _WHOLE_BYTES:
+        return np.frombuffer(packed, _WHOLE_BYTES[width], n, first * width // 8).astype(np.uint32)
     out = np.zeros(n, np.uint32)
     data = np.frombuffer(packed, np.uint8)
     for done in range(0, n, 1 << 16):
@@ -75,6 +91,15 @@ def unpack(packed: bytes, width: int, first: int, n: int) -> np.ndarray:
     return out
 
 
+WORDS_AT_ONCE = 512
+
+
+def split_at(ids: np.ndarray, mark: np.ndarray) -> list[np.ndarray]:
+    """The stretches between marked places."""
+    at = np.flatnonzero(mark).tolist()
+    return [ids[a + 1:b] for a, b in zip([-1, *at], [*at, len(ids)], strict=True)]
+
+
 _encoders: dict[str, Memo] = {}
 
 
@@ -92,11 +117,22 @@ def word_encoder(path: str) -> Memo:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def values(words: list[bytes]) -> list[bytes]:
-            coded = tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-            return [np.array(c.ids, "<u4").tobytes() for c in coded]
+        # Text between added tokens is encoded by itself, so many words go through one call.
+        between = next((t for _, t in sorted(tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
+        mark = tokenizer.token_to_id(between.content) if between else None
 
-        _encoders[path] = Memo(values, 400_000)
+        def values(words: list[bytes]) -> list[bytes]:
+            out: list[bytes] = []
+            for i in range(0, len(words), WORDS_AT_ONCE):
+                texts = [w.decode() for w in words[i:i + WORDS_AT_ONCE]]
+                if between and not any(between.content in t for t in texts):
+                    ids = np.array(tokenizer.encode(between.content.join(texts), add_special_tokens=False).ids, "<u4")
+                    out += [x.tobytes() for x in split_at(ids, ids == mark)]
+                else:
+                    out += [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+            return out
+
+        _encoders[path] = Memo(values, 500_000)
     return _encoders[path]
 
 
@@ -111,16 +147,16 @@ def encoded(docs: DataFrame, path: str, width: int, end_id: int | None, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_encoder(path)
-        tail = np.array([] if end_id is None else [end_id], np.uint32)
         for batch in batches:
-            for first, part in text_slices(batch.column(1)):
+            for first, part in text_slices(batch.column(1), 2 * SLICE_BYTES):
                 words = Words(part)
                 values, inverse = memo.of(words, words.hashes)
                 ids, places = laid_out(values, inverse)
                 bounds = places[words.offsets]
-                rows = [np.concatenate([ids[a:b], tail]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                if end_id is not None:
+                    ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(part)), pa.array([len(r) for r in rows], pa.int64()), pa.array([pack(r, width) for r in rows], pa.binary())],
+                    [batch.column(0).slice(first, len(part)), pa.array(np.diff(bounds).astype(np.int64)), pa.array(packed_rows(ids, bounds, width), pa.binary())],
                     names=["key", "n", "packed"],
                 )
 
@@ -177,7 +213,8 @@ def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
     blocks = spark.read.schema(T.StructType([*BLOCKS.fields, T.StructField("part", T.IntegerType())])).parquet(folder)
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per folder
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return blocks.join(before, "part").withColumn("start", F.col("start") + F.col("before")).drop("before")
+    # One row per folder, and folders are as many as the writer's shuffle partitions.
+    return blocks.join(F.broadcast(before), "part").withColumn("start", F.col("start") + F.col("before")).drop("before")
 
 
 def read_documents(spark: SparkSession, folder: str, value: Callable[[np.ndarray], int], kind: pa.DataType, name: str) -> DataFrame:
