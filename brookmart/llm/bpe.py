@@ -27,7 +27,7 @@ from brookmart.llm.common import text_slices
 from brookmart.llm.wordhash import Memo, Words, laid_out
 
 #: Words kept per worker; beyond it the store starts anew, so memory is bounded.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Pre-token pattern of byte-level vocabularies (fixed value); white space by its Unicode property.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
