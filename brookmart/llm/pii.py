@@ -36,13 +36,13 @@ MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"]
 OTHER_TITLES = ["Dr", "Prof"]
 
 _TITLE = "(?:" + "|".join(sorted(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES, key=lambda t: (-len(t), t))) + r")\.?"
-_SECRET_NAME = "(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key)"
+_SECRET_NAME = "(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key)"
 _ASSIGNED = rf"{_SECRET_NAME}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = [
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     rf"{_ASSIGNED}[A-Za-z0-9+/_.~-]{{8,}}={{0,2}}",
-    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|(?=[a-f]*[0-9])[0-9a-f]{32,})(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])(?i:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|(?=[a-f]*[0-9])[0-9a-f]{32,})(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
     r"(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
@@ -53,8 +53,10 @@ PATTERNS = [
     rf"(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}",
 ]
 ENTITY = "(?:" + "|".join(PATTERNS) + ")"
-#: Every entity without a digit or @ holds one of these or follows it.
-HINTS = ["token", "secret", "passw", "pwd", "key", "AKIA", "sk-", "gho_", "ghp_", "ghs_", "ghu_", *FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES]
+#: Every entity without a digit or @ holds one of these or follows it; secrets in any letter case.
+SECRET_HINTS = ["token", "secret", "passw", "pwd", "key", "akia", "sk-", "gho_", "ghp_", "ghs_", "ghu_"]
+NAME_HINTS = [*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES]
+_HEX_KEY = r"[0-9a-fA-F]{32,}"
 
 
 def _letters(text: Column) -> Column:
@@ -70,6 +72,7 @@ def kind_of(raw: Column) -> Column:
         .when(raw.rlike(rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"), "ip")
         .when(raw.rlike(r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), "ssn")
         .when(raw.rlike(r"\A(?:\+|\(|[0-9]{3}-[0-9]{3}-[0-9]{4}\z)"), "phone")
+        .when(raw.rlike(rf"\A{_HEX_KEY}\z"), "secret")
         .when(raw.rlike(r"\A[A-Z]{2}[0-9]{2}[ A-Z0-9]+\z") & (F.length(raw) >= 16), "iban")
         .when(raw.rlike(r"\A[0-9](?:[ -]?[0-9]){12,18}\z"), "card")
         .otherwise("secret")
@@ -79,13 +82,14 @@ def kind_of(raw: Column) -> Column:
 def key_of(kind: Column, raw: Column) -> Column:
     """What mentions of one entity have in common."""
     digits = F.regexp_replace(raw, "[^0-9]", "")
+    value = F.regexp_replace(raw, rf"\A{_ASSIGNED}", "")
     return (
         F.when(kind == "email", F.lower(raw))
         .when(kind == "name", F.lower(F.regexp_replace(raw, rf"\A{_TITLE} ", "")))
         .when(kind == "phone", F.when(F.length(digits) > 10, F.right(digits, F.lit(10))).otherwise(digits))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.upper(F.regexp_replace(raw, " ", "")))
-        .when(kind == "secret", F.regexp_replace(raw, rf"\A{_ASSIGNED}", ""))
+        .when(kind == "secret", F.when(value.rlike(rf"\A{_HEX_KEY}\z"), F.lower(value)).otherwise(value))
         .otherwise(raw)
     )
 
@@ -192,10 +196,11 @@ def shown(kind: Column, raw: Column, surrogate: Column) -> Column:
 
         return F.aggregate(_letters(raw), start, add, lambda a: a["s"])
 
+    capital_hex = raw.rlike(rf"\A(?:{_ASSIGNED})?(?=[0-9]*[A-F])[0-9A-F]{{32,}}\z")
     return (
         F.when(kind.isin("phone", "card", "ssn"), filled())
         .when(kind == "name", F.concat(F.regexp_extract(raw, rf"\A({_TITLE} )", 1), surrogate))
-        .when(kind == "secret", F.concat(F.regexp_extract(raw, rf"\A((?:{_ASSIGNED})?)", 1), surrogate))
+        .when(kind == "secret", F.concat(F.regexp_extract(raw, rf"\A((?:{_ASSIGNED})?)", 1), F.when(capital_hex, F.upper(surrogate)).otherwise(surrogate)))
         .when((kind == "iban") & raw.contains(" "), F.trim(F.regexp_replace(surrogate, "(.{4})", "$1 ")))
         .otherwise(surrogate)
     )
@@ -205,7 +210,8 @@ def found(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``__pii``: the entities of the text in order."""
     body = F.col(text)
     # A cheap test before the patterns.
-    hint = reduce(or_, [body.contains(h) for h in HINTS], body.rlike("[0-9@]"))
+    low = F.lower(body)
+    hint = reduce(or_, [*(low.contains(h) for h in SECRET_HINTS), *(body.contains(h) for h in NAME_HINTS)], body.rlike("[0-9@]"))
     return docs.withColumn("__pii", F.when(hint, F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")))
 
 

@@ -436,6 +436,21 @@ def test_pii(spark, docs, rows, empty):
     assert pii.replace(docs).count() == len(rows) and pii.replace(empty).count() == 0
 
 
+def test_pii_secrets_in_any_case(spark):
+    """Names of secrets, bare keys and prefixes in capitals; a text without digits reaches the patterns."""
+    hexa = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    made = [
+        f'TOKEN = "{hexa}" END', f"bare {hexa.lower()} and {hexa} end", "Password: hunterabc end", "API_KEY=abcdefghij end", "Secret=\"abcdefghij\" end",
+        "GHP_" + "ABCDEFGHIJKLMNOPQR" * 2 + " end", "AB12" + hexa + " end",
+    ]
+    got = [r.text for r in pii.replace(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    key = re.fullmatch(r'TOKEN = "([0-9A-F]{40})" END', got[0])[1]
+    assert key != hexa and got[1] == f"bare {key.lower()} and {key} end"
+    assert re.fullmatch(r"Password: [a-z]{9} end", got[2]) and re.fullmatch(r"API_KEY=[a-z]{10} end", got[3]) and re.fullmatch(r'Secret="[a-z]{10}" end', got[4])
+    assert all(a != b and a.endswith(" end") for a, b in zip(got[2:], made[2:], strict=True))
+    assert re.fullmatch(r"[0-9A-F]{44} end", got[6])
+
+
 def test_pii_collisions(spark, monkeypatch):
     """With a tiny space every entity still gets a surrogate of its own, or the job stops."""
     few = lambda kind, key, gender, attempt, secret: F.concat(F.lit("s"), F.pmod(F.xxhash64(key, attempt), F.lit(40)).cast("string"))
