@@ -39,17 +39,32 @@ _TITLE = "(?:" + "|".join(sorted(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES, key
 _SECRET_NAME = "(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key)"
 _ASSIGNED = rf"{_SECRET_NAME}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])"
+_GROUPED_CARD = r"(?<![0-9])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![ -]?[0-9])"
+#: Where another entity begins, groups of digits do not go on.
+_OTHER = rf"(?!(?<![A-Za-z0-9])(?:{_EMAIL}|(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{{32,}}(?![A-Za-z0-9]))|{_NATIONAL}|{_SSN}|{_IP})"
+_OTHER_OR_CARD = rf"{_OTHER}(?!{_GROUPED_CARD})"
+_GROUP = rf"{_OTHER_OR_CARD}[0-9]{{2,8}}"
+#: Behind +1 ten digits; elsewhere 7 to 15 in all, with one kind of separator from the third group behind the code on.
+_INTERNATIONAL = (
+    r"(?<![0-9+])\+(?:1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    rf"|[0-9]{{1,3}}[ .-]?\(?{_OTHER_OR_CARD}[0-9]{{2,4}}\)?[ .-]?{_GROUP}(?:(?<between>[ .-]?){_GROUP}(?:\k<between>{_GROUP}){{0,2}})?(?![0-9])"
+    r"(?<=" + "|".join(r"\+" + r"[ .()-]{0,2}[0-9]" * n for n in range(7, 16)) + "))"
+)
 PATTERNS = [
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    _EMAIL,
     rf"{_ASSIGNED}[A-Za-z0-9+/_.~-]{{8,}}={{0,2}}",
     r"(?<![A-Za-z0-9])(?i:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|(?=[a-f]*[0-9])[0-9a-f]{32,})(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?@[A-Z0-9]{4}){3,7}(?: ?@[A-Z0-9]{1,3})?(?![A-Za-z0-9])".replace("@", _OTHER),
+    _INTERNATIONAL,
     r"(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
-    r"(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
-    r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
-    r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    _NATIONAL,
+    _SSN,
+    _IP,
+    rf"(?<![0-9])[0-9](?:[ -]?{_OTHER}[0-9]){{12,18}}(?![0-9])",
     rf"(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}",
 ]
 ENTITY = "(?:" + "|".join(PATTERNS) + ")"
