@@ -368,6 +368,24 @@ def test_lm_probabilities_sum_to_one():
     assert abs(np.exp(total[starts]).sum() - 1) < 1e-6
 
 
+def test_lm_sequence_counts(spark):
+    """Word order changes a score, and a byte behind two words is predicted from both."""
+    rng = random.Random(9)
+    follow = {w: rng.sample(PROSE, 2) for w in PROSE}
+    texts = []
+    for _ in range(150):
+        w = [rng.choice(PROSE)]
+        while len(w) < 40:
+            w.append(rng.choice(follow[w[-1]]))
+        texts.append(w)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    free = (i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1)
+    made = [(next(free), " ".join(w)) for w in texts[1:]] + [(held[0], " ".join(texts[0])), (held[1], " ".join(rng.sample(texts[0], 40)))]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(made, "doc_id long, text string")).where("held_out").collect()}
+    assert got[held[0]].n_known == got[held[1]].n_known == 41
+    assert got[held[0]].bits_per_byte < 0.6 * got[held[1]].bits_per_byte
+
+
 def test_token_files(spark, docs, rows, empty):
     library = Tokenizer.from_file(WORD_BPE)
     coded = [(k, [*library.encode(t or "", add_special_tokens=False).ids, 1]) for k, t, *_ in rows]
