@@ -386,6 +386,26 @@ def test_lm_sequence_counts(spark):
     assert got[held[0]].bits_per_byte < 0.6 * got[held[1]].bits_per_byte
 
 
+def test_lm_counts_are_exact():
+    """Counts follow the data, past 2^24, and equal those of a dictionary of contexts and nodes."""
+    texts, counts = [b"the mill the mill", b"the hill \n", b"a"], np.array([1 << 24, 1, 1 << 40])
+    tables = lm_scoring.count_tables(texts, None, counts)
+    symbols = lm_scoring.Symbols(texts)
+    want = collections.defaultdict(lambda: [0, 0])
+    for bit in range(8):
+        slots, value = symbols.slots(bit)
+        for row in slots.tolist():
+            for s, v, w in zip(row, value.tolist(), symbols.word.tolist(), strict=True):
+                want[s][v] += int(counts[w])
+    zeros, ones = tables.of(np.array(list(want), np.uint64))
+    assert [[a, b] for a, b in zip(zeros.tolist(), ones.tolist(), strict=True)] == list(want.values())
+    words = " ".join(f"{i:x}z{i * i:x}" for i in range(20_000)).encode()
+    assert len(lm_scoring.count_tables([words], None, np.ones(1)).keys) > 400_000
+    # Contexts cross the border of words: the same word behind different words shares only two of them.
+    a, b = (lm_scoring.Symbols([w]).contexts for w in (b"bread over", b"stone over"))
+    assert [x[-1] == y[-1] for x, y in zip(a, b, strict=True)] == [True] * 5 + [False] * 2
+
+
 def test_token_files(spark, docs, rows, empty):
     library = Tokenizer.from_file(WORD_BPE)
     coded = [(k, [*library.encode(t or "", add_special_tokens=False).ids, 1]) for k, t, *_ in rows]
