@@ -406,6 +406,22 @@ def test_lm_counts_are_exact():
     assert [x[-1] == y[-1] for x, y in zip(a, b, strict=True)] == [True] * 5 + [False] * 2
 
 
+def test_lm_partitions_do_not_matter(spark, monkeypatch):
+    """Learners and scores follow the data, not the session's partitions."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 3000)
+    rng = random.Random(4)
+    made = [(i, " ".join(rng.choice(PROSE) for _ in range(30))) for i in range(200)]
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            docs = spark.createDataFrame(made, "doc_id long, text string").repartition(n)
+            got.append([r.score for r in lm_scoring.score(docs).orderBy("doc_id").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert np.allclose(*got, rtol=1e-6)
+
+
 def test_token_files(spark, docs, rows, empty):
     library = Tokenizer.from_file(WORD_BPE)
     coded = [(k, [*library.encode(t or "", add_special_tokens=False).ids, 1]) for k, t, *_ in rows]
