@@ -9,7 +9,10 @@ also starts anywhere else is removed; windows are judged on the input.
    A task compares the windows it holds by 128-bit hashes: those that occur twice within
    it are confirmed at once, and only one copy of each window is sent on, in segments of
    adjacent windows. So a passage that very many documents share is sent once per task.
-3. Segments are dealt into shards by anchor. A shard confirms recurring passages among its
+3. Segments are dealt into shards by anchor, if it has at most ``HOT_SEGMENTS`` of them.
+   Anchors with more (a passage in very many documents, whose windows over its edges differ
+   in each) are dealt window by window, by the hash of the window: windows are counted,
+   partly before the shuffle, and those that occur once are left out. A shard confirms recurring passages among its
    segments, compiles them into one Aho-Corasick automaton and streams its segments
    through it to locate every occurrence. A shard's memory follows its segments, of which
    the number of shards (a multiple of the shuffle partitions) is the measure.
@@ -40,6 +43,8 @@ SPAN = SIZE - PHRASE + 1
 #: Text a task compares at once, and texts it remembers to skip copies.
 CHUNK_BYTES, SEEN_TEXTS = 16 << 20, 1_000_000
 SHARDS_PER_PARTITION = 16
+#: Segments of an anchor beyond which its windows are dealt one by one.
+HOT_SEGMENTS = 64
 
 
 def _window_anchors(phrases: np.ndarray) -> np.ndarray:
@@ -215,6 +220,64 @@ def pieces(keyed: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.select("ka", "kb", "text", "anchors").mapInArrow(run, _PIECES)
 
 
+def _segment_windows(segments: pa.Array) -> Iterator[tuple[int, Words, int, np.ndarray, np.ndarray]]:
+    """Row, words, first word and both window hashes of each of the segments."""
+    for first, part in text_slices(segments):
+        words = Words(part)
+        for k in range(len(part)):
+            a, b = words.offsets[k], words.offsets[k + 1]
+            yield first + k, words, int(a), windows(words.hashes[a:b], SIZE, 11), windows(words.hashes[a:b], SIZE, 12)
+
+
+def hot_windows(segments: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``wa`` of the windows of hot anchors that were sent more than once."""
+    sent = segments.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = batch.column(1).filter(pa.array(maybe_in(sent.value, batch.column(0).to_numpy())))
+            for a in range(0, len(chosen), 1024):
+                pairs = [(h1, h2) for *_, h1, h2 in _segment_windows(chosen.slice(a, 1024))]
+                h1, h2 = (np.concatenate(h).view(np.int64) for h in zip(*pairs, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2)], names=["wa", "wb"])
+
+    each = segments.select("anchor", "segment").mapInArrow(run, "wa long, wb long")
+    return each.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("wa")
+
+
+def dealt(segments: DataFrame, hot: np.ndarray, recurring: np.ndarray, shards: int) -> DataFrame:
+    """Segments with their ``shard``: by anchor, or hot anchors' recurring windows by window hash."""
+    context = segments.sparkSession.sparkContext
+    sent_hot, sent_recurring = context.broadcast(hot), context.broadcast(recurring)
+    schema = pa.schema([("ka", pa.int64()), ("kb", pa.int64()), ("start", pa.int64()), ("known", pa.bool_()), ("segment", pa.string()), ("shard", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor = batch.column(5).to_numpy()
+            is_hot = maybe_in(sent_hot.value, anchor)
+            cold = batch.filter(pa.array(~is_hot))
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(cold.columns[:5], schema, strict=False)), pa.array(anchor[~is_hot] % shards)], schema=schema)
+            warm, out = batch.filter(pa.array(is_hot)), []
+            for row, words, first, h1, _ in _segment_windows(warm.column(4)):
+                wa = h1.view(np.int64)
+                shard = wa % shards
+                use = np.flatnonzero(maybe_in(sent_recurring.value, wa))
+                if not len(use):
+                    continue
+                cuts = np.flatnonzero((use[1:] != use[:-1] + 1) | (shard[use[1:]] != shard[use[:-1]])) + 1
+                ka, kb, start, known = (warm.column(i)[row].as_py() for i in range(4))
+                for run_ in np.split(use, cuts):
+                    a, b = int(run_[0]), int(run_[-1]) + SIZE
+                    text = b" ".join(words.word(first + i) for i in range(a, b)).decode()
+                    out.append({"ka": ka, "kb": kb, "start": start + a, "known": known, "segment": text, "shard": int(shard[a])})
+                if len(out) >= 4096:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out = []
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return segments.select("ka", "kb", "start", "known", "segment", "anchor").mapInArrow(run, "ka long, kb long, start long, known boolean, segment string, shard long")
+
+
 def located(table: pa.Table) -> pa.Table:
     """Ranges of a shard's segments that recurring passages cover."""
     rows = table.select(["ka", "kb", "start", "known", "segment"]).to_pylist()
@@ -276,8 +339,10 @@ def ranges(keyed: DataFrame) -> DataFrame:
     hits = written(text_anchors(keyed).join(recurring, "anchor").groupBy("ka").agg(F.collect_set("anchor").alias("anchors")), "anchors")
     found = written(pieces(marked(keyed, bitmap(hits, "ka")), hits), "pieces")
     shards = n_buckets(keyed.sparkSession, SHARDS_PER_PARTITION)
-    segments = found.where("segment is not null").withColumn("shard", F.pmod("anchor", F.lit(shards)))
-    across = segments.groupBy("shard").applyInArrow(located, "ka long, kb long, start long, stop long")
+    segments = found.where("segment is not null")
+    hot = bitmap(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SEGMENTS), "anchor")
+    recurring = bitmap(hot_windows(segments, hot), "wa")
+    across = dealt(segments, hot, recurring, shards).groupBy("shard").applyInArrow(located, "ka long, kb long, start long, stop long")
     every = found.where("segment is null").select("ka", "kb", "start", "stop").union(across)
     return every.distinct().groupBy("ka", "kb").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("ranges"))
 

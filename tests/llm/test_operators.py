@@ -331,6 +331,29 @@ def test_substring_dedup(spark, docs, rows, empty, monkeypatch, chunk):
     assert substring_dedup.dedup(empty).count() == 0
 
 
+def test_substring_dedup_hot_anchor(spark, monkeypatch):
+    """A passage in all documents, with other words around: no shard gets a segment of each."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 1_000)
+    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", 8)
+    sizes = []
+    dealt = substring_dedup.dealt
+
+    def counted(*given):
+        out = dealt(*given).localCheckpoint()
+        sizes.append((given[0].count(), [r["count"] for r in out.groupBy("shard").count().collect()]))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "dealt", counted)
+    long, short = [f"p{i}" for i in range(45)], [f"q{i}" for i in range(20)]
+    made = [(i, " ".join([f"a{i}x{j}" for j in range(30)] + (long if i % 2 else short) + [f"b{i}x{j}" for j in range(30)])) for i in range(120)]
+    made += [(200 + i, " ".join([f"c{i // 2}x{j}" for j in range(20)] + short + [f"d{i // 2}"] * 9)) for i in range(40)]
+    names = "doc_id", "n_words", "n_removed", "kept_sha256"
+    got = bag(substring_dedup.dedup(spark.createDataFrame(made, "doc_id long, text string").repartition(4)), *names)
+    assert got == brute_dedup(made)
+    segments, shards = sizes[0]
+    assert segments > 200 and max(shards, default=0) < segments / 4
+
+
 def test_lm_scoring(spark, docs, rows, empty):
     counts, train = collections.Counter(), 0
     tokens = [[*words(lower(t)), "\n"] for _, t, *_ in rows]
