@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brookmart.llm import quality_rules, url_filter
+from brookmart.llm import line_dedup, quality_rules, spelling, url_filter
 
 
 def _op3() -> str:
@@ -129,5 +129,117 @@ FROM r JOIN score USING (rid), best
 """
 
 
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: A one-row relation with the table of CRC-32.
+_CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+)"""
+
+
+def _crc(codes: str) -> str:
+    """CRC-32 of a list of bytes; ``tab`` is in reach."""
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _op11() -> str:
+    s = spelling
+    codes = "flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195::BIGINT, CAST(ord(c) - 64 AS BIGINT)] END))"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= {s.MIN_LETTERS} GROUP BY doc_id, run
+), hashed AS (SELECT run, n, {_crc(codes)} AS h FROM runs, crc_table),
+noisy AS (
+  SELECT CASE WHEN h % {s.NOISE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM noisy WHERE length(word) >= {s.MIN_LETTERS} GROUP BY word HAVING sum(n) >= {s.MIN_COUNT}
+), cut AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cut c JOIN w v ON c.rest = v.word
+  UNION SELECT v.word, c.word, c.n FROM cut c JOIN w v ON c.rest = v.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS form_n, first(near ORDER BY near_n DESC, near) AS form FROM near GROUP BY word
+), told AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {s.FORM_RATIO} * w.n THEN form END AS form,
+         CASE WHEN form_n >= {s.FORM_RATIO} * w.n THEN form_n END AS form_n
+  FROM w LEFT JOIN best ON w.word = best.word
+), way AS (
+  SELECT word, word AS root FROM told UNION ALL SELECT way.word, t.form FROM way JOIN told t ON way.root = t.word WHERE t.form IS NOT NULL
+)
+SELECT told.word, form, root, told.n, n_near, form_n FROM told
+JOIN (SELECT way.word, way.root FROM way JOIN told t ON way.root = t.word WHERE t.form IS NULL) USING (word)
+"""
+
+
+def _op12() -> str:
+    d = line_dedup
+    white = " || ".join(f"chr({c})" for c in (32, *range(9, 14)))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, text, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
+k AS (SELECT rid, doc_id, text, line, place, translate(trim(line, {white}), '{_UPPER}', '{_LOWER}') AS key FROM l),
+shared AS (
+  SELECT key FROM (SELECT DISTINCT key, doc_id, sha256(text) AS digest FROM k) WHERE length(key) >= {d.MIN_LETTERS} GROUP BY key HAVING count(*) >= {d.MIN_DOCS}
+)
+SELECT doc_id, count(*) AS n_lines, count(shared.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE shared.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN shared ON k.key = shared.key GROUP BY rid, doc_id
+"""
+
+
+def _op13() -> str:
+    def leaf(n_chars: str) -> str:
+        texts = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text")]
+        return "sha256(" + " || ".join(f"CASE WHEN {t} IS NULL THEN '-' ELSE strlen({t}) || ':' || {t} END" for t in texts) + ")"
+
+    def levels(name: str, start: str) -> str:
+        """Nodes of every level of the trees of ``start`` (g, pos, digest)."""
+        return f"""{name} AS (
+  SELECT 0 AS level, g, pos, digest, count(*) OVER (PARTITION BY g) AS held FROM {start}
+  UNION ALL
+  SELECT level + 1, g, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(held) + 1) // 2 FROM {name} WHERE held > 1 GROUP BY level, g, pos // 2
+)"""
+
+    def siblings(nodes: str, tree: str, up: int) -> str:
+        """Per level of a node's way up: L or R and the digest left or right of it, or N."""
+        return f"""SELECT x.rid, {up} + a.level AS level, coalesce(CASE WHEN b.pos < a.pos THEN 'L' ELSE 'R' END || b.digest, 'N') AS side
+  FROM {nodes} x JOIN {tree} a ON a.g = x.g AND a.pos = x.pos >> a.level AND a.held > 1
+  LEFT JOIN {tree} b ON b.g = a.g AND b.level = a.level AND b.pos = xor(a.pos, 1)"""
+
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    grown = "CAST(n_chars AS HUGEINT) + 1"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE}, d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '-') AS g, {leaf('n_chars')} AS leaf,
+         CASE WHEN {_crc(codes)} % 7 = 0 THEN {leaf(grown)} ELSE {leaf('n_chars')} END AS changed
+  FROM documents, crc_table
+), leaves AS MATERIALIZED (
+  SELECT rid, doc_id, g, leaf AS digest, changed, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), {levels('inner_tree', 'leaves')}, subroots AS MATERIALIZED (
+  SELECT g AS name, digest, row_number() OVER (ORDER BY g) - 1 AS pos, 0 AS g FROM (SELECT g, digest FROM inner_tree WHERE held = 1)
+), {levels('outer_tree', 'subroots')}, top AS (SELECT digest AS root FROM outer_tree WHERE held = 1),
+placed AS (SELECT l.rid, s.g, s.pos FROM leaves l JOIN subroots s ON s.name = l.g),
+sides AS ({siblings('leaves', 'inner_tree', 0)} UNION ALL {siblings('placed', 'outer_tree', 1000)}),
+ways AS (SELECT rid, list(side ORDER BY level) AS way FROM sides GROUP BY rid),
+folded AS (
+  SELECT l.rid, sha256(list_aggregate(list_transform(list_filter(coalesce(way, []), lambda x: x <> 'N'), lambda x: x[2:]), 'string_agg', '')) AS proof_sha256,
+         list_reduce(list_prepend(l.changed, coalesce(way, [])),
+           lambda c, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || c) WHEN 'R' THEN sha256(c || x[2:]) ELSE sha256(c) END) AS folded_root
+  FROM leaves l LEFT JOIN ways ON ways.rid = l.rid
+)
+SELECT doc_id, l.digest AS leaf, s.digest AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots s ON s.name = l.g JOIN folded f ON f.rid = l.rid CROSS JOIN top
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3(), "op6_url_filter": _op6()}
+    return {
+        "op3_quality_rules": _op3(), "op6_url_filter": _op6(), "op11_spelling_variants": _op11(), "op12_line_dedup": _op12(),
+        "op13_merkle_manifest": _op13(),
+    }

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookmart.llm import bpe, decontamination, jaccard_join, lm_scoring, pii, quality_rules, substring_dedup, token_counts, token_files, url_filter
+from brookmart.llm import (
+    bpe, decontamination, jaccard_join, line_dedup, lm_scoring, merkle, pii, quality_rules, spelling, substring_dedup, token_counts, token_files, url_filter,
+)
 from brookmart.llm.common import scratch, table
 
 
@@ -61,5 +63,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(docs).withColumnRenamed("__pii_count", "n_entities")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One row in seven has grown by a character; wider than a long, so that nothing overflows.
+    grown = F.col("n_chars").cast("decimal(38,0)") + 1
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, grown).otherwise(F.col("n_chars"))
+    told = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", {"n_chars": tampered})
+    return told.withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
