@@ -41,9 +41,13 @@ def well_formed(df: DataFrame, value: str = "value", name: str = "_json") -> Dat
     then stays above it, so a record is parsed once and not once more for the
     filter.
     """
+    return parsed(df, value, name).filter(F.col(name).isNotNull())
+
+
+def parsed(df: DataFrame, value: str = "value", name: str = "_json") -> DataFrame:
+    """All rows, with ``value`` replaced by its variant, or by null where it is not one JSON object."""
     keep = [c for c in df.columns if c != value]
-    exploded = df.select(*keep, F.explode(F.array(parsed_object(F.col(value)))).alias(name))
-    return exploded.filter(F.col(name).isNotNull())
+    return df.select(*keep, F.explode(F.array(parsed_object(F.col(value)))).alias(name))
 
 
 def drop_tombstones(df: DataFrame, value: str = "value") -> DataFrame:

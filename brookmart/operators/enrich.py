@@ -72,3 +72,32 @@ def snowflake_enrich(stats: DataFrame, dims: Dimensions, as_of: Column, how: str
         rows, flat_sku(dims, how), F.col("sku_id"), {"sku_name": "SKU_NAME", **{c: c for c in product}}, how
     )
     return rows.select(*schemas.USER_PROVINCE_SKU)
+
+
+#: Columns of the order aggregate that enrichment starts from; the others come from dimensions.
+STATS = ["stt", "edt", "sku_id", "sku_price", "user_id", "province_id", "order_sku_num", "order_amount", "order_ct", "ts"]
+
+
+def enrich_or_wait(stats: DataFrame, dims: Dimensions, as_of: Column) -> DataFrame:
+    """:func:`snowflake_enrich` without loss: rows with a broken chain of keys stay, marked ``waits``.
+
+    A product counts as known once its whole chain is. Waiting rows carry the columns of
+    :data:`STATS`, so they can be handed in again.
+    """
+    known = F.lit(True)
+    age = age_years(F.to_date("BIRTHDAY"), as_of)
+    rows = dim_lookup(stats, dims.user, F.col("user_id"), {"user_gender": "GENDER", "user_age": age, "_user": known}, "left")
+    rows = dim_lookup(
+        rows, dims.province, F.col("province_id"),
+        {
+            "province_name": "NAME", "province_area_code": "AREA_CODE", "province_iso_code": "ISO_CODE",
+            "province_iso_3166_2": "ISO_3166_2", "_province": known,
+        }, "left",
+    )
+    product = ["spu_id", "spu_name", "tm_id", "tm_name", "category3_id", "category3_name",
+               "category2_id", "category2_name", "category1_id", "category1_name"]
+    rows = dim_lookup(
+        rows, flat_sku(dims), F.col("sku_id"), {"sku_name": "SKU_NAME", **{c: c for c in product}, "_sku": known}, "left"
+    )
+    waits = F.col("_user").isNull() | F.col("_province").isNull() | F.col("_sku").isNull()
+    return rows.select(*schemas.USER_PROVINCE_SKU, waits.alias("waits"))

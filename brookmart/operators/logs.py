@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmart.operators.changelog import is_json_object, members, well_formed
+from brookmart.functions import jsontext
+from brookmart.operators.changelog import is_json_object, members, parsed
 from brookmart.schemas import LOG_TYPE
 
 
-def parse_log(df: DataFrame, value: str = "value") -> DataFrame:
-    """Well-formed records with the listed members of the log as columns.
+def parse_records(df: DataFrame, value: str = "value") -> DataFrame:
+    """All records, with the listed members of the log as columns; ``dirty`` marks what is not a JSON object.
 
     ``record`` is the text as received and ``common_all`` the whole of ``common``:
     messages made from a record carry every member, listed or not.
     """
     keep = [c for c in df.columns if c != value]
-    parsed = well_formed(df.withColumn("record", F.col(value)), value)
+    rows = parsed(df.withColumn("record", F.col(value)), value)
     whole = F.try_variant_get("_json", "$.common", "variant").alias("common_all")
-    return parsed.select(*keep, *members("_json", LOG_TYPE), whole, "record")
+    return rows.select(*keep, *members("_json", LOG_TYPE), whole, "record", F.col("_json").isNull().alias("dirty"))
+
+
+def parse_log(df: DataFrame, value: str = "value") -> DataFrame:
+    """The well-formed records of :func:`parse_records`."""
+    return parse_records(df, value).filter(~F.col("dirty")).drop("dirty")
 
 
 def dirty_log(df: DataFrame, value: str = "value") -> DataFrame:
@@ -54,18 +60,20 @@ def repair_log(log: DataFrame, order: tuple[str, ...] = ("ts", "id")) -> DataFra
 
 
 def with_new_flag(log: DataFrame, is_new: Column) -> DataFrame:
-    """Put the repaired flag into ``common`` and, where it differs, into the whole record.
+    """Put the repaired flag into ``common`` and, where it differs, into the text of the record.
 
-    Records whose flag stands are forwarded as received.
+    Records whose flag stands are forwarded as received; in the others one digit is
+    changed, and every other letter stays. Only where the place of the flag is not plain (names
+    with escapes or repeated, very deep nesting) is the record written anew from its values.
     """
     changed = ~is_new.eqNullSafe(F.col("common.is_new"))
-    common = F.parse_json(_with_entries(F.col("common_all"), ("is_new",), {"is_new": _as_variant(is_new)}))
-    log = log.withColumns({
-        "_changed": changed, "common_all": F.when(changed, common).otherwise(F.col("common_all")),
-        "common": F.col("common").withField("is_new", is_new),
-    })
-    record = _with_entries(F.parse_json("record"), ("common",), {"common": F.col("common_all")})
-    return log.withColumn("record", F.when(F.col("_changed"), record).otherwise(F.col("record"))).drop("_changed")
+    record = F.col("record")
+    spliced = jsontext.with_inner_member(record, "common", "is_new", "0", "1")
+    plain = (is_new == "0") & (spliced != record) & ~jsontext.repeated(record, "common") & ~jsontext.repeated(record, "is_new")
+    anew = _with_entries(F.parse_json("record"), ("common",), {"common": F.parse_json(
+        _with_entries(F.col("common_all"), ("is_new",), {"is_new": _as_variant(is_new)}))})
+    log = log.withColumn("record", F.when(changed, F.when(plain, spliced).otherwise(anew)).otherwise(record))
+    return log.withColumn("common", F.col("common").withField("is_new", is_new))
 
 
 def _present(member: str) -> Column:
@@ -118,13 +126,57 @@ def _as_variant(value: Column) -> Column:
     return value.cast("variant")
 
 
+def _item_texts(name: str) -> Column:
+    """Texts of the items of an array member as received; empty where they are not found for certain.
+
+    The parsed array tells how many there are.
+    """
+    texts = jsontext.items(jsontext.member(F.col("record"), name))
+    return F.when((F.size(texts) == F.size(name)) & ~jsontext.repeated(F.col("record"), name), texts).otherwise(F.array().cast("array<string>"))
+
+
+def _item_message(item: Column, text: Column, entries: dict[str, Column]) -> Column:
+    """The item with ``entries`` (JSON texts) added, letter by letter as received where its text is at hand.
+
+    Members of these names are replaced; then, and without a text, the parsed item is written.
+    """
+    names = tuple(entries)
+    plain = text.startswith("{") & ~jsontext.holds(text, names)
+    anew = _with_entries(item, names, {n: F.try_parse_json(v) for n, v in entries.items()})
+    return F.when(plain, jsontext.with_members(text, entries)).otherwise(anew)
+
+
+def _common_text() -> Column:
+    """The object ``common`` as received, with the repaired flag."""
+    record = F.col("record")
+    found = F.when(~jsontext.repeated(record, "common"), jsontext.member(record, "common"))
+    return F.coalesce(found, F.to_json(F.try_variant_get(F.try_parse_json("record"), "$.common", "variant")))
+
+
+def _display_entries() -> dict[str, Column]:
+    return {"ts": F.col("ts").cast("string"), "page_id": F.col("_page_id")}
+
+
+def _action_entries() -> dict[str, Column]:
+    return {"common": F.col("_common"), "page_id": F.col("_page_id")}
+
+
+def _with_items(log: DataFrame, name: str, common_as_text: bool = True) -> DataFrame:
+    """What the messages of a record's items refer to, made once per record."""
+    common = jsontext.quoted(_common_text()) if common_as_text else _common_text()
+    return log.withColumns({
+        f"_{name}": F.when(F.size(name) > 0, _item_texts(name)),
+        "_page_id": jsontext.quoted(F.col("page.page_id")),
+        **({"_common": F.when(F.size("actions") > 0, common)} if name == "actions" else {}),
+    })
+
+
 def display_rows(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per displayed item of page records: item + ``ts`` + ``page_id``."""
-    items = pages.select(
-        *keep, "ts", F.col("page.page_id").alias("page_id"), F.explode("displays").alias("_item")
-    )
-    entries = {"ts": _as_variant(F.col("ts")), "page_id": _as_variant(F.col("page_id"))}
-    return items.withColumn("value", _with_entries(F.col("_item"), ("ts", "page_id"), entries)).drop("_item")
+    items = _with_items(pages.withColumn("_page", F.col("page.page_id")), "displays").select(
+        *keep, "ts", "_page_id", "_page", "_displays", F.posexplode("displays").alias("_at", "_item"))
+    value = _item_message(F.col("_item"), F.get("_displays", F.col("_at")), _display_entries())
+    return items.select(*keep, "ts", F.col("_page").alias("page_id"), value.alias("value"))
 
 
 def action_rows(
@@ -134,14 +186,10 @@ def action_rows(
 
     ``common`` is embedded as JSON text, or as an object on request.
     """
-    common = F.to_json("common_all")
-    items = pages.select(
-        *keep, common.alias("common"), F.col("page.page_id").alias("page_id"),
-        F.explode("actions").alias("_item"),
-    )
-    embedded = _as_variant(F.col("common")) if common_as_text else F.parse_json("common")
-    entries = {"common": embedded, "page_id": _as_variant(F.col("page_id"))}
-    return items.withColumn("value", _with_entries(F.col("_item"), ("common", "page_id"), entries)).drop("_item")
+    items = _with_items(pages.withColumn("_page", F.col("page.page_id")), "actions", common_as_text).select(
+        *keep, "_common", "_page_id", "_page", "_actions", F.posexplode("actions").alias("_at", "_item"))
+    value = _item_message(F.col("_item"), F.get("_actions", F.col("_at")), _action_entries())
+    return items.select(*keep, F.col("_page").alias("page_id"), value.alias("value"))
 
 
 # Detail topics of the log job.
@@ -152,22 +200,19 @@ TOPICS = {
     "action": "dwd_action_log",
     "start": "dwd_start_log",
 }
+DIRTY_TOPIC = "dirty_log"
 
 
 def fan_out(log: DataFrame) -> DataFrame:
     """All five detail streams of repaired records as ``(id, topic, value)`` in one pass.
 
     A sink that takes a topic per row, or folders by topic, writes them without
-    reading or caching the input five times.
+    reading or caching the input five times. Rows of :func:`parse_records` marked ``dirty``
+    go to :data:`DIRTY_TOPIC` as received, from the same parse.
     """
-    # Serialised once per record; the messages below only refer to the text.
-    texts = log.withColumns({
-        "_record": F.col("record"),
-        "_common": F.to_json("common_all"),
-        "_is_start": is_start(),
-        "_is_error": is_error(),
-    })
-    page_id = _as_variant(F.col("page.page_id"))
+    dirty = F.col("dirty") if "dirty" in log.columns else F.lit(False)
+    # Made once per record; the messages below only refer to the texts.
+    texts = _with_items(_with_items(log.withColumns({"_is_start": is_start(), "_is_error": is_error(), "_dirty": dirty}), "displays"), "actions")
     nothing = F.array().cast("array<struct<topic:string,value:string>>")
 
     def message(topic: str | Column, value: Column) -> Column:
@@ -176,21 +221,15 @@ def fan_out(log: DataFrame) -> DataFrame:
     def when_page(items: Column) -> Column:
         return F.coalesce(F.when(~F.col("_is_start"), items), nothing)
 
-    def display(item: Column) -> Column:
-        entries = {"ts": _as_variant(F.col("ts")), "page_id": page_id}
-        return message(TOPICS["display"], _with_entries(item, ("ts", "page_id"), entries))
-
-    def action(item: Column) -> Column:
-        entries = {"common": _as_variant(F.col("_common")), "page_id": page_id}
-        return message(TOPICS["action"], _with_entries(item, ("common", "page_id"), entries))
+    def of_items(name: str, topic: str, entries: dict[str, Column]) -> Column:
+        return F.transform(name, lambda item, i: message(topic, _item_message(item, F.get(f"_{name}", i), entries)))
 
-    main_topic = F.when(F.col("_is_start"), TOPICS["start"]).otherwise(TOPICS["page"])
-    record = F.col("_record")
+    main_topic = F.when(F.col("_dirty"), DIRTY_TOPIC).when(F.col("_is_start"), TOPICS["start"]).otherwise(TOPICS["page"])
     messages = F.concat(
-        F.array(message(main_topic, record)),
-        F.when(F.col("_is_error"), F.array(message(TOPICS["error"], record))).otherwise(nothing),
-        when_page(F.transform("displays", display)),
-        when_page(F.transform("actions", action)),
+        F.array(message(main_topic, F.col("record"))),
+        F.when(F.col("_is_error"), F.array(message(TOPICS["error"], F.col("record")))).otherwise(nothing),
+        when_page(of_items("displays", TOPICS["display"], _display_entries())),
+        when_page(of_items("actions", TOPICS["action"], _action_entries())),
     )
     return texts.select("id", F.explode(messages).alias("_m")).select("id", "_m.*")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brookmart.operators.asof import as_of
 from brookmart.operators.changelog import current_state
 
 CONFIG_COLUMNS = ["source_table", "sink_table", "sink_columns", "sink_pk", "sink_extend"]
@@ -17,15 +18,17 @@ def current_config(config_log: DataFrame, order: list[str]) -> DataFrame:
     A deleted route disappears. An empty key falls back to ``id`` and an absent
     suffix to the empty text.
     """
-    after = F.col("after")
     live = current_state(config_log, ["source_table"], order)
-    return live.select(
-        "source_table",
+    return live.select("source_table", *_sink(F.col("after")))
+
+
+def _sink(after: Column) -> list[Column]:
+    return [
         after["sink_table"].alias("sink_table"),
         after["sink_columns"].alias("sink_columns"),
         F.coalesce(F.nullif(after["sink_pk"], F.lit("")), F.lit("id")).alias("sink_pk"),
         F.coalesce(after["sink_extend"], F.lit("")).alias("sink_extend"),
-    )
+    ]
 
 
 def route(ods: DataFrame, config: DataFrame) -> DataFrame:
@@ -43,6 +46,20 @@ def route(ods: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
+def route_as_of(ods: DataFrame, config_log: DataFrame, at: str, config_at: str = "change_ts", order: str = "seq", bucket: str = "1 hour") -> DataFrame:
+    """Attach the sink that was configured when each change happened.
+
+    ``at`` is the time of a change and ``config_at`` that of a configuration row. Changes
+    before the first route of their table, after its deletion and without a time are dropped,
+    deletes too. The history of a table is cut into time buckets, see :func:`asof.as_of`.
+    """
+    changes = ods.filter(F.col("type") != "delete")
+    routes = config_log.select(F.col("source_table").alias("table"), config_at, order, "op", *_sink(F.col("after")))
+    routed = as_of(changes, routes, ["table"], at, config_at, order, bucket, "_route")
+    sink = [F.col("_route")[c].alias(c) for c in ("sink_table", "sink_columns", "sink_pk")]
+    return routed.filter(F.col("_route").isNotNull() & (F.col("_route")["op"] != "d")).select(*ods.columns, *sink)
+
+
 def column_list(text: str) -> list[str]:
     """Names of a comma list; blanks around them and empty entries do not count."""
     return [name for part in text.split(",") if (name := part.strip(" \t\r\n"))]

@@ -15,12 +15,18 @@ def detail_with_order(detail: DataFrame, info: DataFrame) -> DataFrame:
     return detail.join(order, F.col("order_id") == F.col("_order_id")).drop("_order_id")
 
 
-def order_wide(detail: DataFrame, info: DataFrame, activity: DataFrame, coupon: DataFrame) -> DataFrame:
+def _left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: bool) -> DataFrame:
+    return left_join_split(left, right, left_key, right_key) if hot else left.join(right, F.col(left_key) == F.col(right_key), "left")
+
+
+def order_wide(detail: DataFrame, info: DataFrame, activity: DataFrame, coupon: DataFrame, hot: bool = False) -> DataFrame:
     """Order line with order, activity and coupon columns; the last two are optional.
 
     The outer joins run first: they move the narrow line rows, before the order
     columns are attached, and the result ends up partitioned by ``order_id``, the
-    key of the payment join.
+    key of the payment join. Every input is read once. An activity or coupon belongs to a
+    line, so a line has few of them and adaptive splitting of the lines is enough; where one
+    line may own a large share of them, ``hot`` splits that side too and reads inputs again.
     """
     act = activity.select(
         F.col("order_detail_id").alias("_act_key"),
@@ -32,20 +38,23 @@ def order_wide(detail: DataFrame, info: DataFrame, activity: DataFrame, coupon:
         F.col("id").alias("order_detail_coupon_id"), "coupon_id", "coupon_use_id",
         F.col("create_time").alias("order_detail_coupon_create_time"),
     )
-    lines = left_join_split(detail, act, "id", "_act_key")
-    lines = left_join_split(lines, cou, "id", "_cou_key").withColumnRenamed("id", "order_detail_id")
+    lines = _left_join(detail, act, "id", "_act_key", hot)
+    lines = _left_join(lines, cou, "id", "_cou_key", hot).withColumnRenamed("id", "order_detail_id")
     return detail_with_order(lines, info).select(*schemas.ORDER_WIDE)
 
 
-def payment_wide(payment: DataFrame, wide: DataFrame) -> DataFrame:
-    """Every payment with all lines of its order; a payment without lines stays, null-padded."""
+def payment_wide(payment: DataFrame, wide: DataFrame, hot: bool = False) -> DataFrame:
+    """Every payment with all lines of its order; a payment without lines stays, null-padded.
+
+    ``hot`` is for orders that own a large share of all lines, see :func:`order_wide`.
+    """
     pay = payment.select(
         F.col("id").alias("payment_id"), F.col("order_id").alias("_pay_order"),
         F.col("out_trade_no").alias("_pay_trade_no"), "subject", "payment_status",
         F.col("create_time").alias("payment_create_time"), "callback_time", "callback_content",
     )
     lines = wide.drop("out_trade_no", "img_url")
-    joined = left_join_split(pay, lines, "_pay_order", "order_id")
+    joined = _left_join(pay, lines, "_pay_order", "order_id", hot)
     return joined.withColumnRenamed("_pay_trade_no", "out_trade_no").select(*schemas.PAYMENT_WIDE)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,13 +13,14 @@ from brookmart import schemas
 from brookmart.functions import scalars
 from brookmart.functions.tokens import words
 from brookmart.operators import (
-    changelog, enrich, joins, keywords, latest, logs, routing, visits, wide, windows,
+    changelog, enrich, joins, keywords, latest, logs, partials, routing, visits, wide, windows,
 )
 from brookmart.plans import reports
 from brookmart.session import pin_session
 from brookmart.sources.readers import renamed_dimension
-from brookmart.sources.standins import DATABASE, Standins
-from brookmart.streaming import replay, stateful
+from brookmart.sources.standins import DATABASE, WIDE_STATES, Days, Standins
+from brookmart.streaming import jobs, replay, sinks, stateful
+from brookmart.streaming.enrichment import EnrichedSink
 from brookmart.streaming.watermark import with_event_time
 
 VISIT_DAY = 20240115
@@ -27,6 +29,12 @@ ORDER_DAY = 19970131
 AS_OF = "2024-01-01"
 BOUNCE_WITHIN = "12 hours"
 JOIN_RANGE = "5 minutes"
+#: Keys of the busy order aggregate, and how many of each there are.
+BUSY_KEYS = {"user_id": 7, "province_id": 5, "sku_id": 11}
+#: Of lines with the same id the first counts.
+LINE_ORDER = ["create_time", "sku_num", "split_total_amount"]
+#: Deliveries in which tables reach the streams.
+PARTS = 3
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -135,6 +143,23 @@ def log_fan_out(s: Standins) -> DataFrame:
     return logs.fan_out(_repaired(s)).groupBy("id", "topic").agg(F.count("value").alias("n"))
 
 
+@query
+def log_fan_out_values(s: Standins) -> DataFrame:
+    """What every message carries, dirty ones too: members as text, long numbers and trailing zeros included."""
+    messages = logs.fan_out(logs.repair_log(logs.parse_records(s.exact_log())))
+    common = F.when(F.col("topic") != logs.DIRTY_TOPIC, F.get_json_object("value", "$.common"))
+
+    def number(name: str) -> Column:
+        return F.regexp_extract("value", rf'{name}\\?":([0-9.]+)', 1).alias(name)
+
+    whole = F.when(F.col("topic") == logs.DIRTY_TOPIC, F.col("value"))
+    return messages.select(
+        "id", "topic", number("trace"), number("weight"), number("price"), F.get_json_object(common, "$.mid").alias("mid"),
+        F.get_json_object(common, "$.is_new").alias("is_new"), F.coalesce(_member("$.item"), _member("$.page.item")).alias("item"),
+        _member("$.ts", "bigint").alias("ts"), F.coalesce(_member("$.page_id"), _member("$.page.page_id")).alias("page_id"), whole.alias("dirty"),
+    )
+
+
 @query
 def epoch_to_ts(s: Standins) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -237,6 +262,13 @@ def dim_route(s: Standins) -> DataFrame:
         "table", "type", "sink_table", "sink_pk", "id")
 
 
+@query
+def dim_route_as_of(s: Standins) -> DataFrame:
+    """Routes in force when each change happened; they change, vanish and come back inside the feed."""
+    routed = routing.route_as_of(s.ods_times(), s.config_log(), "change_at", bucket="6 hours")
+    return routed.select("table", "type", "id", "sink_table", "sink_columns", "sink_pk")
+
+
 @query
 def dim_prune_columns(s: Standins) -> DataFrame:
     pruned = routing.prune_columns(_routed(s).withColumn("id", F.col("data")["id"]))
@@ -299,6 +331,32 @@ def order_wide(s: Standins) -> DataFrame:
     return _wide(s)
 
 
+def _wide_state(s: Standins, arrived: dict[str, str]) -> DataFrame:
+    lines = latest.first_per_key(s.business("order_detail", arrived["order_detail"]), ["id"], LINE_ORDER)
+    return wide.order_wide(
+        lines, _info(s),
+        latest.first_per_key(s.business("order_detail_activity", arrived["order_detail_activity"]), ["order_detail_id"], ["create_time"]),
+        latest.first_per_key(s.business("order_detail_coupon", arrived["order_detail_coupon"]), ["order_detail_id"], ["create_time"]),
+    )
+
+
+def wide_versions(s: Standins) -> sinks.VersionTable:
+    """Order wide as a table of versions: first what had arrived early, then everything, less cancelled lines."""
+    table = sinks.VersionTable(replay.new_folder(s.spark, "order_wide"), ["order_detail_id"], ["_batch"])
+    first, second = (_wide_state(s, arrived) for arrived in WIDE_STATES)
+    table(first.withColumns({"_batch": F.lit(0), "_deleted": F.lit(False)}), 0)
+    gone = table.as_of(s.spark, 0).join(second.select("order_detail_id"), "order_detail_id", "left_anti")
+    table(second.withColumns({"_batch": F.lit(1), "_deleted": F.lit(False)}), 1)
+    table(gone.withColumns({"_batch": F.lit(1), "_deleted": F.lit(True)}), 1)
+    return table
+
+
+@query
+def order_wide_changes(s: Standins) -> DataFrame:
+    """What a reader of the first state has to retract and to add."""
+    return wide_versions(s).changes(s.spark, 0, 1, schemas.ORDER_WIDE, "_deleted")
+
+
 @query
 def payment_wide(s: Standins) -> DataFrame:
     return wide.payment_wide(s.business("payment_info"), _wide(s))
@@ -337,16 +395,27 @@ def first_per_order_detail(s: Standins) -> DataFrame:
     return latest.first_per_key(rows, ["id"], ["create_time", "line_key"])
 
 
-def _order_stats(s: Standins, width: str = "10 seconds") -> DataFrame:
+def _order_lines(s: Standins, days: Days | None = None) -> DataFrame:
     # The aggregate uses neither activity nor coupon columns, so it reads the
     # inner join and skips the two outer ones.
-    lines = wide.detail_with_order(_detail(s), _info(s)).withColumnRenamed("id", "order_detail_id")
-    used = lines.select(
+    detail = s.lines_of(days) if days else _detail(s)
+    lines = wide.detail_with_order(detail, _info(s)).withColumnRenamed("id", "order_detail_id")
+    return lines.select(
         "order_detail_id", "sku_id", "sku_name", "order_price", "user_id", "province_id", "sku_num",
         "split_total_amount", "create_time",
     )
-    once = latest.first_per_key(used, ["order_detail_id"], ["create_time", "sku_num", "split_total_amount"])
-    return windows.user_province_sku_stats(windows.order_measures(once), width)
+
+
+def _measures(s: Standins, days: Days | None = None) -> DataFrame:
+    return windows.order_measures(_order_lines_once(s, days))
+
+
+def _order_lines_once(s: Standins, days: Days | None = None) -> DataFrame:
+    return latest.first_per_key(_order_lines(s, days), ["order_detail_id"], LINE_ORDER)
+
+
+def _order_stats(s: Standins, width: str = "10 seconds", days: Days | None = None) -> DataFrame:
+    return windows.user_province_sku_stats(_measures(s, days), width)
 
 
 @query
@@ -359,6 +428,13 @@ def user_province_sku_daily(s: Standins) -> DataFrame:
     return _order_stats(s, "1 day")
 
 
+@query
+def user_province_sku_busy(s: Standins) -> DataFrame:
+    """Few keys and long windows: groups of many lines."""
+    few = {c: F.pmod(c, F.lit(n)) for c, n in BUSY_KEYS.items()}
+    return windows.user_province_sku_stats(_measures(s).withColumns(few), "365 days")
+
+
 def _user_lookup(s: Standins, how: str) -> DataFrame:
     orders = s.business("order_info").select("id", "user_id")
     columns = {"gender": "GENDER", "birthday": "BIRTHDAY"}
@@ -375,8 +451,8 @@ def dim_lookup_left(s: Standins) -> DataFrame:
     return _user_lookup(s, "left")
 
 
-def _enriched(s: Standins, how: str = "inner") -> DataFrame:
-    return enrich.snowflake_enrich(_order_stats(s), s.dims(), F.lit(AS_OF).cast("timestamp"), how)
+def _enriched(s: Standins, how: str = "inner", days: Days | None = None) -> DataFrame:
+    return enrich.snowflake_enrich(_order_stats(s, days=days), s.dims(), F.lit(AS_OF).cast("timestamp"), how)
 
 
 @query
@@ -408,6 +484,11 @@ def page_view_stats_hourly(s: Standins) -> DataFrame:
     return windows.page_view_stats(s.page_log(), "1 hour")
 
 
+@query
+def page_view_stats_monthly(s: Standins) -> DataFrame:
+    return windows.page_view_stats(s.page_log(), "30 days")
+
+
 @query
 def first_visit_per_day(s: Standins) -> DataFrame:
     return visits.first_visit_per_day(s.page_log()).select(
@@ -415,8 +496,8 @@ def first_visit_per_day(s: Standins) -> DataFrame:
     )
 
 
-def _unique_visits(s: Standins, width: str = "10 seconds") -> DataFrame:
-    return windows.unique_visit_stats(visits.first_visit_per_day(s.page_log()), width)
+def _unique_visits(s: Standins, width: str = "10 seconds", days: Days | None = None) -> DataFrame:
+    return windows.unique_visit_stats(visits.first_visit_per_day(s.page_log(days)), width)
 
 
 @query
@@ -444,8 +525,8 @@ def bounce_union(s: Standins) -> DataFrame:
     return visits.bounce_outcomes(s.page_log(), BOUNCE_WITHIN).select("id", "mid", "outcome")
 
 
-def _bounces(s: Standins, width: str = "10 seconds") -> DataFrame:
-    return windows.bounce_stats(visits.bounce_outcomes(s.page_log(), BOUNCE_WITHIN), width)
+def _bounces(s: Standins, width: str = "10 seconds", days: Days | None = None) -> DataFrame:
+    return windows.bounce_stats(visits.bounce_outcomes(s.page_log(days), BOUNCE_WITHIN), width)
 
 
 @query
@@ -469,8 +550,8 @@ def keyword_split(s: Standins) -> DataFrame:
     return s.table("documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
 
 
-def _keyword_counts(s: Standins) -> DataFrame:
-    rows = keywords.search_rows(s.keyword_log()).select("event_ts", "item")
+def _keyword_counts(s: Standins, days: Days | None = None) -> DataFrame:
+    rows = keywords.search_rows(s.keyword_log(days)).select("event_ts", "item")
     return windows.keyword_stats(keywords.split_words(rows))
 
 
@@ -484,31 +565,33 @@ def keyword_stats(s: Standins) -> DataFrame:
 
 @query
 def report_gmv(s: Standins) -> DataFrame:
-    return reports.gmv(_enriched(s), ORDER_DAY)
+    return reports.gmv(_enriched(s, days=reports.span_of(ORDER_DAY)), ORDER_DAY)
 
 
 @query
 def report_spu(s: Standins) -> DataFrame:
-    return reports.top_spu(_enriched(s), ORDER_DAY)
+    return reports.top_spu(_enriched(s, days=reports.span_of(ORDER_DAY)), ORDER_DAY)
 
 
 @query
 def report_category3(s: Standins) -> DataFrame:
-    return reports.top_category3(_enriched(s), ORDER_DAY)
+    return reports.top_category3(_enriched(s, days=reports.span_of(ORDER_DAY)), ORDER_DAY)
 
 
 @query
 def report_trademark(s: Standins) -> DataFrame:
-    return reports.top_trademark(_enriched(s), ORDER_DAY)
+    return reports.top_trademark(_enriched(s, days=reports.span_of(ORDER_DAY)), ORDER_DAY)
 
 
 @query
 def report_province(s: Standins) -> DataFrame:
-    return reports.province_sales(_enriched(s), ORDER_DAY)
+    return reports.province_sales(_enriched(s, days=reports.span_of(ORDER_DAY)), ORDER_DAY)
 
 
 def _visit_tables(s: Standins) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return windows.page_view_stats(s.page_log()), _unique_visits(s), _bounces(s)
+    # A visit is decided by its own day, a bounce by the next page of the device as well.
+    day, longer = reports.span_of(VISIT_DAY), reports.span_of(VISIT_DAY, BOUNCE_WITHIN)
+    return windows.page_view_stats(s.page_log(day)), _unique_visits(s, days=day), _bounces(s, days=longer)
 
 
 @query
@@ -539,53 +622,181 @@ def report_visitor_hour_filled(s: Standins) -> DataFrame:
 
 @query
 def report_pv_rows(s: Standins) -> DataFrame:
-    return reports.page_view_row_count(windows.page_view_stats(s.page_log()), VISIT_DAY)
+    return reports.page_view_row_count(windows.page_view_stats(s.page_log(reports.span_of(VISIT_DAY))), VISIT_DAY)
 
 
 @query
 def report_uv_rows(s: Standins) -> DataFrame:
-    return reports.unique_visit_row_count(_unique_visits(s), VISIT_DAY)
+    return reports.unique_visit_row_count(_unique_visits(s, days=reports.span_of(VISIT_DAY)), VISIT_DAY)
 
 
 @query
 def report_keyword(s: Standins) -> DataFrame:
-    return reports.top_keywords(_keyword_counts(s), KEYWORD_DAY)
+    return reports.top_keywords(_keyword_counts(s, reports.span_of(KEYWORD_DAY)), KEYWORD_DAY)
+
+
+# --- reports over stored aggregates --------------------------------------------------
+#
+# The aggregates are stored by day in several batches, as partial results: a group whose
+# rows arrive in different batches has a partial row in each.
+
+
+def stored_orders(s: Standins) -> DataFrame:
+    """Partial results of the order aggregate, stored batch by batch."""
+    path, lines = replay.new_folder(s.spark, "order_partials"), _measures(s)
+    # By time; of the last day of a month every second line comes a batch late.
+    month_end = F.to_date("event_ts") == F.last_day("event_ts")
+    year, late = F.year("event_ts"), month_end & (F.pmod(F.xxhash64("order_detail_id"), F.lit(2)) == 0)
+    batch_of = F.when(year < 1997, 0).when(year < 1999, 1).otherwise(2) + F.when(late, 1).otherwise(0)
+    table = sinks.BatchTable(path, "orders", [*partials.WINDOW, *partials.ORDER_KEYS, "order_sku_num", "order_amount", "order_ct", "ts", "first"])
+    for batch in range(4):
+        table(partials.order_partials(lines.filter(batch_of == batch)), batch)
+    return sinks.BatchTable.read(s.spark, path)
+
+
+def stored_visits(s: Standins) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Page views, unique visits and bounces, stored batch by batch."""
+    first, bounced = visits.first_visit_per_day(s.page_log()), visits.bounce_outcomes(s.page_log(), BOUNCE_WITHIN)
+    kinds = [
+        ("page_views", s.page_log(), windows.page_view_stats, schemas.PAGE_VIEW_STATS, partials.merged_page_views),
+        ("unique_visits", first, windows.unique_visit_stats, schemas.UNIQUE_VISIT_STATS, partials.merged_unique_visits),
+        ("bounces", bounced, windows.bounce_stats, schemas.BOUNCE_STATS, partials.merged_bounces),
+    ]
+    out = []
+    for name, rows, stats, columns, merged in kinds:
+        path = replay.new_folder(s.spark, name)
+        for batch in range(PARTS):
+            sinks.BatchTable(path, name, columns)(stats(rows.filter(F.pmod("id", F.lit(PARTS)) == batch)), batch)
+        out.append(merged(reports.on_day(sinks.BatchTable.read(s.spark, path), VISIT_DAY)))
+    return tuple(out)
+
+
+def _stored_day(s: Standins) -> DataFrame:
+    day = partials.merged_orders(reports.on_day(stored_orders(s), ORDER_DAY))
+    return enrich.snowflake_enrich(day, s.dims(), F.lit(AS_OF).cast("timestamp"))
+
+
+@query
+def stored_user_province_sku(s: Standins) -> DataFrame:
+    return partials.merged_orders(stored_orders(s)).drop("dt")
+
+
+@query
+def stored_report_spu(s: Standins) -> DataFrame:
+    return reports.top_spu(_stored_day(s), ORDER_DAY)
+
+
+@query
+def stored_report_visitor_pivot(s: Standins) -> DataFrame:
+    return reports.visitor_pivot(reports.visitor_ratios(reports.visitors_by_flag(*stored_visits(s), VISIT_DAY)))
+
+
+@query
+def stored_report_visitor_hour(s: Standins) -> DataFrame:
+    return reports.visitors_by_hour(*stored_visits(s), VISIT_DAY)
 
 
 # --- streaming forms, run to the end of the feed ---------------------------------
+#
+# The tables arrive in several deliveries; between them the queries restart from their checkpoints.
+
+
+def _delivered(s: Standins, rows: DataFrame, by: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Final rows of ``build(stream)`` after all deliveries of ``rows``."""
+    folder = replay.new_folder(s.spark, name)
+    return replay.in_parts(rows, by, folder, lambda stream, _: replay.append_to_end(build(stream), folder), PARTS)
+
+
+def _timed_pages(s: Standins) -> DataFrame:
+    return s.page_log().withColumn("ts", F.unix_millis("event_ts"))
 
 
 @query
 def stream_page_view_stats(s: Standins) -> DataFrame:
-    pages = with_event_time(s.page_stream(), F.col("event_ts"))
     keys = ["stt", "page_id", *windows.VISITOR_KEYS]
     folder = replay.new_folder(s.spark, "page_view_stats")
-    return replay.update_to_end(windows.page_view_stats(pages), keys, folder)
+
+    def run(stream: DataFrame, number: int) -> DataFrame:
+        return replay.update_to_end(windows.page_view_stats(with_event_time(stream, F.col("event_ts"))), keys, folder)
+
+    return replay.in_parts(_timed_pages(s), "event_ts", folder, run, PARTS)
 
 
 @query
 def stream_new_visitor_repair(s: Standins) -> DataFrame:
-    pages = s.page_stream().select("id", "mid", "is_new", F.unix_micros("event_ts").alias("ts"))
-    fixed = stateful.repair_new_flag_stream(pages).select("id", "mid", "is_new")
-    return replay.append_to_end(fixed, replay.new_folder(s.spark, "new_visitor_repair"))
+    pages = _timed_pages(s).select("id", "mid", "is_new", "event_ts", F.unix_micros("event_ts").alias("ts"))
+    return _delivered(
+        s, pages, "event_ts", "new_visitor_repair",
+        lambda stream: stateful.repair_new_flag_stream(stream.drop("event_ts")).select("id", "mid", "is_new"),
+    )
 
 
 @query
 def stream_first_visit_per_day(s: Standins) -> DataFrame:
-    pages = with_event_time(s.page_stream().select("id", "mid", "ts", "last_page_id", "event_ts"), F.col("event_ts"))
-    first = stateful.first_visit_stream(pages)
-    rows = replay.append_to_end(first, replay.new_folder(s.spark, "first_visit"))
+    pages = _timed_pages(s).select("id", "mid", "ts", "last_page_id", "event_ts")
+    rows = _delivered(
+        s, pages, "event_ts", "first_visit",
+        lambda stream: stateful.first_visit_stream(with_event_time(stream, F.col("event_ts"))),
+    )
     return rows.select("id", "mid", scalars.day_text(F.col("event_ts")).alias("day"))
 
 
 @query
 def stream_bounces(s: Standins) -> DataFrame:
-    folder = replay.new_folder(s.spark, "bounces")
+    pages = _timed_pages(s).select("id", "mid", "ts", "last_page_id", "event_ts")
     far = F.lit("2100-01-01 00:00:00").cast("timestamp")
-    pages = s.page_stream().select("id", "mid", "ts", "last_page_id", "event_ts")
-    closed = replay.end_of_feed(pages, folder, event_ts=far, ts=F.unix_millis(far), last_page_id="end", id=-1, mid="end")
-    bounced = stateful.bounce_stream(with_event_time(closed, F.col("event_ts")), BOUNCE_WITHIN)
-    return replay.append_to_end(bounced.select("id", "mid", "outcome"), folder)
+    # One more page far ahead closes everything before it.
+    end = {"event_ts": far, "ts": F.unix_millis(far), "last_page_id": F.lit("end"), "id": F.lit(-1), "mid": F.lit("end")}
+    last = s.spark.range(1).select(*[end[f.name].cast(f.dataType).alias(f.name) for f in pages.schema.fields])
+    return _delivered(
+        s, pages.unionByName(last), "event_ts", "bounces",
+        lambda stream: stateful.bounce_stream(with_event_time(stream, F.col("event_ts")), BOUNCE_WITHIN).select("id", "mid", "outcome"),
+    )
+
+
+@query
+def stream_cdc_current_state(s: Standins) -> DataFrame:
+    """A snapshot, taken at another position for every second key, and the changes around and after it."""
+    folder = replay.new_folder(s.spark, "cdc_state")
+    changes = s.user_cdc().select("id", "op", "seq", "after")
+    taken = F.when(F.col("id").cast("bigint") % 2 == 0, 3).otherwise(1)
+    latest.latest_per_key(changes.filter(F.col("seq") <= taken), ["id"], ["seq"]).write.parquet(f"{folder}/snapshot")
+    snapshot = s.spark.read.parquet(f"{folder}/snapshot")
+
+    def run(stream: DataFrame, number: int) -> DataFrame:
+        return replay.append_to_end(stateful.current_state_stream(stream, snapshot, ["id"]), folder)
+
+    news = replay.in_parts(changes.filter("seq > 1"), "seq", folder, run, PARTS)
+    after = F.col("after")
+    return changelog.current_state(snapshot.unionByName(news), ["id"], ["seq"]).select(
+        "id", after["name"].alias("name"), after["phone_num"].alias("phone_num"))
+
+
+@query
+def stream_snowflake_enrich(s: Standins) -> DataFrame:
+    """Order aggregate and enrichment, while users and products still arrive."""
+    folder, whole, step = replay.new_folder(s.spark, "enriched"), s.dims(), 0
+
+    def dims() -> enrich.Dimensions:
+        known = "cast(ID as bigint) % 2 = 0"
+        if step == 0:
+            return replace(whole, user=whole.user.filter(known), sku=whole.sku.filter(known))
+        return replace(whole, category3=whole.category3.filter(known)) if step == 1 else whole
+
+    sink = EnrichedSink(dims, f"{folder}/rows", F.lit(AS_OF).cast("timestamp"))
+
+    def run(stream: DataFrame, number: int) -> None:
+        nonlocal step
+        step = number
+        replay.batches_to_end(jobs.user_province_sku_stats(stream.drop("_at")), sink, folder)
+
+    once = _order_lines_once(s).withColumn("_at", scalars.text_to_ts(F.col("create_time")))
+    lines = once.unionByName(once)  # every line is sent again, as an upsert feed does
+    last = lines.limit(0).unionByName(s.spark.range(1).select(
+        F.lit("end").alias("order_detail_id"), F.lit("2100-01-01 00:00:00").alias("create_time"),
+        F.lit("2100-01-01 00:00:00").cast("timestamp").alias("_at")), allowMissingColumns=True)
+    replay.in_parts(lines.unionByName(last), "_at", folder, run, PARTS)
+    return sink.rows(s.spark)
 
 
 @query

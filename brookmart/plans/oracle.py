@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from brookmart import schemas
 from brookmart.plans import reports
-from brookmart.plans.catalog import AS_OF, KEYWORD_DAY, ORDER_DAY, VISIT_DAY
+from brookmart.plans.catalog import AS_OF, BUSY_KEYS, KEYWORD_DAY, ORDER_DAY, VISIT_DAY
 from brookmart.sources import standins as st
 
 WITHIN = "INTERVAL '12 hours'"
@@ -105,6 +105,23 @@ LOG_SQL = {
                      WHERE NOT has_start AND json_array_length(value, '$.actions') > 0""",
         **_LOG,
     ),
+    "log_fan_out_values": with_(
+        f"""SELECT id, topic, trace, weight, price, mid, is_new, item, ts, page_id, dirty FROM (
+              SELECT id, 'dirty_log' AS topic, regexp_extract(value, 'trace":([0-9.]+)', 1) AS trace, regexp_extract(value, 'weight":([0-9.]+)', 1) AS weight,
+                     regexp_extract(value, 'price":([0-9.]+)', 1) AS price, NULL AS mid, NULL AS is_new, NULL AS item, NULL AS ts, NULL AS page_id, value AS dirty
+              FROM raw_log WHERE NOT ({_OBJECT})
+              UNION ALL
+              SELECT id, topic, '{st.TRACE}', '1.10', CASE WHEN json_array_length(value, '$.displays') > 0 THEN '2.50' ELSE '' END, mid, is_new, item, ts, page_id, NULL
+              FROM repaired, unnest(CASE WHEN has_start AND has_err THEN ['dwd_start_log', 'dwd_error_log'] WHEN has_start THEN ['dwd_start_log']
+                                         WHEN has_err THEN ['dwd_page_log', 'dwd_error_log'] ELSE ['dwd_page_log'] END) AS t(topic)
+              UNION ALL
+              SELECT id, 'dwd_display_log', '', '', '2.50', NULL, NULL, d->>'$.item', ts, page_id, NULL
+              FROM (SELECT id, ts, page_id, unnest(json_extract(value, '$.displays[*]')) AS d FROM repaired WHERE NOT has_start)
+              UNION ALL
+              SELECT id, 'dwd_action_log', '', '1.10', '', mid, is_new, a->>'$.item', CAST(a->>'$.ts' AS BIGINT), page_id, NULL
+              FROM (SELECT id, mid, is_new, page_id, unnest(json_extract(value, '$.actions[*]')) AS a FROM repaired WHERE NOT has_start))""",
+        **{**_LOG, "raw_log": st.exact_log_sql()},
+    ),
     "epoch_to_ts": """
         SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS rt,
                strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g') AS rt_ms,
@@ -237,51 +254,74 @@ CHANGE_SQL = {
 # --- wide tables ------------------------------------------------------------------
 
 _TABLES = {name: st.business_sql(name) for name in st.BUSINESS}
-_WIDE_COLUMNS = ", ".join(
-    ["od.id AS order_detail_id"]
-    + [f"od.{c}" for c in schemas.WIDE_FROM_DETAIL]
-    + [f"oi.{c}" for c in schemas.WIDE_FROM_ORDER]
-    + ["oa.id AS order_detail_activity_id", "oa.activity_id", "oa.activity_rule_id",
-       "oa.create_time AS order_detail_activity_create_time",
-       "oc.id AS order_detail_coupon_id", "oc.coupon_id", "oc.coupon_use_id",
-       "oc.create_time AS order_detail_coupon_create_time"]
-)
-_WIDE = {
-    **_TABLES,
-    "wide": f"""
-        SELECT {_WIDE_COLUMNS} FROM order_detail od JOIN order_info oi ON od.order_id = oi.id
-        LEFT JOIN order_detail_activity oa ON od.id = oa.order_detail_id
-        LEFT JOIN order_detail_coupon oc ON od.id = oc.order_detail_id""",
-}
 
+# What a line gains from each other input: how, input, the key there and on the line, columns (renamed ones in pairs).
+_GAINS = [
+    ("INNER", "order_info", ("id", "order_id"), schemas.WIDE_FROM_ORDER),
+    *[("LEFT", f"order_detail_{kind}", ("order_detail_id", "id"), [(c.removeprefix(f"order_detail_{kind}_"), c) if c.startswith("order_detail_") else c for c in names])
+      for kind, names in (("activity", schemas.WIDE_FROM_ACTIVITY), ("coupon", schemas.WIDE_FROM_COUPON))],
+]
+
+
+def _renamed(columns: list) -> str:
+    return ", ".join(c if isinstance(c, str) else f"{c[0]} AS {c[1]}" for c in columns)
+
+
+def _gathered(lines: str, gains: list, **inputs: str) -> str:
+    joins = " ".join(
+        f"{how} JOIN (SELECT {_renamed([key, *columns])} FROM {inputs.get(table, table)}) USING ({key[1]})" for how, table, key, columns in gains
+    )
+    return f"(FROM {lines} {joins})"
+
+
+def _order_wide(**inputs: str) -> str:
+    columns = _renamed([("id", "order_detail_id"), *schemas.ORDER_WIDE[1:]])
+    return f"SELECT {columns} FROM {_gathered(inputs.get('order_detail', 'order_detail'), _GAINS, **inputs)}"
+
+
+_WIDE = {**_TABLES, "wide": _order_wide()}
+
+
+def _with_lines(own: list, table: str, columns: list[str], keys: list[str], how: str) -> str:
+    """Rows of a table with the order lines of the same ``keys``; line columns that the table has itself are its own."""
+    names = [c if isinstance(c, str) else c[1] for c in own]
+    other = [c for c in columns if c not in names]
+    renamed = {k: k if k in names else f"{k}_of_row" for k in keys}
+    mine = _renamed([*own, *[(k, r) for k, r in renamed.items() if k != r]])
+    theirs = _renamed([*[c for c in other if c not in keys], *[(k, r) for k, r in renamed.items()], *[k for k in keys if k in other]])
+    return f"SELECT {', '.join(columns)} FROM (SELECT {mine} FROM {table}) {how} JOIN (SELECT {theirs} FROM wide) USING ({', '.join(renamed.values())})"
 
-def _wide_side(columns: list[str], own: set[str]) -> str:
-    return ", ".join(f"ow.{c}" for c in columns if c not in own)
 
+def _states_sql() -> str:
+    """Both states of the order wide, each row as one value, met by key."""
+    def first(name: str, also: str) -> str:
+        key, order = ("id", "create_time, sku_num, split_total_amount") if name == "order_detail" else ("order_detail_id", "create_time")
+        return f"(SELECT * FROM ({st.business_sql(name, also)}) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {order}) = 1)"
+
+    states = [_order_wide(**{name: first(name, also) for name, also in arrived.items()}) for arrived in st.WIDE_STATES]
+    row = "{" + ", ".join(f"'{c}': {c}" for c in schemas.ORDER_WIDE) + "}"
+    old, new = (f"(SELECT order_detail_id, {row} AS {name} FROM ({body}))" for name, body in zip(("old", "new"), states, strict=True))
+    return f"SELECT old, new FROM {old} FULL JOIN {new} USING (order_detail_id) WHERE old IS DISTINCT FROM new"
 
-_PAY_OWN = set(schemas.PAYMENT_WIDE[:7])
-_REF_OWN = set(schemas.REFUND_WIDE[:11])
 
 WIDE_SQL = {
-    "order_detail_join_info": with_(
-        f"""SELECT od.*, {', '.join('oi.' + c for c in schemas.WIDE_FROM_ORDER)}
-            FROM order_detail od JOIN order_info oi ON od.order_id = oi.id""",
-        **_TABLES,
-    ),
+    "order_detail_join_info": with_(f"SELECT * FROM {_gathered('order_detail', _GAINS[:1])}", **_TABLES),
     "order_wide": with_("SELECT * FROM wide", **_WIDE),
+    "order_wide_changes": with_(
+        """SELECT CASE WHEN old IS NULL THEN 'insert' ELSE 'update_after' END AS change, unnest(new) FROM changed WHERE new IS NOT NULL
+           UNION ALL SELECT CASE WHEN new IS NULL THEN 'delete' ELSE 'update_before' END, unnest(old) FROM changed WHERE old IS NOT NULL""",
+        **_TABLES, changed=_states_sql(),
+    ),
     "payment_wide": with_(
-        f"""SELECT pi.id AS payment_id, pi.out_trade_no, pi.subject, pi.payment_status,
-                   pi.create_time AS payment_create_time, pi.callback_time, pi.callback_content,
-                   {_wide_side(schemas.PAYMENT_WIDE, _PAY_OWN)}
-            FROM payment_info pi LEFT JOIN wide ow ON pi.order_id = ow.order_id""",
+        _with_lines(
+            [("id", "payment_id"), "out_trade_no", "subject", "payment_status", ("create_time", "payment_create_time"), "callback_time", "callback_content"],
+            "payment_info", schemas.PAYMENT_WIDE, ["order_id"], "LEFT"),
         **_WIDE,
     ),
     "refund_wide": with_(
-        f"""SELECT ri.id AS order_refund_id, ri.user_id, ri.order_id, ri.sku_id, ri.refund_type,
-                   ri.refund_num, ri.refund_amount, ri.refund_reason_type, ri.refund_reason_txt,
-                   ri.refund_status, ri.create_time AS order_refund_create_time,
-                   {_wide_side(schemas.REFUND_WIDE, _REF_OWN)}
-            FROM order_refund_info ri JOIN wide ow ON ri.order_id = ow.order_id AND ri.sku_id = ow.sku_id""",
+        _with_lines(
+            [("id", "order_refund_id"), *schemas.REFUND_WIDE[1:10], ("create_time", "order_refund_create_time")],
+            "order_refund_info", schemas.REFUND_WIDE, ["order_id", "sku_id"], "INNER"),
         **_WIDE,
     ),
     "id_join": """
@@ -297,8 +337,9 @@ WIDE_SQL = {
 # --- orders -----------------------------------------------------------------------
 
 
-def _order_stats(interval: str) -> str:
-    bucket = f"time_bucket({interval}, rt)"
+def _order_stats(interval: str, few: dict[str, int] | None = None) -> str:
+    bucket = f"time_bucket({interval}, rt, TIMESTAMP '1970-01-01')"
+    key = {c: f"CAST({c} AS BIGINT)" + (f" % {few[c]}" if few else "") for c in ("user_id", "province_id", "sku_id")}
     return f"""
         SELECT {_stt('bucket', interval)}, user_id, province_id, sku_id,
                CAST(sum(num) AS BIGINT) AS order_sku_num, CAST(sum(amount) AS DOUBLE) AS order_amount,
@@ -307,8 +348,8 @@ def _order_stats(interval: str) -> str:
                CAST(arg_min(price, [CAST(rt AS VARCHAR), id]) AS DOUBLE) AS sku_price
         FROM (
             SELECT *, {bucket} AS bucket FROM (
-                SELECT id, CAST(user_id AS BIGINT) AS user_id, CAST(province_id AS BIGINT) AS province_id,
-                       CAST(sku_id AS BIGINT) AS sku_id, sku_name, CAST(order_price AS DECIMAL(18,2)) AS price,
+                SELECT id, {key['user_id']} AS user_id, {key['province_id']} AS province_id,
+                       {key['sku_id']} AS sku_id, sku_name, CAST(order_price AS DECIMAL(18,2)) AS price,
                        CAST(sku_num AS BIGINT) AS num, CAST(split_total_amount AS DECIMAL(18,2)) AS amount,
                        CAST(create_time AS TIMESTAMP) AS rt
                 FROM (SELECT od.*, oi.user_id, oi.province_id,
@@ -361,6 +402,9 @@ ORDER_SQL = {
     "user_province_sku_daily": with_(
         "SELECT * FROM stats", **{**_TABLES, "stats": _order_stats("INTERVAL '1 day'")}
     ),
+    "user_province_sku_busy": with_(
+        "SELECT * FROM stats", **{**_TABLES, "stats": _order_stats("INTERVAL '365 days'", BUSY_KEYS)}
+    ),
     "dim_lookup_inner": with_(
         """SELECT o.id, o.user_id, u.GENDER AS gender, u.BIRTHDAY AS birthday
            FROM order_info o JOIN dim_user u ON o.user_id = u.ID""",
@@ -408,7 +452,7 @@ def _page_views(interval: str) -> str:
         SELECT {_stt('bucket', interval)}, page_id, vc, ch, ar, is_new, count(*) AS pv_ct,
                count(last_page_id) AS sv_ct, CAST(sum(COALESCE(during_time, 0)) AS BIGINT) AS dur_sum,
                count(*) - count(last_page_id) AS session_starts, epoch_us(min(event_ts)) // 1000 AS ts
-        FROM (SELECT *, time_bucket({interval}, event_ts) AS bucket FROM page_log)
+        FROM (SELECT *, time_bucket({interval}, event_ts, TIMESTAMP '1970-01-01') AS bucket FROM page_log)
         GROUP BY bucket, page_id, vc, ch, ar, is_new"""
 
 
@@ -440,6 +484,7 @@ _KEYWORD = {
 VISIT_SQL = {
     "page_view_stats": with_(_page_views(_TEN), **_VISIT),
     "page_view_stats_hourly": with_(_page_views(_HOUR), **_VISIT),
+    "page_view_stats_monthly": with_(_page_views("INTERVAL '30 days'"), **_VISIT),
     "first_visit_per_day": with_("SELECT id, mid, day FROM first_visits", **_VISIT),
     "unique_visit_stats": with_(_visitor_counts("first_visits", "uv_ct", _TEN), **_VISIT),
     "unique_visit_stats_hourly": with_(_visitor_counts("first_visits", "uv_ct", _HOUR), **_VISIT),
@@ -478,35 +523,29 @@ def _top(keys: str, limit: int, extra: str = "") -> str:
     )
 
 
+def _pivoted(key: str, names: list[str], needed: list[str], more: list[str] = ()) -> str:
+    """One row per key with the sums of the named measures; keys without the needed ones are left out."""
+    sums = [f"coalesce(sum(amount) FILTER (name = '{n}'), 0)::BIGINT AS {n}" for n in names]
+    present = " AND ".join(f"bool_or(name = '{n}')" for n in needed)
+    return f"SELECT {key}, {', '.join([*sums, *more])} FROM measured GROUP BY {key} HAVING {present}"
+
+
 _VISIT_TABLES = {
     **_VISIT,
     "pvs": _page_views(_TEN),
     "uvs": _visitor_counts("first_visits", "uv_ct", _TEN),
     "ujs": _visitor_counts("bounces", "uj_ct", _TEN),
-    "flags": f"""
-        SELECT pv.is_new, pv_ct, sv_ct, dur_sum, uv_ct, COALESCE(uj_ct, 0) AS uj_ct
-        FROM (SELECT is_new, CAST(sum(pv_ct) AS BIGINT) AS pv_ct, CAST(sum(sv_ct) AS BIGINT) AS sv_ct,
-                     CAST(sum(dur_sum) AS BIGINT) AS dur_sum
-              FROM pvs WHERE {_on(VISIT_DAY)} GROUP BY is_new) pv
-        JOIN (SELECT is_new, CAST(sum(uv_ct) AS BIGINT) AS uv_ct
-              FROM uvs WHERE {_on(VISIT_DAY)} GROUP BY is_new) uv ON pv.is_new = uv.is_new
-        LEFT JOIN (SELECT is_new, CAST(sum(uj_ct) AS BIGINT) AS uj_ct
-                   FROM ujs WHERE {_on(VISIT_DAY)} GROUP BY is_new) uj ON pv.is_new = uj.is_new""",
+    # Every measure of the day as a row of its own: hour, flag, name, value.
+    "measured": " UNION ALL ".join(
+        f"SELECT hour(CAST(stt AS TIMESTAMP)) AS hr, is_new, '{name}' AS name, {name} AS amount FROM {table} WHERE {_on(VISIT_DAY)}"
+        for table, names in (("pvs", ("pv_ct", "sv_ct", "dur_sum")), ("uvs", ("uv_ct",)), ("ujs", ("uj_ct",))) for name in names),
+    "flags": _pivoted("is_new", ["pv_ct", "sv_ct", "dur_sum", "uv_ct", "uj_ct"], ["pv_ct", "uv_ct"]),
     "ratios": f"""
         SELECT *, ({_half_up('uj_ct * 100', 'sv_ct', 2)}) / 100.0 AS uj_rate,
                ((({_half_up('dur_sum', 'sv_ct', 0)}) * 20 + 1000) // 2000) / 10.0 AS dur_per_sv,
                ({_half_up('pv_ct', 'sv_ct', 2)}) / 100.0 AS pv_per_sv
         FROM flags""",
-    "hours": f"""
-        SELECT CAST(pv.hr AS INTEGER) AS hr, COALESCE(new_uv, 0) AS new_uv, COALESCE(uj_ct, 0) AS uj_ct,
-               COALESCE(uv_ct, 0) AS uv_ct, pv_ct, uv.hr IS NOT NULL AS has_uv
-        FROM (SELECT hour(CAST(stt AS TIMESTAMP)) AS hr, CAST(sum(pv_ct) AS BIGINT) AS pv_ct
-              FROM pvs WHERE {_on(VISIT_DAY)} GROUP BY 1) pv
-        LEFT JOIN (SELECT hour(CAST(stt AS TIMESTAMP)) AS hr, CAST(sum(uv_ct) AS BIGINT) AS uv_ct,
-                          CAST(sum(CASE WHEN is_new = '1' THEN uv_ct ELSE 0 END) AS BIGINT) AS new_uv
-                   FROM uvs WHERE {_on(VISIT_DAY)} GROUP BY 1) uv ON pv.hr = uv.hr
-        LEFT JOIN (SELECT hour(CAST(stt AS TIMESTAMP)) AS hr, CAST(sum(uj_ct) AS BIGINT) AS uj_ct
-                   FROM ujs WHERE {_on(VISIT_DAY)} GROUP BY 1) uj ON pv.hr = uj.hr""",
+    "hours": _pivoted("hr", ["pv_ct", "uv_ct", "uj_ct"], ["pv_ct"], ["coalesce(sum(amount) FILTER (name = 'uv_ct' AND is_new = '1'), 0)::BIGINT AS new_uv", "bool_or(name = 'uv_ct') AS has_uv"]),
 }
 
 
@@ -544,7 +583,7 @@ REPORT_SQL = {
     "report_visitor_ratios": with_("SELECT * FROM ratios", **_VISIT_TABLES),
     "report_visitor_pivot": with_(_pivot_sql(), **_VISIT_TABLES),
     "report_visitor_hour": with_(
-        "SELECT hr, new_uv, uj_ct, uv_ct, pv_ct FROM hours WHERE has_uv", **_VISIT_TABLES
+        "SELECT CAST(hr AS INTEGER) AS hr, new_uv, uj_ct, uv_ct, pv_ct FROM hours WHERE has_uv", **_VISIT_TABLES
     ),
     "report_visitor_hour_filled": with_(
         """SELECT lpad(CAST(r.h AS VARCHAR), 2, '0') AS hr, COALESCE(uv_ct, 0) AS uv_ct,
@@ -562,15 +601,42 @@ REPORT_SQL = {
 }
 
 
-# The streaming forms give the rows of the batch forms.
+def _times_sql() -> str:
+    """The change log with the time of each change."""
+    at = f"TIMESTAMP '1970-01-01' + to_seconds({st.ODS_START} + CAST(epoch(CAST({{}} AS TIMESTAMP)) AS BIGINT) % {st.ODS_SPAN})"
+    parts = []
+    for name, (pairs, source, condition) in st.BUSINESS.items():
+        made = at.format(dict(pairs)["create_time"])
+        for kind, also in [("insert", "TRUE"), *([("update", "o_orderstatus = 'P'")] if name == "order_info" else [])]:
+            parts.append(f"SELECT '{name}' AS source_table, '{kind}' AS type, {pairs[0][1]} AS id, {made} AS change_ts FROM {source} WHERE ({condition}) AND ({also})")
+    return " UNION ALL ".join(parts)
+
+
+AS_OF_SQL = {
+    "dim_route_as_of": with_(
+        """SELECT source_table AS "table", type, id, sink_table, sink_columns, coalesce(nullif(sink_pk, ''), 'id') AS sink_pk
+           FROM feed ASOF JOIN (SELECT * FROM config_log QUALIFY row_number() OVER (PARTITION BY source_table, change_ts ORDER BY seq DESC) = 1) AS told
+             USING (source_table, change_ts)
+           WHERE op <> 'd'""",
+        config_log=st.config_log_sql(), feed=_times_sql(),
+    ),
+}
+
+# The streaming forms give the rows of the batch forms, reports over stored aggregates those of the reports.
 STREAM_SQL = {
     "stream_page_view_stats": VISIT_SQL["page_view_stats"],
     "stream_new_visitor_repair": LOG_SQL["new_visitor_repair"],
     "stream_first_visit_per_day": VISIT_SQL["first_visit_per_day"],
     "stream_bounces": VISIT_SQL["bounce_union"],
     "stream_interval_join": WIDE_SQL["interval_join"],
+    "stream_cdc_current_state": CHANGE_SQL["cdc_current_state"],
+    "stream_snowflake_enrich": ORDER_SQL["snowflake_enrich"],
+    "stored_user_province_sku": ORDER_SQL["user_province_sku_stats"],
+    "stored_report_spu": REPORT_SQL["report_spu"],
+    "stored_report_visitor_pivot": REPORT_SQL["report_visitor_pivot"],
+    "stored_report_visitor_hour": REPORT_SQL["report_visitor_hour"],
 }
 
 
 def all_sql() -> dict[str, str]:
-    return {**LOG_SQL, **CHANGE_SQL, **WIDE_SQL, **ORDER_SQL, **VISIT_SQL, **REPORT_SQL, **STREAM_SQL}
+    return {**LOG_SQL, **CHANGE_SQL, **WIDE_SQL, **ORDER_SQL, **VISIT_SQL, **REPORT_SQL, **AS_OF_SQL, **STREAM_SQL}

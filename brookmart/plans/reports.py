@@ -1,18 +1,19 @@
 """Daily reports over the aggregate tables.
 
 Every report takes the day as ``yyyyMMdd``; 0 or nothing means today. Aggregate
-tables are stored by day (``dt``); a table without that column is filtered by
-the prefix of ``stt``, which reaches the file scan as well.
+tables are stored by day (``dt``), which prunes folders. An aggregate made on the spot
+has no such column and is filtered by the prefix of ``stt``; that filter stays above the
+aggregate, so give the aggregate the raw rows of :func:`span_of` only.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmart.functions.scalars import half_up_div, padded_hour, scaled, short_name_or, text_to_ts
+from brookmart.functions.scalars import half_up_div, padded_hour, scaled, seconds_of, short_name_or, text_to_ts
 
 # Province shown for a name of at most one character.
 DEFAULT_PROVINCE = "贵州"
@@ -31,6 +32,12 @@ def day_of(date: int | None) -> str:
     return moment.strftime("%Y-%m-%d")
 
 
+def span_of(date: int | None, more: str = "0 seconds") -> tuple[str, str]:
+    """The day as two times, from the first up to the second, with ``more`` time after it."""
+    start = datetime.strptime(day_of(date), "%Y-%m-%d")
+    return f"{start:%Y-%m-%d %H:%M:%S}", f"{start + timedelta(days=1, seconds=seconds_of(more)):%Y-%m-%d %H:%M:%S}"
+
+
 def on_day(stats: DataFrame, date: int | None) -> DataFrame:
     day = day_of(date)
     if "dt" in stats.columns:

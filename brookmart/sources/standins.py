@@ -19,6 +19,8 @@ from brookmart.streaming.replay import table_stream
 DATABASE = "shop"
 
 Pairs = list[tuple[str, str]]
+#: Two times as text: from the first up to the second.
+Days = tuple[str, str]
 
 SPARK_MS = "unix_millis(CAST(ts AS TIMESTAMP))"
 ORACLE_MS = "epoch_us(ts) // 1000"
@@ -95,6 +97,15 @@ RAW_LOG: Pairs = [
      " || CASE k WHEN 13 THEN substr(record, 1, 90) WHEN 77 THEN '' WHEN 50 THEN '' ELSE record END"),
 ]
 
+# The same with members that no job lists, among them a number of 45 digits and trailing zeros.
+TRACE = "123456789012345678901234567890123456789012345"
+EXACT_LOG: Pairs = [
+    ("id", "id"),
+    ("value",
+     "replace(replace(replace(value, '\"common\":{', '\"trace\":" + TRACE + ",\"common\":{\"weight\":1.10,\"os\":[1, {\"a\":2}],'),"
+     " '\"order\":', '\"price\":2.50,\"order\":'), '\"action_id\":', '\"price\" : 3.00,\"action_id\":')"),
+]
+
 # --- business tables (orders, lineitem, customer) ----------------------------
 
 LINE_ID = "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)"
@@ -245,6 +256,15 @@ CONFIG_LOG: Pairs = [
     ("sink_extend", "CAST(NULL AS STRING)"),
 ]
 
+# Changes happen in the 30 days of the configuration log: seconds since then are the creation time modulo 30 days.
+ODS_START, ODS_SPAN = 1704067200, 2592000
+
+# What has arrived of an order wide when it is first looked at, and the second time: conditions by input.
+WIDE_STATES = (
+    {"order_detail": "l_linenumber < 6", "order_detail_activity": "l_suppkey % 2 = 0", "order_detail_coupon": "FALSE"},
+    {"order_detail": "l_quantity > 2", "order_detail_activity": "TRUE", "order_detail_coupon": "TRUE"},
+)
+
 # --- dimensions (customer, nation, part, region) ------------------------------
 
 DIM_USER: Pairs = [
@@ -314,8 +334,17 @@ class Standins:
             self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._tables[name]
 
-    def page_log(self) -> DataFrame:
-        return self.table("events").selectExpr(*_exprs(PAGE_LOG))
+    def _events(self, days: Days | None) -> DataFrame:
+        events = self.table("events")
+        if days is None:
+            return events
+        # Compared in the stored type, so that the range reaches the files.
+        kind = dict(events.dtypes)["ts"]
+        return events.filter((F.col("ts") >= F.lit(days[0]).cast(kind)) & (F.col("ts") < F.lit(days[1]).cast(kind)))
+
+    def page_log(self, days: Days | None = None) -> DataFrame:
+        """The page log, or its part from the first of two times up to the second."""
+        return self._events(days).selectExpr(*_exprs(PAGE_LOG))
 
     def page_stream(self) -> DataFrame:
         """The page log as a stream of the event files, with ``ts`` in milliseconds."""
@@ -325,14 +354,30 @@ class Standins:
     def raw_log(self) -> DataFrame:
         return self.table("events").selectExpr(*_exprs(_RECORD_COLUMNS)).selectExpr(*_exprs(RAW_LOG))
 
-    def keyword_log(self) -> DataFrame:
+    def exact_log(self) -> DataFrame:
+        return self.raw_log().selectExpr(*_exprs(EXACT_LOG))
+
+    def keyword_log(self, days: Days | None = None) -> DataFrame:
         """Page log whose phrases are the document texts, whole; documents are dealt to events in turn."""
         docs = self.table("documents")
         turn = F.pmod("id", docs.agg(F.greatest(F.count("*"), F.lit(1))).scalar())
         texts = docs.select("doc_id", F.col("text").alias("item"))
-        return self.page_log().withColumn("_doc", turn).join(texts, F.col("_doc") == F.col("doc_id")).drop("doc_id", "_doc")
-
-    def business(self, name: str) -> DataFrame:
+        return self.page_log(days).withColumn("_doc", turn).join(texts, F.col("_doc") == F.col("doc_id")).drop("doc_id", "_doc")
+
+    def lines_of(self, days: Days) -> DataFrame:
+        """Order lines created from the first of two days up to the second; the day is a stored column."""
+        kind = dict(self.table("lineitem").dtypes)["l_shipdate"]
+        held = (F.col("l_shipdate") >= F.lit(days[0]).cast(kind)) & (F.col("l_shipdate") < F.lit(days[1]).cast(kind))
+        return self.table("lineitem").filter(held).selectExpr(*_exprs(ORDER_DETAIL))
+
+    def ods_times(self) -> DataFrame:
+        """The change log without row images, with the time of each change within the month of the configuration."""
+        made = F.unix_timestamp(F.to_timestamp(F.col("data")["create_time"]))
+        at = F.timestamp_seconds(F.lit(ODS_START) + made % ODS_SPAN)
+        return self.ods.select("table", "type", F.col("data")["id"].alias("id"), at.alias("change_at"))
+
+    def business(self, name: str, also: str = "TRUE") -> DataFrame:
+        """A business table, or the rows of it for which ``also`` holds of their source."""
         pairs, source, condition = BUSINESS[name]
         if source == ORDER_SOURCE:
             base = self.table("orders").join(
@@ -340,7 +385,7 @@ class Standins:
             )
         else:
             base = self.table(source)
-        return base.filter(condition).selectExpr(*_exprs(pairs))
+        return base.filter(condition).filter(also).selectExpr(*_exprs(pairs))
 
     def order_detail_dup(self) -> DataFrame:
         return self.table("lineitem").selectExpr(*_exprs(ORDER_DETAIL_DUP))
@@ -458,8 +503,9 @@ def select_sql(pairs: Pairs, source: str, condition: str = "TRUE", distinct: boo
     return f"SELECT {'DISTINCT ' if distinct else ''}{columns} FROM {source} WHERE {condition}"
 
 
-def business_sql(name: str) -> str:
-    return select_sql(*BUSINESS[name])
+def business_sql(name: str, also: str = "TRUE") -> str:
+    pairs, source, condition = BUSINESS[name]
+    return select_sql(pairs, source, f"({condition}) AND ({also})")
 
 
 def dim_sql(name: str) -> str:
@@ -474,5 +520,9 @@ def raw_log_sql() -> str:
     return select_sql(RAW_LOG, f"({select_sql(_RECORD_COLUMNS, 'events')}) AS record_rows")
 
 
+def exact_log_sql() -> str:
+    return select_sql(EXACT_LOG, f"({raw_log_sql()}) AS raw_rows")
+
+
 def config_log_sql() -> str:
     return select_sql(CONFIG_LOG, "events")

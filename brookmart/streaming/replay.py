@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,40 @@ def update_to_end(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     )
     query.awaitTermination()
     return table.read(spark).drop("_batch")
+
+
+def time_parts(rows: DataFrame, by: str, parts: int) -> Iterator[DataFrame]:
+    """``rows`` cut into ``parts`` consecutive ranges of the number or time ``by``; nulls are in the first."""
+    place = F.unix_micros(by) if dict(rows.dtypes)[by] == "timestamp" else F.col(by)
+    cuts = rows.select(place.cast("double").alias("place")).approxQuantile("place", [i / parts for i in range(1, parts)], 0.01)
+    inner = [None, *cuts, None]
+    for low, high in zip(inner, inner[1:], strict=False):
+        above = F.lit(True) if low is None else place > low
+        below = F.lit(True) if high is None else place <= high
+        yield rows.filter((place.isNull() if low is None else F.lit(False)) | (above & below))
+
+
+def in_parts(
+    rows: DataFrame, by: str, folder: str, run: Callable[[DataFrame, int], DataFrame | None], parts: int = 3
+) -> DataFrame | None:
+    """Feed a table to a stream in ``parts`` time-ordered deliveries.
+
+    After each delivery ``run(stream, number)`` takes the query on to the end of what is
+    there. The query goes on from its checkpoint each time, so every delivery is a restart
+    and at least one micro-batch of its own. Returns what the last run returned.
+    """
+    spark, feed, got = rows.sparkSession, f"{folder}/feed", None
+    for number, part in enumerate(time_parts(rows, by, parts)):
+        part.write.mode("append").parquet(feed)
+        got = run(spark.readStream.schema(rows.schema).parquet(feed), number)
+    return got
+
+
+def batches_to_end(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
+    """Hand the micro-batches of a stream to ``write`` until its input is used up."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    query = (
+        stream.writeStream.outputMode(mode).foreachBatch(write)
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()

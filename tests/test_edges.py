@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brookmart import schemas
-from brookmart.functions import scalars
+from brookmart.functions import jsontext, scalars
 from brookmart.functions.tokens import register_split_words, words
 from brookmart.operators import changelog, enrich, joins, keywords, latest, logs, routing, visits, wide, windows
 from brookmart.plans import reports
@@ -72,7 +72,7 @@ def test_items_keep_their_own_types_and_fields(spark):
     shown = [r.value for r in logs.display_rows(pages).orderBy("value").collect()]
     assert shown == ['{"deep":{"x":[1,2]},"order":1,"ts":9,"page_id":"p"}', '{"order":2,"ts":9,"page_id":"p"}']
     (text,) = column(logs.action_rows(pages), "value")
-    assert text == '{"id":"a","ts":7,"common":"{\\"is_new\\":\\"0\\",\\"mid\\":\\"m\\"}","page_id":"p"}'
+    assert text == '{"id":"a","ts":7,"common":"{\\"mid\\":\\"m\\",\\"is_new\\":\\"0\\"}","page_id":"p"}'
     (nested,) = column(logs.action_rows(pages, common_as_text=False), "value")
     assert nested.startswith('{"id":"a","ts":7,"common":{') and '"mid":"m"' in nested
     topics = logs.fan_out(log).groupBy("topic").count().collect()
@@ -82,6 +82,44 @@ def test_items_keep_their_own_types_and_fields(spark):
     assert {r.value for r in logs.fan_out(log).filter("topic = 'dwd_display_log'").collect()} == set(shown)
 
 
+def test_repaired_records_keep_every_letter(spark):
+    """One digit changes; where its place is not plain the record is written anew, with the same values."""
+    plain = [
+        '{"common":{"mid":"m","is_new":"1"},"page":{},"n":12345678901234567890123456789012345678901234567,"z":1.10,"ts":%d}',
+        '  { "a" : {"common":{"is_new":"1"}} , "b":[{"x":"}]"},[[]]], "s":"\\"common\\":{", "common" : {"w": {"v":[1]}, "is_new" : "1" , "mid":"m"}, "ts":%d } ',
+        '{"common":{"mid":"m","is_new":1},"ts":%d,"long":"' + "x\\\\ y" * 20_000 + '"}',
+    ]
+    odd = ['{"common":{"mid":"m","is_new":"1","is_new":"1"},"ts":%d,"z":7}', '{"common":{"mid":"m","is_n\\u0065w":"1"},"ts":%d,"z":7}']
+    rows = [r % t for t, r in enumerate(['{"common":{"mid":"m","is_new":"1"},"ts":%d}', *plain, *odd], 1)]
+    log = logs.repair_log(log_rows(spark, *rows))
+    got = {r.id: r.record for r in log.collect()}
+    assert got[0] == rows[0]
+    for i in (1, 3):
+        assert got[i] == rows[i].replace('"is_new":"1"', '"is_new":"0"').replace('"is_new":1', '"is_new":0')
+    # The inner member of the same name makes this one doubtful: same values, written anew.
+    assert json.loads(got[2])["common"]["is_new"] == "0" and json.loads(got[2])["a"] == {"common": {"is_new": "1"}}
+    for i in (4, 5):
+        assert json.loads(got[i])["common"] == {"mid": "m", "is_new": "0"} and json.loads(got[i])["z"] == 7
+
+
+def test_json_parts_as_text(spark):
+    text = '{"a":{"x":"}"},"displays": [ {"p":1.50,"q":[{"r":"]"}]} , 2.00,"s,]",null ] ,"b":1}'
+    found = spark.createDataFrame([(text,), ("{}",), (None,), ('{"displays":{}}',), ('{"displays":[]}',)], "t string").select(
+        jsontext.member(F.col("t"), "displays").alias("m"), jsontext.items(jsontext.member(F.col("t"), "displays")).alias("i")).collect()
+    assert found[0].i == ['{"p":1.50,"q":[{"r":"]"}]}', "2.00", '"s,]"', "null"]
+    assert [r.m for r in found[1:]] == [None, None, "{}", "[]"] and found[4].i == [] and found[3].i is None
+    deep = "[" * 30 + "]" * 30
+    (row,) = spark.createDataFrame([('{"d":%s,"e":1}' % deep,)], "t string").select(jsontext.member(F.col("t"), "e").alias("e")).collect()
+    assert row.e is None  # deeper than the patterns reach: callers take the parsed value
+
+
+def test_items_with_odd_texts_are_written_from_their_values(spark):
+    log = log_rows(spark, '{"common":{"mid":"m","is_new":"0"},"page":{"page_id":"a\\"b"},"ts":9,"displays":[{"x":1.50},{"ts":3,"x":1},{}, 7]}')
+    shown = column(logs.display_rows(logs.page_rows(log)), "value")
+    assert shown[0] == '{"x":1.50,"ts":9,"page_id":"a\\"b"}' and shown[2] == '{"ts":9,"page_id":"a\\"b"}'
+    assert json.loads(shown[1]) == {"ts": 9, "x": 1, "page_id": 'a"b'}
+
+
 def test_messages_carry_the_whole_record(spark):
     """Members nobody lists reach every message, with the repaired flag where it changed."""
     record = ('{"common":{"mid":"m","uid":"7","is_new":"1","os":{"v":[1,2.5]}},"page":{"page_id":"p","item_type":"sku"},'

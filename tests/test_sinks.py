@@ -76,14 +76,15 @@ RECORDS = [
 ]
 
 
-def test_log_job_writes_five_topics(spark, tmp_path):
+def test_log_job_writes_five_topics_and_dirty_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(RECORDS)), "id long, value string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, value string").parquet(str(tmp_path / "in"))
     finish(sinks.topic_writer(jobs.log_topics(stream), str(tmp_path / "out"), str(tmp_path / "cp"), "parquet"))
     out = spark.read.parquet(str(tmp_path / "out"))
     assert {r["topic"]: r["count"] for r in out.groupBy("topic").count().collect()} == {
-        "dwd_start_log": 1, "dwd_page_log": 2, "dwd_error_log": 1, "dwd_display_log": 2, "dwd_action_log": 1}
-    batch = logs.fan_out(logs.repair_log(logs.parse_log(spark.read.parquet(str(tmp_path / "in")))))
+        "dwd_start_log": 1, "dwd_page_log": 2, "dwd_error_log": 1, "dwd_display_log": 2, "dwd_action_log": 1, "dirty_log": 1}
+    assert out.filter("topic = 'dirty_log'").first().value == RECORDS[3]
+    batch = logs.fan_out(logs.repair_log(logs.parse_records(spark.read.parquet(str(tmp_path / "in")))))
     assert sorted((r.topic, r.value) for r in out.collect()) == sorted((r.topic, r.value) for r in batch.collect())
 
 

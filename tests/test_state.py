@@ -1,0 +1,285 @@
+"""Keyed state under hot devices, expiry, snapshots; enrichment against dimensions that change."""
+
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from brookmart import schemas
+from brookmart.operators import changelog, enrich, logs, routing, visits
+from brookmart.operators.asof import as_of
+from brookmart.streaming import replay, sinks, stateful
+from brookmart.streaming.enrichment import EnrichedSink
+from tests.test_streaming import PAGE, as_batch, chunks, page, same, sentinel, timed
+
+
+def hot_pages(seed, n=600, devices=20, span=900):
+    """Half of all rows come from one device."""
+    rng = random.Random(seed)
+    seconds = sorted(rng.uniform(0, span) for _ in range(n))
+    return [
+        page(i, "hot" if rng.random() < 0.5 else f"m{rng.randrange(devices)}", s, rng.choice([None, "search"]), rng.choice("01"))
+        for i, s in enumerate(seconds)
+    ]
+
+
+def state_of(spark, tmp_path, name):
+    folder = max(tmp_path.glob("checkpoint*"))
+    return spark.read.format("statestore").option("stateVarName", name).load(str(folder))
+
+
+
+
+def test_repair_with_a_hot_device(spark, feed, drain):
+    rows = hot_pages(1)
+    shuffled = [random.Random(i).sample(c, len(c)) for i, c in enumerate(chunks(rows, 200))]
+    stream = feed(shuffled, PAGE)
+    got = drain(stateful.repair_new_flag_stream(stream).select("id", "mid", "is_new"))
+    same(got, logs.repair_new_flag(spark.createDataFrame(rows, PAGE)).select("id", "mid", "is_new").collect())
+
+
+def test_repair_keeps_nulls(spark, feed, drain):
+    made = [page(i, None if i % 2 else "a", i) for i in range(6)]
+    made = [(*r[:10], None if r[0] == 4 else r[10]) for r in made]
+    got = drain(stateful.repair_new_flag_stream(feed([made], PAGE)).select("id", "mid", "is_new", "ts"))
+    # A row without a time counts as the earliest, as on tables; rows without a device are one device.
+    assert sorted(r.id for r in got if r.is_new == "1") == [1, 4] and len(got) == 6
+
+
+def test_only_one_row_of_a_device_and_task_meets_its_state(spark):
+    rows = spark.createDataFrame(hot_pages(2), PAGE).coalesce(3)
+    parts = rows.rdd.getNumPartitions()
+    added = [stateful.T.StructField("_kept", stateful.T.BooleanType())]
+
+    def flagged(value):
+        return lambda t: t.append_column("_kept", stateful.pa.array([value] * t.num_rows, stateful.pa.bool_()))
+
+    split = stateful._split_firsts(rows, ["mid"], added, flagged(True), flagged(False))
+    assert split.count() == 600 and split.filter("mid = 'hot'").count() > 250
+    assert split.filter("_kept").groupBy("mid").count().agg(F.max("count")).first()[0] <= parts
+    least = split.filter("_kept").groupBy("mid").agg(F.min("id").alias("id"))
+    same(least.collect(), rows.groupBy("mid").agg(F.min("id").alias("id")).collect())
+
+
+def test_split_firsts_sends_on_when_many_are_held(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "HELD_ROWS", 3)
+    rows = spark.createDataFrame(hot_pages(3), PAGE).coalesce(1)
+    assert stateful._split_firsts(rows, ["mid"], [], lambda t: t, lambda t: t).count() == 600
+
+
+def test_first_visits_with_a_hot_device_and_days_that_leave(spark, feed, drain, tmp_path):
+    rows = [page(i, r[1], 86_400 * (i // 200) + r[0] * 20, r[7]) for i, r in enumerate(hot_pages(4))]
+    batches = [*chunks(rows, 150), sentinel(0), sentinel(1)]
+    got = drain(stateful.first_visit_stream(timed(feed(batches, PAGE))).select("id", "mid"))
+    same(got, visits.first_visit_per_day(as_batch(spark, rows)).select("id", "mid").collect())
+    # The days of the rows are over: nothing of them is left in the state.
+    days = {r["key"]["mid"]: r for r in state_of(spark, tmp_path, "days").collect()}
+    assert not [m for m in days if m == "hot" or m.startswith("m")]
+
+
+@pytest.mark.parametrize("bucket", [None, "45 seconds", "10 minutes"])
+def test_bounces_with_a_hot_device(spark, feed, drain, tmp_path, bucket):
+    rows = hot_pages(5, n=400, span=1500)
+    shuffled = [random.Random(i).sample(c, len(c)) for i, c in enumerate(chunks(rows, 130))]
+    got = drain(stateful.bounce_stream(timed(feed([*shuffled, sentinel(0), sentinel(1)], PAGE)), bucket=bucket).select("id", "mid", "outcome"))
+    same([r for r in got if r.id < 10_000], visits.bounce_outcomes(as_batch(spark, rows)).select("id", "mid", "outcome").collect())
+    assert not [r for r in state_of(spark, tmp_path, "open").collect() if not r["key"]["mid"].startswith("end")]
+
+
+def test_state_lists_of_bounces_hold_one_bucket(spark, feed, drain, tmp_path):
+    """Without a closing page the state still holds pages: those of a bucket, not the history."""
+    rows = [page(i, "hot", i * 2.0) for i in range(300)]
+    drain(stateful.bounce_stream(timed(feed(chunks(rows, 75), PAGE)), bucket="20 seconds").select("id"))
+    lists = state_of(spark, tmp_path, "open").groupBy("key").count().collect()
+    # Ten pages of a bucket and what is lent once per task and batch.
+    assert lists and max(r["count"] for r in lists) <= 10 + 4 and sum(r["count"] for r in lists) < 80
+
+
+@pytest.mark.parametrize(("on_read", "want"), [(True, [1, 5]), (False, [1, 3, 5])])
+def test_first_since_refreshed_on_read_or_on_write(spark, feed, drain, tmp_path, on_read, want):
+    """Seconds 0, 6, 12, 18 and 40 with a life of 10 seconds."""
+    rows = [page(1, "a", 0), page(2, "a", 6), page(3, "a", 12), page(4, "a", 18), page(5, "a", 40)]
+    batches = [[r] for r in rows] + [sentinel(0), sentinel(1)]
+    stream = timed(feed(batches, PAGE))
+    got = drain(stateful.first_since_stream(stream, ["mid"], "10 seconds", on_read).select("id"))
+    assert sorted(r.id for r in got if r.id < 10_000) == want
+    left = [r["key"]["mid"] for r in state_of(spark, tmp_path, "ends").collect()]
+    assert "a" not in left
+
+
+def test_first_since_within_one_batch(spark, feed, drain):
+    rows = [page(5, "a", 40), page(2, "a", 6), page(1, "a", 0), page(3, "a", 12), page(4, "b", 3)]
+    got = drain(stateful.first_since_stream(timed(feed([rows], PAGE)), ["mid"], "10 seconds").select("id"))
+    assert sorted(r.id for r in got) == [1, 4, 5]
+
+
+CHANGE = "id string, op string, seq long, after map<string,string>"
+
+
+def test_snapshot_handed_over_to_changes(spark, feed, drain):
+    """Changes up to the snapshot's position are refused, later ones come once, new keys are taken."""
+    snapshot = spark.createDataFrame([("a", "r", 5, {"n": "a5"}), ("b", "r", 9, {"n": "b9"}), ("c", "r", 5, {"n": "c5"})], CHANGE)
+    batches = [
+        [("a", "u", 4, {"n": "a4"}), ("a", "u", 5, {"n": "a5"}), ("b", "u", 8, {"n": "b8"}), ("d", "c", 2, {"n": "d2"})],
+        [("a", "u", 7, {"n": "a7"}), ("a", "u", 6, {"n": "a6"}), ("c", "d", 6, None), ("b", "u", 9, {"n": "b9"})],
+        [("a", "u", 7, {"n": "a7"}), ("d", "u", 3, {"n": "d3"}), ("b", "u", 10, {"n": "b10"})],
+    ]
+    news = drain(stateful.current_state_stream(feed(batches, CHANGE), snapshot, ["id"]))
+    assert sorted((r.id, r.seq) for r in news) == [("a", 7), ("b", 10), ("c", 6), ("d", 2), ("d", 3)]
+    table = spark.createDataFrame([*snapshot.collect(), *[(r.id, r.op, r.seq, r.after) for r in news]], CHANGE)
+    rows = changelog.current_state(table, ["id"], ["seq"]).collect()
+    assert sorted((r.id, r.after["n"]) for r in rows) == [("a", "a7"), ("b", "b10"), ("d", "d3")]
+
+
+# --- enrichment --------------------------------------------------------------------
+
+STATS = ("stt string, edt string, sku_id long, sku_price decimal(18,2), user_id long, province_id long, order_sku_num long, "
+         "order_amount decimal(28,2), order_ct long, ts long")
+
+
+def stat(user, sku, ts, province=1):
+    return ("2024-01-01 00:00:00", "2024-01-01 00:00:10", sku, None, user, province, 1, None, 1, ts)
+
+
+def dimensions(spark, users, skus=(1, 2)):
+    def table(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    return enrich.Dimensions(
+        user=table([(str(k), g, "1990-01-01") for k, g in users.items()], "ID string, GENDER string, BIRTHDAY string"),
+        province=table([("1", "P", "1", "CN-1", "CN-1-1")], "ID string, NAME string, AREA_CODE string, ISO_CODE string, ISO_3166_2 string"),
+        sku=table([(str(k), f"sku {k}", "1", "1", "1") for k in skus], "ID string, SKU_NAME string, CATEGORY3_ID string, SPU_ID string, TM_ID string"),
+        spu=table([("1", "spu")], "ID string, SPU_NAME string"),
+        category3=table([("1", "c3", "1")], "ID string, NAME string, CATEGORY2_ID string"),
+        category2=table([("1", "c2", "1")], "ID string, NAME string, CATEGORY1_ID string"),
+        category1=table([("1", "c1")], "ID string, NAME string"),
+        trademark=table([("1", "tm")], "ID string, TM_NAME string"),
+    )
+
+
+def test_enrichment_follows_dimensions_between_batches(spark, feed, tmp_path):
+    """A row takes the version of its batch; a row without its key waits, also over a restart."""
+    versions = [dimensions(spark, {1: "F"}, (1,)), dimensions(spark, {1: "M"}, (1,)), dimensions(spark, {1: "M", 2: "F"})]
+    reads = []
+
+    def read():
+        reads.append(1)
+        return versions[min(len(reads) - 1, 2)]
+
+    sink = EnrichedSink(read, str(tmp_path / "rows"), F.lit("2024-01-01").cast("timestamp"))
+    batches = [[stat(1, 1, 1), stat(2, 1, 2)], [stat(1, 1, 3)], [stat(1, 2, 4), stat(3, 1, 5)]]
+    replay.batches_to_end(feed(batches, STATS), sink, str(tmp_path))
+    rows = sink.rows(spark)
+    assert rows.columns == schemas.USER_PROVINCE_SKU
+    assert sorted((r.ts, r.user_id, r.user_gender, r.sku_name) for r in rows.collect()) == [
+        (1, 1, "F", "sku 1"), (2, 2, "F", "sku 1"), (3, 1, "M", "sku 1"), (4, 1, "M", "sku 2")]
+    assert [(r.ts, r.user_id) for r in sink.waiting(spark).collect()] == [(5, 3)]
+    assert len(reads) == 3  # once per batch
+
+
+def test_replayed_batch_neither_loses_nor_doubles(spark, tmp_path):
+    few, more = dimensions(spark, {1: "F"}), dimensions(spark, {1: "F", 2: "F"})
+    now = [few]
+    sink = EnrichedSink(lambda: now[0], str(tmp_path), F.lit("2024-01-01").cast("timestamp"))
+    first, second = (spark.createDataFrame(x, STATS) for x in ([stat(1, 1, 1), stat(2, 1, 2)], [stat(2, 2, 3)]))
+    sink(first, 0)
+    sink(second, 1)
+    now[0] = more
+    sink(second, 1)
+    assert sorted(r.ts for r in sink.rows(spark).collect()) == [1, 2, 3]
+    assert sink.waiting(spark).count() == 0
+
+
+def test_patience_gives_up_in_event_time(spark, tmp_path):
+    dims = dimensions(spark, {1: "F"})
+    sink = EnrichedSink(lambda: dims, str(tmp_path), F.lit("2024-01-01").cast("timestamp"), patience="10 seconds")
+    for i, rows in enumerate([[stat(9, 1, 0)], [stat(1, 1, 9_000)], [stat(9, 1, 11_000)]]):
+        sink(spark.createDataFrame(rows, STATS), i)
+    assert [r.ts for r in sink.lost(spark).collect()] == [0]
+    assert [r.ts for r in sink.waiting(spark).collect()] == [11_000]
+
+
+# --- configuration in force ----------------------------------------------------------
+
+
+@pytest.mark.parametrize("bucket", ["10 seconds", "1 minute", "1 day"])
+def test_as_of_against_brute_force(spark, bucket):
+    rng = random.Random(3)
+    moment = lambda s: None if s is None else datetime.fromtimestamp(1_704_000_000 + s)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(0, 600, 7)])) for i in range(200)]
+    versions = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, *range(0, 600, 35)])) for i in range(40)]
+    left = spark.createDataFrame([(i, k, moment(s)) for i, k, s in rows], "id long, key string, at timestamp").repartition(3)
+    right = spark.createDataFrame([(i, k, moment(s)) for i, k, s in versions], "seq long, key string, since timestamp")
+    got = {r.id: r.version and r.version.seq for r in as_of(left, right, ["key"], "at", "since", "seq", bucket).collect()}
+    want = {}
+    for i, k, s in rows:
+        known = [(t, n) for n, key, t in versions if s is not None and t is not None and key == k and t <= s]
+        want[i] = max(known)[1] if known else None
+    assert got == want and len({v for v in want.values()}) > 10
+
+
+def test_routes_change_and_vanish_inside_the_feed(spark):
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    image = lambda sink: {"sink_table": sink, "sink_columns": "id", "sink_pk": "", "sink_extend": None}
+    config = spark.createDataFrame(
+        [(1, at(10), "t", "c", image("one")), (2, at(20), "t", "u", image("two")), (3, at(30), "t", "d", None), (4, at(40), "t", "c", image("four"))],
+        "seq long, change_ts timestamp, source_table string, op string, after map<string,string>")
+    ods = spark.createDataFrame([(s, "t", "insert", at(s)) for s in (5, 10, 19, 20, 29, 30, 39, 40, 50)] + [(99, "t", "delete", at(15)), (98, "u", "insert", at(15))],
+                                "id long, `table` string, type string, at timestamp")
+    got = {r.id: (r.sink_table, r.sink_pk) for r in routing.route_as_of(ods, config, "at").collect()}
+    assert got == {10: ("one", "id"), 19: ("one", "id"), 20: ("two", "id"), 29: ("two", "id"), 40: ("four", "id"), 50: ("four", "id")}
+
+
+# --- stored tables --------------------------------------------------------------------
+
+ROW = "stt string, k string, n long"
+
+
+def test_batch_table_without_repeats_and_half_batches(spark, tmp_path):
+    table = sinks.BatchTable(str(tmp_path), "q", ["stt", "k", "n"])
+    other = sinks.BatchTable(str(tmp_path), "other", ["stt", "k", "n"])
+    rows = lambda *made: spark.createDataFrame([(f"2024-01-0{d} 00:00:00", k, n) for d, k, n in made], ROW)
+    table(rows((1, "a", 1), (2, "a", 2)), 0)
+    table(rows((1, "b", 3), (3, "c", 4)), 1)
+    table(rows((1, "b", 5)), 1)  # replayed, and now different
+    table.stage(rows((1, "z", 9)), 2)  # failed before its mark
+    other(rows((1, "a", 7)), 0)
+    got = sinks.BatchTable.read(spark, str(tmp_path))
+    assert sorted((r.dt, r.k, r.n) for r in got.collect()) == [
+        ("2024-01-01", "a", 1), ("2024-01-01", "a", 7), ("2024-01-01", "b", 5), ("2024-01-02", "a", 2)]
+    table(rows((1, "z", 9)), 2)
+    assert sinks.BatchTable.read(spark, str(tmp_path)).filter("k = 'z'").count() == 1
+
+
+def test_change_feed_leads_from_one_state_to_the_other(spark):
+    before = spark.createDataFrame([("a", 1, None), ("b", 2, None), ("c", 3, "x"), (None, 4, "y")], "k string, n long, s string")
+    after = spark.createDataFrame([("a", 1, None), ("b", 5, None), ("d", 3, "x"), (None, 4, "z")], "k string, n long, s string")
+    feed = sinks.change_feed(before, after, ["k"])
+    assert sorted((r.change, r.k, r.n) for r in feed.filter("k is not null").collect()) == [
+        ("delete", "c", 3), ("insert", "d", 3), ("update_after", "b", 5), ("update_before", "b", 2)]
+    assert sorted(r.change for r in feed.filter("k is null").collect()) == ["update_after", "update_before"]
+    same(sinks.replay_changes(before, feed).collect(), after.collect())
+    assert sinks.change_feed(after, after, ["k"]).count() == 0
+
+
+def test_replaying_the_order_wide_changes_gives_the_table(spark):
+    from brookmart.plans.catalog import wide_versions
+    from brookmart.session import pin_session
+    from brookmart.sources.standins import Standins
+
+    table = wide_versions(Standins(pin_session(spark), "/root/testdata/sf0.001"))
+    first, second = (table.as_of(spark, i, "_deleted").select(*schemas.ORDER_WIDE) for i in (0, 1))
+    changes = table.changes(spark, 0, 1, schemas.ORDER_WIDE, "_deleted")
+    assert {r.change for r in changes.select("change").distinct().collect()} == {"insert", "delete", "update_before", "update_after"}
+    got = sinks.replay_changes(first, changes)
+    assert got.exceptAll(second).count() == 0 and second.exceptAll(got).count() == 0
+
+
+def test_time_parts_cover_everything_once(spark):
+    rows = spark.createDataFrame([(i, None if i % 10 == 0 else i * i) for i in range(100)], "id long, t long")
+    parts = [[r.id for r in p.collect()] for p in replay.time_parts(rows, "t", 3)]
+    assert sorted(x for p in parts for x in p) == list(range(100)) and all(len(p) > 10 for p in parts)
+    assert [x for x in parts[0] if x % 10 == 0] and not [x for x in parts[1] + parts[2] if x % 10 == 0]
+
+
