@@ -13,7 +13,7 @@ from brookmart import schemas
 from brookmart.functions import scalars
 from brookmart.functions.tokens import words
 from brookmart.operators import (
-    changelog, enrich, joins, keywords, latest, logs, partials, routing, visits, wide, windows,
+    changelog, enrich, joins, keywords, latest, logs, partials, routing, segment, visits, wide, windows,
 )
 from brookmart.plans import reports
 from brookmart.session import pin_session
@@ -550,6 +550,13 @@ def keyword_split(s: Standins) -> DataFrame:
     return s.table("documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
 
 
+@query
+def keyword_split_dictionary(s: Standins) -> DataFrame:
+    """Texts in CJK letters, cut by a dictionary of the short words that are frequent in them."""
+    cut = segment.split_words_by_dictionary(s.cjk_texts(), s.cjk_dictionary(), "text")
+    return cut.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
 def _keyword_counts(s: Standins, days: Days | None = None) -> DataFrame:
     rows = keywords.search_rows(s.keyword_log(days)).select("event_ts", "item")
     return windows.keyword_stats(keywords.split_words(rows))

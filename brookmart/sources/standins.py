@@ -265,6 +265,12 @@ WIDE_STATES = (
     {"order_detail": "l_quantity > 2", "order_detail_activity": "TRUE", "order_detail_coupon": "TRUE"},
 )
 
+# Document texts with Han characters for the letters; other letters and digits stay.
+LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "的一是了我不人在他有这个上们来到时大地为子中你说生国"
+CJK_TEXT: Pairs = [("doc_id", "doc_id"), ("text", f"translate(lower(text), '{LATIN}', '{HAN}')")]
+# Dictionary: words of up to so many characters that occur so often.
+DICTIONARY_LETTERS, DICTIONARY_COUNT = 4, 5
+
 # --- dimensions (customer, nation, part, region) ------------------------------
 
 DIM_USER: Pairs = [
@@ -354,6 +360,14 @@ class Standins:
     def raw_log(self) -> DataFrame:
         return self.table("events").selectExpr(*_exprs(_RECORD_COLUMNS)).selectExpr(*_exprs(RAW_LOG))
 
+    def cjk_texts(self) -> DataFrame:
+        return self.table("documents").selectExpr(*_exprs(CJK_TEXT))
+
+    def cjk_dictionary(self) -> DataFrame:
+        runs = F.regexp_extract_all("text", F.lit(r"[\x{4E00}-\x{9FFF}]+"), F.lit(0))
+        words = self.cjk_texts().select(F.explode(runs).alias("word")).filter(F.length("word") <= DICTIONARY_LETTERS)
+        return words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= DICTIONARY_COUNT)
+
     def exact_log(self) -> DataFrame:
         return self.raw_log().selectExpr(*_exprs(EXACT_LOG))
 
@@ -520,6 +534,10 @@ def raw_log_sql() -> str:
     return select_sql(RAW_LOG, f"({select_sql(_RECORD_COLUMNS, 'events')}) AS record_rows")
 
 
+def cjk_texts_sql() -> str:
+    return select_sql(CJK_TEXT, "documents")
+
+
 def exact_log_sql() -> str:
     return select_sql(EXACT_LOG, f"({raw_log_sql()}) AS raw_rows")
 

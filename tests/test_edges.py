@@ -1,9 +1,11 @@
 """Hand-made cases for the edges of each operator."""
 
 import json
+import math
 import random
+import re
 from datetime import datetime, timedelta
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from brookmart import schemas
 from brookmart.functions import jsontext, scalars
 from brookmart.functions.tokens import register_split_words, words
-from brookmart.operators import changelog, enrich, joins, keywords, latest, logs, routing, visits, wide, windows
+from brookmart.operators import changelog, enrich, joins, keywords, latest, logs, routing, segment, visits, wide, windows
 from brookmart.plans import reports
 from brookmart.sources.readers import renamed_dimension
 
@@ -495,3 +497,36 @@ def test_enrichment_drops_or_keeps_broken_chains(spark):
 def test_renamed_dimension(spark):
     df = spark.createDataFrame([("1", "x")], "ID string, SKU_NAME string")
     assert renamed_dimension(df).columns == ["id", "skuName"]
+
+
+def test_dictionary_segmentation_against_brute_force(spark):
+    rng = random.Random(4)
+    letters = "大数据中国人"
+    words_of = {w: n for w, n in {"".join(rng.choice(letters) for _ in range(rng.randint(1, 4))): rng.randint(1, 50) for _ in range(40)}.items()}
+    texts = [None, "", "plain Text 12", "大数据 big中国人", "未知字"] + ["".join(rng.choice(letters + "新 x") for _ in range(rng.randint(1, 25))) for _ in range(60)]
+    total = sum(words_of.values())
+    cost = {w: int(Decimal(segment.UNITS * math.log(total / n)).quantize(Decimal(1), ROUND_HALF_UP)) for w, n in words_of.items()}
+    unknown = max(cost.values()) + segment.UNKNOWN
+
+    def cut(run):
+        best = [(0, 0)]
+        for stop in range(1, len(run) + 1):
+            ways = [(best[s][0] + cost[run[s:stop]], s) for s in range(max(0, stop - 4), stop) if run[s:stop] in cost]
+            best.append(min([*ways, (best[stop - 1][0] + unknown, stop - 1)]))
+        out, stop = [], len(run)
+        while stop:
+            out.insert(0, run[best[stop][1]:stop])
+            stop = best[stop][1]
+        return out
+
+    want = []
+    for i, text in enumerate(texts):
+        for run in re.findall("[一-鿿]+|[a-z0-9]+", (text or "").lower()):
+            want += [(i, w) for w in (cut(run) if run[0] > "一" else [run])]
+    table = spark.createDataFrame([*words_of.items(), (None, 3), ("", 3)], "word string, n long")
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, item string")
+    got = [(r.id, r.word) for r in segment.split_words_by_dictionary(df, table).collect()]
+    assert sorted(got) == sorted(want) and max(len(w) for _, w in got if w[0] > "一") > 2
+    # Without a dictionary every character is a word of its own.
+    alone = segment.split_words_by_dictionary(df, table.limit(0)).filter("id = 3").collect()
+    assert sorted(r.word for r in alone) == sorted([*"大数据中国人", "big"])
