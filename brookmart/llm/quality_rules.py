@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmart.llm.common import SPACES, let, words
+from brookmart.llm.common import SPACES, let, words, written
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -175,7 +175,7 @@ def estimate(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: measures, ``base_failed``, ``votes``, ``quality`` and ``kept``."""
-    return _judged(measures(docs, key, text)).drop("row")
+    return _judged(measures(docs, key, text).drop("row"))
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,7 +185,8 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def _judged(measured: DataFrame) -> DataFrame:
-    voted = with_votes(measured)
+    # Stored, so that texts are parsed once: the votes are read to estimate and to judge.
+    voted = written(with_votes(measured), "votes")
     # At most 3^rules rows.
     quality = F.broadcast(estimate(voted).select("votes", "quality"))
     judged = voted.join(quality, "votes")
