@@ -97,46 +97,54 @@ def n_symbols(n_words: int) -> int:
     return max(SYMBOLS, int(np.ceil((4 * n_words) ** (1 / MIN_LETTERS))))
 
 
-def reduced(word: str, symbols: int) -> list[int]:
-    """Symbols (1 to ``symbols``) of the letters; equal letters have equal symbols."""
-    return [1 + (ord(c) * 0x9E3779B1 >> 7 & 0xFFFFFF) % symbols for c in word]
+def reduced(words: list[str], symbols: int) -> np.ndarray:
+    """Symbols (1 to ``symbols``) of the letters of words of one length, a row each; equal letters have equal symbols."""
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.uint64)
+    return np.uint64(1) + (letters * np.uint64(0x9E3779B1) >> np.uint64(7) & np.uint64(0xFFFFFF)) % np.uint64(symbols)
 
 
-def _hash(h: int, length: int) -> int:
-    return h + length * 0xD6E8FEB86659FD93 & _MASK
+def _finished(h: np.ndarray, length: int) -> np.ndarray:
+    return mix(h + np.uint64(length * 0xD6E8FEB86659FD93 & _MASK))
 
 
-def reduced_hash(code: list[int]) -> int:
-    h = 0
-    for c in code:
-        h = h * _BASE + c & _MASK
-    return _hash(h, len(code))
+def reduced_hashes(code: np.ndarray) -> np.ndarray:
+    """A hash of each row of symbols."""
+    h = np.zeros(len(code), np.uint64)
+    for c in code.T:
+        h = h * np.uint64(_BASE) + c
+    return _finished(h, code.shape[1])
 
 
-def neighbourhood(code: list[int], symbols: int) -> set[int]:
-    """Hashes of all symbol rows at most one edit from ``code``."""
-    n = len(code)
-    tails, power, powers = [0] * (n + 1), 1, [1]
+def neighbourhood(code: np.ndarray, symbols: int) -> Iterator[np.ndarray]:
+    """Hashes of all symbol rows at most one edit from each row of ``code``, as columns, some of them repeated.
+
+    A row is its head before the edit, the edit and its tail, so each hash takes one step.
+    """
+    n, base = code.shape[1], np.uint64(_BASE)
+    every = np.arange(1, symbols + 1, dtype=np.uint64)
+    power = np.ones(n + 1, np.uint64)  # weight of what that many letters follow
+    np.multiply.accumulate(np.full(n, base), out=power[1:])
+    tails = np.zeros((n + 1, len(code)), np.uint64)
     for i in range(n - 1, -1, -1):
-        tails[i] = tails[i + 1] + code[i] * power & _MASK
-        power = power * _BASE & _MASK
-        powers.append(power)
-    out, head = {_hash(tails[0], n)}, 0
+        tails[i] = tails[i + 1] + code[:, i] * power[n - 1 - i]
+    yield _finished(tails[0], n)[:, None]
+    head = np.zeros(len(code), np.uint64)
     for i in range(n + 1):
-        rest, tail = n - i, tails[i]
-        # One more symbol before letter i.
-        raised = head * _BASE & _MASK
-        out.update(_hash((raised + s) * powers[rest] + tail & _MASK, n + 1) for s in range(1, symbols + 1))
+        raised = head * base
+        new = raised[:, None] + every
+        yield _finished(new * power[n - i] + tails[i][:, None], n + 1)
         if i < n:
-            after = tails[i + 1]
-            out.update(_hash((raised + s) * powers[rest - 1] + after & _MASK, n) for s in range(1, symbols + 1))
-            out.add(_hash(head * powers[rest - 1] + after & _MASK, n - 1))
-            head = raised + code[i] & _MASK
-    return out
+            yield _finished(new * power[n - 1 - i] + tails[i + 1][:, None], n)
+            yield _finished(head * power[n - 1 - i] + tails[i + 1], n - 1)[:, None]
+            head = raised + code[:, i]
 
 
-def _mixed(hashes: list[int]) -> np.ndarray:
-    return mix(np.array(hashes, np.uint64)).view(np.int64)
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Words of one length together, with their rows."""
+    lengths = np.array([len(w) for w in words])
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        yield rows, [words[i] for i in rows.tolist()]
 
 
 def reduced_vocabulary(words: DataFrame, symbols: int) -> DataFrame:
@@ -144,8 +152,10 @@ def reduced_vocabulary(words: DataFrame, symbols: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [reduced_hash(reduced(w, symbols)) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_mixed(codes))], names=["word", "n", "code"])
+            codes = np.zeros(batch.num_rows, np.uint64)
+            for rows, some in _by_length(batch.column(0).to_pylist()):
+                codes[rows] = reduced_hashes(reduced(some, symbols))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.view(np.int64))], names=["word", "n", "code"])
 
     return words.select("word", "n").mapInArrow(run, "word string, n long, code long")
 
@@ -158,12 +168,16 @@ def _asked(words: DataFrame, symbols: int, present: np.ndarray) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 2000):
                 part = batch.slice(first, 2000)
-                sets = [neighbourhood(reduced(w, symbols), symbols) for w in part.column(0).to_pylist()]
-                codes = _mixed([h for s in sets for h in s])
-                row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                found = maybe_in(known.value, codes)
-                row = pa.array(row[found])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(codes[found])], names=["word", "n", "code"])
+                found = []
+                for rows, some in _by_length(part.column(0).to_pylist()):
+                    for keys in neighbourhood(reduced(some, symbols), symbols):
+                        keys = keys.view(np.int64)
+                        row, column = np.nonzero(maybe_in(known.value, keys))
+                        found.append(np.stack([rows[row], keys[row, column]]))
+                # A word asks for a key once.
+                row, keys = np.unique(np.concatenate(found, axis=1), axis=1)
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(keys)], names=["word", "n", "code"])
 
     return words.select("word", "n").mapInArrow(run, "word string, n long, code long")
 
