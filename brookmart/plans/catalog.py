@@ -143,10 +143,8 @@ def log_fan_out(s: Standins) -> DataFrame:
     return logs.fan_out(_repaired(s)).groupBy("id", "topic").agg(F.count("value").alias("n"))
 
 
-@query
-def log_fan_out_values(s: Standins) -> DataFrame:
+def _message_values(messages: DataFrame) -> DataFrame:
     """What every message carries, dirty ones too: members as text, long numbers and trailing zeros included."""
-    messages = logs.fan_out(logs.repair_log(logs.parse_records(s.exact_log())))
     common = F.when(F.col("topic") != logs.DIRTY_TOPIC, F.get_json_object("value", "$.common"))
 
     def number(name: str) -> Column:
@@ -160,6 +158,11 @@ def log_fan_out_values(s: Standins) -> DataFrame:
     )
 
 
+@query
+def log_fan_out_values(s: Standins) -> DataFrame:
+    return _message_values(logs.fan_out(logs.repair_log(logs.parse_records(s.exact_log()))))
+
+
 @query
 def epoch_to_ts(s: Standins) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -738,6 +741,13 @@ def stream_new_visitor_repair(s: Standins) -> DataFrame:
     )
 
 
+@query
+def stream_log_fan_out_values(s: Standins) -> DataFrame:
+    """The log job."""
+    return _message_values(_delivered(
+        s, s.exact_log_at(), "at", "log_topics", lambda stream: logs.fan_out(jobs.repaired_log(stream.drop("at")))))
+
+
 @query
 def stream_first_visit_per_day(s: Standins) -> DataFrame:
     pages = _timed_pages(s).select("id", "mid", "ts", "last_page_id", "event_ts")
@@ -748,15 +758,29 @@ def stream_first_visit_per_day(s: Standins) -> DataFrame:
     return rows.select("id", "mid", scalars.day_text(F.col("event_ts")).alias("day"))
 
 
+def _closed(pages: DataFrame) -> DataFrame:
+    """Pages with one more far ahead, which closes everything before it."""
+    far = F.lit("2100-01-01 00:00:00").cast("timestamp")
+    end = {"event_ts": far, "ts": F.unix_millis(far), "last_page_id": F.lit("end"), "id": F.lit(-1), "mid": F.lit("end")}
+    nothing = F.lit(None)
+    last = pages.sparkSession.range(1).select(*[end.get(f.name, nothing).cast(f.dataType).alias(f.name) for f in pages.schema.fields])
+    return pages.unionByName(last)
+
+
+@query
+def stream_unique_visit_stats(s: Standins) -> DataFrame:
+    """First visits and their window counts in one query."""
+    return _delivered(
+        s, _closed(_timed_pages(s)), "event_ts", "unique_visits",
+        lambda stream: jobs.unique_visit_stats(with_event_time(stream, F.col("event_ts"))),
+    )
+
+
 @query
 def stream_bounces(s: Standins) -> DataFrame:
     pages = _timed_pages(s).select("id", "mid", "ts", "last_page_id", "event_ts")
-    far = F.lit("2100-01-01 00:00:00").cast("timestamp")
-    # One more page far ahead closes everything before it.
-    end = {"event_ts": far, "ts": F.unix_millis(far), "last_page_id": F.lit("end"), "id": F.lit(-1), "mid": F.lit("end")}
-    last = s.spark.range(1).select(*[end[f.name].cast(f.dataType).alias(f.name) for f in pages.schema.fields])
     return _delivered(
-        s, pages.unionByName(last), "event_ts", "bounces",
+        s, _closed(pages), "event_ts", "bounces",
         lambda stream: stateful.bounce_stream(with_event_time(stream, F.col("event_ts")), BOUNCE_WITHIN).select("id", "mid", "outcome"),
     )
 

@@ -660,6 +660,8 @@ AS_OF_SQL = {
 STREAM_SQL = {
     "stream_page_view_stats": VISIT_SQL["page_view_stats"],
     "stream_new_visitor_repair": LOG_SQL["new_visitor_repair"],
+    "stream_log_fan_out_values": LOG_SQL["log_fan_out_values"],
+    "stream_unique_visit_stats": VISIT_SQL["unique_visit_stats"],
     "stream_first_visit_per_day": VISIT_SQL["first_visit_per_day"],
     "stream_bounces": VISIT_SQL["bounce_union"],
     "stream_interval_join": WIDE_SQL["interval_join"],

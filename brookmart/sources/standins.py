@@ -360,6 +360,11 @@ class Standins:
     def raw_log(self) -> DataFrame:
         return self.table("events").selectExpr(*_exprs(_RECORD_COLUMNS)).selectExpr(*_exprs(RAW_LOG))
 
+    def exact_log_at(self) -> DataFrame:
+        """:meth:`exact_log` with the time of each record in ``at``."""
+        events = self.table("events").selectExpr(*_exprs([*_RECORD_COLUMNS, ("at", "CAST(ts AS TIMESTAMP)")]))
+        return events.selectExpr(*_exprs(RAW_LOG), "at").selectExpr(*_exprs(EXACT_LOG), "at")
+
     def cjk_texts(self) -> DataFrame:
         return self.table("documents").selectExpr(*_exprs(CJK_TEXT))
 

@@ -151,11 +151,14 @@ def test_dimension_job(spark, tmp_path):
     spark.createDataFrame(rows, "table string, type string, seq int, data map<string,string>").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("table string, type string, seq int, data map<string,string>").parquet(str(tmp_path / "in"))
     store = sinks.VersionTable(str(tmp_path / "dims"), ["pk"], ["seq"], partition_by=["sink_table"])
-    write = jobs.dim_sync(lambda: routing.current_config(config_log, ["seq"]), store)
+    write = jobs.dim_sync(lambda: routing.current_config(config_log, ["seq"]), store, str(tmp_path / "tables"))
     finish(stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")))
     dim = jobs.dimension_columns(store.read(spark), "dim_user_info", "id, name")
     assert dim.columns == ["ID", "NAME"]
     assert {tuple(r) for r in dim.collect()} == {("1", "b"), ("2", None)}
+    # The target table is there before its first rows, as configured.
+    target = readers.dimension(spark, str(tmp_path / "tables" / "dim_user_info"))
+    assert target.dtypes == [("id", "string"), ("name", "string")] and target.count() == 0
 
 
 def test_keyed_json(spark):
