@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from brookmart.llm import bpe, decontamination, jaccard_join, lm_scoring, pii, quality_rules, substring_dedup, token_counts, token_files, url_filter
-from brookmart.llm.common import scratch
+from brookmart.llm.common import scratch, written
 from brookmart.llm.components import components
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -212,12 +213,14 @@ def test_jaccard_join(docs, rows, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
-@pytest.mark.parametrize("frequent, pair_size, classes", [(1 << 18, 64, 32), (300, 12, 4), (50, 10_000, 4)])
-def test_jaccard_join_chains(spark, monkeypatch, frequent, pair_size, classes):
-    """Chains of edited copies around the threshold, with common and rare tokens, long and short sets."""
+@pytest.mark.parametrize("frequent, pair_size, classes, pivots", [(1 << 18, 64, 32, 16), (300, 12, 4, 1), (50, 10_000, 4, 2)])
+def test_jaccard_join_chains(spark, monkeypatch, frequent, pair_size, classes, pivots):
+    """Chains of edited copies around the threshold, with common and rare tokens, long and short sets, few and many pivots."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "COMMON_COUNT", 2 * pivots)
     monkeypatch.setattr(jaccard_join, "PAIR_SIZE", pair_size)
     monkeypatch.setattr(jaccard_join, "CLASSES", classes)
-    monkeypatch.setattr(jaccard_join, "frequent_tokens", lambda d, t, f=jaccard_join.frequent_tokens: f(d, t, frequent))
+    monkeypatch.setattr(jaccard_join, "token_grades", lambda d, t, f=jaccard_join.token_grades: f(d, t, frequent))
     rng, made = random.Random(11), []
     shared = [f"c{i}" for i in range(40)]
     for group in range(12):
@@ -339,7 +342,7 @@ def test_substring_dedup_hot_anchor(spark, monkeypatch):
     dealt = substring_dedup.dealt
 
     def counted(*given):
-        out = dealt(*given).localCheckpoint()
+        out = written(dealt(*given), "dealt")
         sizes.append((given[0].count(), [r["count"] for r in out.groupBy("shard").count().collect()]))
         return out
 
@@ -445,6 +448,32 @@ def test_lm_partitions_do_not_matter(spark, monkeypatch):
     assert np.allclose(*got, rtol=1e-6)
 
 
+def test_bpe_long_words_and_rows():
+    """Rank arrays of many words at once and the heap of long words give the library's ids."""
+    coder, library, rng = bpe.model(BYTE_BPE), Tokenizer.from_file(BYTE_BPE), random.Random(3)
+    words = ["".join(rng.choice("abcdeé st12中.,") for _ in range(rng.randint(1, 90))).strip() or "a" for _ in range(1500)]
+    words += ["a" * n for n in (1, 8, 9, 63, 64, 65, 1000)] + ["ab" * 3000]
+    for word in words:
+        pieces = coder.pieces(word)
+        want = library.encode(word, add_special_tokens=False).ids
+        assert [i for p in pieces for i in coder.encode_long(p.encode())] == want
+        assert np.frombuffer(b"".join(coder.encode_words([p.encode() for p in pieces])), "<u4").tolist() == want
+    began = time.thread_time()
+    assert coder.bytes_of[coder.encode_long(b"abcdefghij" * 30_000)[0]]
+    assert time.thread_time() - began < 30
+
+
+def test_bpe_decode_of_any_ids(spark):
+    coder = bpe.model(BYTE_BPE)
+    ids = [[], [200, 300, 50_256], list(range(120, 260)), [10_000] * 5, list(range(100, 105))]
+    flat, bounds = np.array([i for x in ids for i in x], np.int64), np.cumsum([0, *map(len, ids)])
+    data, at = coder.decode_slice(flat, bounds)
+    whole = data.tobytes()
+    assert [whole[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)] == [coder.decode(x) for x in ids]
+    df = spark.createDataFrame([(x,) for x in [*ids, None]], "ids array<int>")
+    assert [r.decoded for r in bpe.decode(df.coalesce(1), BYTE_BPE).collect()] == [*[coder.decode(x) for x in ids], ""]
+
+
 def test_token_files(spark, docs, rows, empty):
     library = Tokenizer.from_file(WORD_BPE)
     coded = [(k, [*library.encode(t or "", add_special_tokens=False).ids, 1]) for k, t, *_ in rows]
