@@ -1,9 +1,12 @@
 """Byte-pair encoding and decoding with a contiguous rank array per short word.
 
-A word keeps the list of its parts, the list of their boundaries and, beside them, the
-rank of every adjacent pair. The smallest rank is looked for by a scan, its boundary is
-deleted, and the two neighbouring ranks are looked up again. Words have a few bytes, so
-scanning a short array beats a heap. Each task keeps the ids of words it has met.
+A word of up to ``SHORT`` bytes keeps its parts, the boundaries between them (for each part
+where the next and the one before begin) and, beside them, the rank of every adjacent pair.
+The smallest rank is looked for by a scan, the leftmost of equal ones; its boundary is
+deleted, and the two neighbouring ranks are looked up again. New words of a slice are rows of
+one array, so each step scans, deletes and refreshes for all of them that still have a
+pair. Longer words keep linked parts and a heap of ranks instead, so a run of letters of any
+length takes n log n steps. Each task keeps the ids of words it has met.
 
 Null and empty texts have no ids. Repeated rows are encoded as often as they occur.
 Only the named columns are read; other columns are carried along, but a column that has
@@ -12,6 +15,8 @@ the name of a new column is replaced.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import json
 from array import array
 from collections.abc import Iterator
@@ -26,8 +31,13 @@ from pyspark.sql import types as T
 from brookmart.llm.common import text_slices
 from brookmart.llm.wordhash import Memo, Words, laid_out
 
-#: Words kept per worker; beyond it the store starts anew, so memory is bounded.
-CACHE_WORDS = 250_000
+#: Words, and pre-tokens of them, kept per worker; beyond it the store starts anew, so memory is bounded.
+CACHE_WORDS = 500_000
+CACHE_PIECES = 100_000
+#: Bytes of a word up to which its ranks are scanned; texts of words that are kept are no longer.
+SHORT = 64
+#: New words that are rows of one array.
+ROWS_AT_ONCE = 4096
 #: Pre-token pattern of byte-level vocabularies (fixed value); white space by its Unicode property.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -57,14 +67,18 @@ class RankArrayBpe:
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.merges[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
-        ids = self.byte_ids
-        self.byte_pairs = [self.merges.get(ids[a] << 20 | ids[b], _NONE) for a in range(256) for b in range(256)]
+        # The same as sorted arrays, with a last key that nothing equals.
+        pairs = sorted(self.merges)
+        self.pair_keys = np.array([*pairs, _NONE], np.int64)
+        self.pair_ranks = np.array([*(self.merges[k] for k in pairs), _NONE], np.int64)
+        self.first_ids = np.array(self.byte_ids, np.int64)
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         for token, i in added.items():
             self.bytes_of[i] = token.encode()
+        self.flat_bytes = table_of(self.bytes_of)
         self.added = {token: np.array([i], "<i4").tobytes() for token, i in added.items()}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pieces = regex.compile(PATTERN).findall
@@ -72,39 +86,103 @@ class RankArrayBpe:
         self.memo = Memo(self._word_values, CACHE_WORDS)
         self.line_end = self._encode_pieces("\n")
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """Ids of one pre-token. ``parts[i]`` is the id of what lies between boundaries i and
-        i + 1, ``ranks[i]`` the rank of the pair around boundary i + 1 with the merged id below it."""
-        merges, byte_ids, byte_pairs = self.merges.get, self.byte_ids, self.byte_pairs
-        parts = [byte_ids[b] for b in word]
-        ranks = [byte_pairs[a << 8 | b] for a, b in zip(word, word[1:])]  # noqa: B905
-        while ranks:
-            best = min(ranks)
-            if best == _NONE:
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of pairs of ids, with the merged id below it."""
+        asked = left << 20 | right
+        at = np.searchsorted(self.pair_keys, asked)
+        return np.where(self.pair_keys[at] == asked, self.pair_ranks[at], _NONE)
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens, as little-endian 32-bit integers each."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.array([len(w) for w in words], np.int64)
+        low = 0
+        for high in (8, 16, 32, SHORT):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            for first in range(0, len(rows), ROWS_AT_ONCE):
+                some = rows[first:first + ROWS_AT_ONCE]
+                for i, ids in zip(some.tolist(), self._encode_rows([words[i] for i in some.tolist()], sizes[some], high), strict=True):
+                    out[i] = ids
+            low = high
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = array("i", self.encode_long(words[i])).tobytes()
+        return out
+
+    def _encode_rows(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
+        n = len(words)
+        letters = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
+        place = np.arange(width)
+        parts = self.first_ids[letters]
+        alive = place < sizes[:, None]
+        ranks = np.full((n, width), _NONE, np.int64)  # of the pair around the boundary behind a part
+        pair = place[:-1] < sizes[:, None] - 1
+        ranks[:, :-1][pair] = self._ranks(parts[:, :-1][pair], parts[:, 1:][pair])
+        after = np.tile(place + 1, (n, 1))  # where the next part begins
+        before = np.tile(place - 1, (n, 1))
+        rows = np.arange(n)
+        while len(rows):
+            scanned = ranks[rows]
+            i = scanned.argmin(axis=1)
+            best = scanned[np.arange(len(rows)), i]
+            open_rows = best != _NONE
+            rows, i, best = rows[open_rows], i[open_rows], best[open_rows]
+            if not len(rows):
                 break
-            i = ranks.index(best)  # the leftmost of equal ranks
+            gone = after[rows, i]
+            following = after[rows, gone]
             merged = best & 0xFFFFF
-            parts[i] = merged
-            del parts[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = merges(merged << 20 | parts[i + 1], _NONE)
-            if i:
-                ranks[i - 1] = merges(parts[i - 1] << 20 | merged, _NONE)
-        return parts
-
-    def _encode_pieces(self, text: str) -> bytes:
+            parts[rows, i] = merged
+            alive[rows, gone] = False
+            ranks[rows, gone] = _NONE
+            after[rows, i] = following
+            inside = following < sizes[rows]
+            ranks[rows, i] = _NONE
+            r, p, f = rows[inside], i[inside], following[inside]
+            before[r, f] = p
+            ranks[r, p] = self._ranks(merged[inside], parts[r, f])
+            head = i > 0
+            r, p = rows[head], before[rows[head], i[head]]
+            ranks[r, p] = self._ranks(parts[r, p], merged[head])
+        ids = parts[alive].astype("<u4").tobytes()
+        ends = (np.cumsum(alive.sum(axis=1)) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+    def encode_long(self, word: bytes) -> list[int]:
+        """Ids of one pre-token of any length: linked parts, and a heap of (rank, place) with stale entries."""
+        parts: list[int | None] = [self.byte_ids[b] for b in word]
+        n, rank = len(parts), self.merges.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i] << 20 | parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            best, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != left or j >= n or parts[j] != right:
+                continue  # one of the parts has changed since
+            parts[i], parts[j] = best & 0xFFFFF, None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank(parts[i] << 20 | parts[k])) is not None:
+                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
+            p = before[i]
+            if p >= 0 and (r := rank(parts[p] << 20 | parts[i])) is not None:
+                heapq.heappush(heap, (r, p, parts[p], parts[i]))
+        return [x for x in parts if x is not None]
+
+    def _fill(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each pre-token; new ones are computed together and kept."""
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
+        if len(cache) > CACHE_PIECES:
             cache.clear()
-        out = []
-        for p in self.pieces(text):
-            got = cache.get(p)
-            if got is None:
-                got = array("i", self.encode_word(p.encode())).tobytes()
-                if len(p) <= 64:
-                    cache[p] = got
-            out.append(got)
-        return b"".join(out)
+        new = [p for p in dict.fromkeys(pieces) if p not in cache]
+        found = dict(zip(new, self.encode_words([p.encode() for p in new]), strict=True))
+        got = [cache.get(p) or found[p] for p in pieces]
+        cache.update((p, v) for p, v in found.items() if len(p) <= SHORT)
+        return got
+
+    def _encode_pieces(self, text: str) -> bytes:
+        return b"".join(self._fill(self.pieces(text)))
 
     def _encode_added(self, text: str) -> bytes:
         """Ids of any text as little-endian 32-bit integers."""
@@ -156,22 +234,67 @@ class RankArrayBpe:
 
     def _word_values(self, words: list[tuple[bytes, int]]) -> list[bytes | None]:
         """Ids of words with their leading space or line end; None where a text can't be cut there."""
-        out: list[bytes | None] = []
+        pieces: list[str] = []
+        ends: list[int | None] = []
         for word, lead in words:
-            text = word.decode()
-            if text[0].isspace() or text[-1].isspace() or any(a in text for a in self.added):
-                out.append(None)
-            elif lead == 0x0A:
-                out.append(self.line_end + self._encode_pieces(text))
+            # Letters only, or with one mark behind them: cut without the pattern.
+            text, mark = word.decode(), ""
+            space = " " if lead == 0x20 else ""
+            if text[-1] in ".,;:!?":
+                text, mark = text[:-1], text[-1]
+            if text.isascii() and text.isalpha():
+                pieces += [space + text, mark] if mark else [space + text]
             else:
-                out.append(self._encode_pieces(chr(lead) + text if lead else text))
+                text += mark
+                if text[0].isspace() or text[-1].isspace() or any(a in text for a in self.added):
+                    ends.append(None)
+                    continue
+                pieces += self.pieces(space + text if lead in (0, 0x20, 0x0A) else chr(lead) + text)
+            ends.append(len(pieces))
+        ids, out, last = self._fill(pieces), [], 0
+        for (_, lead), end in zip(words, ends, strict=True):
+            if end is None:
+                out.append(None)
+                continue
+            own = b"".join(ids[last:end])
+            out.append(self.line_end + own if lead == 0x0A else own)
+            last = end
         return out
 
+    def decode_slice(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the decoded texts in a row, and where each begins; bytes that are no UTF-8 become the replacement character."""
+        data, at = gathered(self.flat_bytes, ids, bounds)
+        whole = data.tobytes()
+        try:
+            whole.decode()
+            cut = at[1:-1][at[1:-1] < len(data)]
+            clean = not ((data[cut] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            clean = False
+        if clean:
+            return data, at
+        rows = [whole[a:b].decode("utf-8", "replace").encode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+
     def decode(self, ids: list[int]) -> str:
         of = self.bytes_of
         return b"".join([of[i] for i in ids]).decode("utf-8", "replace")
 
 
+def table_of(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings in a row, and where each begins."""
+    return np.frombuffer(b"".join(values), np.uint8), np.cumsum([0, *map(len, values)])
+
+
+def gathered(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings of the ids in a row, and where the rows of ids given by ``bounds`` begin in it."""
+    flat, begins = table
+    sizes = np.diff(begins)[ids]
+    places = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(begins[:-1][ids] - places[:-1], sizes) + np.arange(places[-1])
+    return flat[at], places[bounds]
+
+
 _loaded: dict[str, RankArrayBpe] = {}
 
 
@@ -215,18 +338,41 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
             at = batch.schema.names.index(ids)
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                texts = [bpe.decode(x or []) for x in part.column(at).to_pylist()]
-                yield _appended(part, text, pa.array(texts, pa.string()))
+                sizes = pa.compute.fill_null(pa.compute.list_value_length(part.column(at)), 0).to_numpy(zero_copy_only=False)
+                own = part.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                data, places = bpe.decode_slice(own, np.concatenate([[0], np.cumsum(sizes)]))
+                texts = pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data.tobytes()))
+                yield _appended(part, text, texts.cast(pa.string()))
 
     return docs.mapInArrow(run, _with(docs, text, T.StringType()))
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token count and SHA-256 of ids and decoded text, one row per document."""
-    coded = decode(encode(docs.select(key, text), path, text).select(key, "ids"), path)
-    return coded.select(
-        key,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """Token count and SHA-256 of ids and decoded text, one row per document.
+
+    The texts are encoded and decoded slice by slice in one pass, so ids do not leave the task.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def sha(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+        view = memoryview(data)
+        return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = model(path)
+        decimal = table_of([b"%d," % i for i in range(len(bpe.bytes_of))])
+        for batch in batches:
+            for first, part in text_slices(batch.column(1)):
+                ids, bounds = bpe.encode_slice(part)
+                ids, bounds = ids.astype(np.int64), np.asarray(bounds)
+                listed, at = gathered(decimal, ids, bounds)
+                listed_sha = sha(listed, at[:-1], np.maximum(at[1:] - 1, at[:-1]))  # without the last comma
+                decoded, at = bpe.decode_slice(ids, bounds)
+                text_sha = sha(decoded, at[:-1], at[1:])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(part)), pa.array(np.diff(bounds).astype(np.int64)), listed_sha, text_sha],
+                    names=["key", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    out = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(key, text).mapInArrow(run, out).withColumnRenamed("key", key)

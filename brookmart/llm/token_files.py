@@ -92,6 +92,8 @@ def unpack(packed: bytes, width: int, first: int, n: int) -> np.ndarray:
 
 
 WORDS_AT_ONCE = 512
+#: Letters whose ids are kept beside those of whole words.
+CACHE_LETTERS = 200_000
 
 
 def split_at(ids: np.ndarray, mark: np.ndarray) -> list[np.ndarray]:
@@ -121,15 +123,39 @@ def word_encoder(path: str) -> Memo:
         between = next((t for _, t in sorted(tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
         mark = tokenizer.token_to_id(between.content) if between else None
 
+        def ids_of(text: str) -> bytes:
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+        # Where the vocabulary cuts marks from letters and lowers letters, a word of letters with a
+        # mark behind it has the ids of its lower-case letters and those of the mark.
+        marks = {m: ids_of(m) for m in ".,;:!?"}
+        parted = all(ids_of(a + m) == ids_of(a) + v for m, v in marks.items() for a in ("abc", "Stone"))
+        lowered = all(ids_of(a) == ids_of(a.lower()) for a in ("ABC", "Stone", "rivER"))
+        letters: dict[str, bytes] = {}
+
         def values(words: list[bytes]) -> list[bytes]:
+            texts, ends = [w.decode() for w in words], [b""] * len(words)
+            if len(letters) > CACHE_LETTERS:
+                letters.clear()
+            for i, text in enumerate(texts):
+                if parted and text[-1] in marks and text[:-1].isascii() and text[:-1].isalpha():
+                    text, ends[i] = text[:-1], marks[text[-1]]
+                texts[i] = text.lower() if lowered and text.isascii() and text.isalpha() else text
+            new = [t for t in dict.fromkeys(texts) if t not in letters]
+            found = dict(zip(new, computed(new), strict=True))
+            out = [(letters.get(t) or found[t]) + end for t, end in zip(texts, ends, strict=True)]
+            letters.update(found)
+            return out
+
+        def computed(words: list[str]) -> list[bytes]:
             out: list[bytes] = []
             for i in range(0, len(words), WORDS_AT_ONCE):
-                texts = [w.decode() for w in words[i:i + WORDS_AT_ONCE]]
+                texts = words[i:i + WORDS_AT_ONCE]
                 if between and not any(between.content in t for t in texts):
-                    ids = np.array(tokenizer.encode(between.content.join(texts), add_special_tokens=False).ids, "<u4")
+                    ids = np.array(tokenizer.encode_batch_fast([between.content.join(texts)], add_special_tokens=False)[0].ids, "<u4")
                     out += [x.tobytes() for x in split_at(ids, ids == mark)]
                 else:
-                    out += [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+                    out += [ids_of(t) for t in texts]
             return out
 
         _encoders[path] = Memo(values, 500_000)

@@ -99,10 +99,15 @@ class Memo:
 
     def of(self, words: Words, keys: np.ndarray, more: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
         """Values of the distinct keys, and for each word which of them it has."""
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        # Distinct keys by a hash table, in the order in which they come.
+        coded = pa.array(keys).dictionary_encode()
+        inverse = coded.indices.to_numpy()
+        listed = coded.dictionary.to_pylist()
+        first = np.empty(len(listed), np.int64)
+        first[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)  # the last to be written is the first place
         if len(self.held) > self.limit:
             self.held.clear()
-        held, listed = self.held, distinct.tolist()
+        held = self.held
         missing = [i for i, k in enumerate(listed) if k not in held]
         at = first[missing].tolist()
         asked = [words.word(j) for j in at]
