@@ -217,7 +217,6 @@ def test_jaccard_join(docs, rows, empty):
 def test_jaccard_join_chains(spark, monkeypatch, frequent, pair_size, classes, pivots):
     """Chains of edited copies around the threshold, with common and rare tokens, long and short sets, few and many pivots."""
     monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
-    monkeypatch.setattr(jaccard_join, "MANY_ROOTS", 2 if pivots < 16 else 64)
     monkeypatch.setattr(jaccard_join, "COMMON_COUNT", 2 * pivots)
     monkeypatch.setattr(jaccard_join, "PAIR_SIZE", pair_size)
     monkeypatch.setattr(jaccard_join, "CLASSES", classes)
