@@ -34,11 +34,11 @@ def _sink(after: Column) -> list[Column]:
 def route(ods: DataFrame, config: DataFrame) -> DataFrame:
     """Attach the sink of each change; rows of unknown tables and deletes are dropped.
 
-    There is one route per table name, so the planner broadcasts the routes once their
-    measured size is below its threshold; beyond it adaptive execution splits the
-    partitions of large tables.
+    There is one route per table name, so there are as many as the database has tables, however
+    long their log is. They are sent to the changes: the planner only knows the size of the
+    log, and dealing changes by table name would give each task a whole table.
     """
-    routes = config.select("source_table", "sink_table", "sink_columns", "sink_pk")
+    routes = F.broadcast(config.select("source_table", "sink_table", "sink_columns", "sink_pk"))
     return (
         ods.filter(F.col("type") != "delete")
         .join(routes, F.col("table") == F.col("source_table"))
@@ -68,7 +68,9 @@ def column_list(text: str) -> list[str]:
 def prune_columns(routed: DataFrame) -> DataFrame:
     """Keep only the ``data`` entries listed in ``sink_columns``, read as by :func:`column_list`."""
     listed = F.transform(F.split("sink_columns", ","), lambda c: F.btrim(c, F.lit(" \t\r\n")))
-    return routed.withColumn("data", F.map_filter("data", lambda key, _: F.array_contains(listed, key)))
+    # An argument of ``transform`` is read once per row, not once per entry.
+    kept = F.transform(F.array(listed), lambda names: F.map_filter("data", lambda key, _: F.array_contains(names, key)))
+    return routed.withColumn("data", F.element_at(kept, 1))
 
 
 def sink_schema(sink_columns: str) -> T.StructType:

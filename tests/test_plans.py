@@ -120,3 +120,20 @@ def test_point_in_time_join_sorts_buckets_not_tables(spark, no_broadcast):
     text = plan(queries()["dim_route_as_of"](spark, SF_DIR))
     windows = [line for line in text.splitlines() if "Window [last(" in line]
     assert len(windows) == 2 and "_bucket" in windows[0].split("], [")[-2]
+
+
+def test_routes_are_sent_to_the_changes(spark, no_broadcast):
+    """Changes are not dealt by table name, however large the log of the routes is."""
+    text = plan(queries()["dim_prune_columns"](spark, SF_DIR))
+    assert "BroadcastHashJoin" in text and "hashpartitioning(table" not in text
+
+
+def test_column_list_is_cut_once_per_row(spark):
+    from brookmart.operators import routing
+
+    rows = spark.createDataFrame([("a, c", {"a": "1", "b": "2", "c": "3"})], "sink_columns string, data map<string,string>")
+    pruned = routing.prune_columns(rows.filter("rand() < 2"))
+    assert pruned.first().data == {"a": "1", "c": "3"}
+    # The split stands outside the function of the entries.
+    optimised = pruned._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in optimised[optimised.index("map_filter"):]
