@@ -29,7 +29,8 @@ def word_graph(runs: DataFrame, costs: DataFrame) -> DataFrame:
     places = runs.select("run", F.explode(F.sequence(F.lit(0), F.length("run") - 1)).alias("start"))
     places = places.withColumn("first", F.substring("run", F.col("start") + 1, F.lit(1)))
     lengths = costs.groupBy(F.substring("word", 1, 1).alias("first")).agg(F.collect_set(F.length("word")).alias("lengths"))
-    asked = places.join(lengths, "first").select("run", "start", F.explode("lengths").alias("size"))
+    # As many rows as there are first characters: dealt by them, a task would hold all places of a common one.
+    asked = places.join(F.broadcast(lengths), "first").select("run", "start", F.explode("lengths").alias("size"))
     asked = asked.filter(F.col("start") + F.col("size") <= F.length("run"))
     found = asked.withColumn("word", F.substring("run", F.col("start") + 1, F.col("size"))).join(costs.select("word", "cost"), "word")
     edges = found.select("run", "start", (F.col("start") + F.col("size")).alias("stop"), "cost")

@@ -137,3 +137,7 @@ def test_column_list_is_cut_once_per_row(spark):
     # The split stands outside the function of the entries.
     optimised = pruned._jdf.queryExecution().optimizedPlan().toString()
     assert "split" not in optimised[optimised.index("map_filter"):]
+
+
+def test_places_are_not_dealt_by_first_character(spark, no_broadcast):
+    assert "hashpartitioning(first" not in plan(queries()["keyword_split_dictionary"](spark, SF_DIR))
\ No newline at end of file
