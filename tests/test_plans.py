@@ -140,4 +140,8 @@ def test_column_list_is_cut_once_per_row(spark):
 
 
 def test_places_are_not_dealt_by_first_character(spark, no_broadcast):
-    assert "hashpartitioning(first" not in plan(queries()["keyword_split_dictionary"](spark, SF_DIR))
\ No newline at end of file
+    assert "hashpartitioning(first" not in plan(queries()["keyword_split_dictionary"](spark, SF_DIR))
+
+def test_order_aggregate_holds_the_earliest_line_once(spark):
+    text = plan(queries()["user_province_sku_stats"](spark, SF_DIR))
+    assert "min_by" not in text and text.count("partial_min(") == 1
