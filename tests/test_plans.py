@@ -139,9 +139,19 @@ def test_column_list_is_cut_once_per_row(spark):
     assert "split" not in optimised[optimised.index("map_filter"):]
 
 
+def test_stored_orders_join_the_lines_once(spark, monkeypatch):
+    from brookmart.streaming import sinks
+
+    batches, write = [], sinks.BatchTable.__call__
+    monkeypatch.setattr(sinks.BatchTable, "__call__", lambda self, batch, number: (batches.append(plan(batch)), write(self, batch, number))[1])
+    queries()["stored_user_province_sku"](spark, SF_DIR)
+    assert len(batches) == 4 and not any("orders.parquet" in text or "Join" in text for text in batches)
+
+
 def test_places_are_not_dealt_by_first_character(spark, no_broadcast):
     assert "hashpartitioning(first" not in plan(queries()["keyword_split_dictionary"](spark, SF_DIR))
 
+
 def test_order_aggregate_holds_the_earliest_line_once(spark):
     text = plan(queries()["user_province_sku_stats"](spark, SF_DIR))
     assert "min_by" not in text and text.count("partial_min(") == 1
