@@ -139,6 +139,10 @@ def test_column_list_is_cut_once_per_row(spark):
     assert "split" not in optimised[optimised.index("map_filter"):]
 
 
+class Enough(Exception):
+    pass
+
+
 def test_stored_orders_join_the_lines_once(spark, monkeypatch):
     from brookmart.streaming import sinks
 
@@ -148,6 +152,21 @@ def test_stored_orders_join_the_lines_once(spark, monkeypatch):
     assert len(batches) == 4 and not any("orders.parquet" in text or "Join" in text for text in batches)
 
 
+def test_streamed_order_lines_are_made_once(spark, monkeypatch):
+    from brookmart.streaming import replay
+
+    fed = []
+
+    def stop(rows, *_):
+        fed.append(plan(rows))
+        raise Enough
+
+    monkeypatch.setattr(replay, "in_parts", stop)
+    with pytest.raises(Enough):
+        queries()["stream_snowflake_enrich"](spark, SF_DIR)
+    assert "orders.parquet" not in fed[0] and "Join" not in fed[0]
+
+
 def test_places_are_not_dealt_by_first_character(spark, no_broadcast):
     assert "hashpartitioning(first" not in plan(queries()["keyword_split_dictionary"](spark, SF_DIR))
 
