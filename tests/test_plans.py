@@ -167,6 +167,15 @@ def test_streamed_order_lines_are_made_once(spark, monkeypatch):
     assert "orders.parquet" not in fed[0] and "Join" not in fed[0]
 
 
+def test_cancelled_lines_come_from_the_stored_states(spark, monkeypatch):
+    from brookmart.streaming import sinks
+
+    plans, write = [], sinks.VersionTable.__call__
+    monkeypatch.setattr(sinks.VersionTable, "__call__", lambda self, batch, number: (plans.append(plan(batch)), write(self, batch, number))[1])
+    queries()["order_wide_changes"](spark, SF_DIR)
+    assert len(plans) == 3 and "lineitem.parquet" not in plans[2]
+
+
 def test_places_are_not_dealt_by_first_character(spark, no_broadcast):
     assert "hashpartitioning(first" not in plan(queries()["keyword_split_dictionary"](spark, SF_DIR))
 
