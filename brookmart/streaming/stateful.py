@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -299,16 +299,46 @@ def first_visit_stream(pages: DataFrame, event_ts: str = "event_ts") -> DataFram
     ).select(*columns)
 
 
-def bounce_stream(pages: DataFrame, within: str = "10 seconds", bucket: str | None = None) -> DataFrame:
+def _bounces_of_windows(pages: DataFrame, span: int, width: int) -> DataFrame:
+    """:func:`bounce_stream` by an aggregate: windows of a bucket and ``within`` more, one for each bucket."""
+    window = F.window("event_ts", f"{width + span} milliseconds", f"{width} milliseconds")
+    rest = [c for c in pages.columns if c not in ("ts", "id", "last_page_id")]
+    own = F.unix_millis("_win.start") + width > F.col("ts")
+    head = F.struct("ts", "id", "last_page_id")
+    held = pages.withColumn("_win", window).groupBy("mid", "_win").agg(
+        F.collect_list(F.when(own, F.struct("ts", "id", "last_page_id", *rest))).alias("_pages"),
+        F.min(F.when(~own, head)).alias("_next"),
+    )
+
+    def decided(row: Column, i: Column) -> Column:
+        following = F.get("_sorted", i + 1)
+        inside = i + 1 < F.size("_sorted")
+        gap = F.coalesce(following["ts"], F.col("_next.ts")) - row["ts"]
+        next_last = F.when(inside, following["last_page_id"]).otherwise(F.col("_next.last_page_id"))
+        outcome = F.when(row["last_page_id"].isNull(), F.when(gap.isNull() | (gap >= span), "timeout").when(next_last.isNull(), "matched"))
+        return F.struct(row.alias("row"), outcome.alias("outcome"))
+
+    told = held.select("_next", F.sort_array("_pages").alias("_sorted")).select(
+        F.explode(F.filter(F.transform("_sorted", decided), lambda d: d["outcome"].isNotNull())).alias("_told"))
+    return told.select(*[F.col(f"_told.row.{c}") for c in pages.columns], "_told.outcome")
+
+
+def bounce_stream(pages: DataFrame, within: str = "10 seconds", bucket: str | None = None, built_in: bool = False) -> DataFrame:
     """Bounces of a page stream that carries a watermark.
 
     The history of a device is cut into buckets at least ``within`` long, as on tables; each
     task lends the first page of a bucket to the bucket before. A bounce is emitted when the
     watermark has left its bucket by ``within``. Aggregate it in a second query whose
     watermark delay covers bucket and ``within``.
+
+    Every call for a key and its state goes from Python to the store and back. Where most buckets
+    hold few pages, ``built_in`` keeps them in the state of an aggregate instead, which takes a late
+    page as long as its bucket is open. Other columns must have an order.
     """
     span = seconds_of(within) * 1000
     width = max(seconds_of(bucket) * 1000 if bucket else span, span)
+    if built_in:
+        return _bounces_of_windows(pages, span, width)
     own = pages.withColumn("_bucket", F.floor(F.col("ts") / F.lit(width)).cast("bigint"))
     lent = T.StructField("_lent", T.IntegerType())
 

@@ -1,12 +1,16 @@
 """Forms that keep large tables within their limits give the rows of the plain ones."""
 
+import random
 from collections import Counter
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
-from brookmart.operators import keywords, windows
+from brookmart.operators import keywords, visits, windows
+from brookmart.plans import catalog
+from brookmart.streaming import stateful
+from tests.test_state import hot_pages
+from tests.test_streaming import PAGE, as_batch, chunks, sentinel, timed
 
 
 def plan_of(df):
@@ -17,6 +21,10 @@ def counted(df):
     return Counter(tuple(row) for row in df.select(*sorted(df.columns)).collect())
 
 
+def counted_rows(rows):
+    return Counter((r.id, r.mid, r.ts, r.last_page_id, r.event_ts, r.outcome) for r in rows)
+
+
 PHRASES = [
     *[(datetime(2024, 1, 1, 0, 0, i % 3), f"red {i} Shoes red") for i in range(6)],
     (datetime(2024, 1, 1, 0, 1, 7), "blue shoes"), (datetime(2024, 1, 1, 0, 1, 7), "blue shoes"),
@@ -38,3 +46,27 @@ def test_words_of_a_quiet_window_are_not_exchanged(spark):
     # Two branches are counted; only that of the crowded windows sends words.
     assert plan.count("Generate explode") == 2
     assert len([line for line in exchanges if "keyword" in line]) == 1
+
+
+@pytest.mark.parametrize(("bucket", "mix"), [(None, True), ("45 seconds", True), ("10 minutes", False)])
+def test_bounces_in_the_state_of_an_aggregate(spark, feed, drain, bucket, mix):
+    rows = hot_pages(5, n=400, span=1500)
+    batches = [random.Random(i).sample(c, len(c)) if mix else c for i, c in enumerate(chunks(rows, 130))]
+    stream = timed(feed([*batches, sentinel(0), sentinel(1)], PAGE))
+    got = drain(stateful.bounce_stream(stream, bucket=bucket, built_in=True))
+    want = visits.bounce_outcomes(as_batch(spark, rows))
+    assert counted_rows(r for r in got if r.id < 10_000) == counted_rows(want.collect())
+    assert {r.outcome for r in got} == {"matched", "timeout"}
+    # Once the last page has closed all buckets, nothing of these devices is left in the state.
+    assert drain.query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
+def test_query_of_bounces_calls_no_python_per_key(spark, monkeypatch, tmp_path):
+    """One call per device and bucket took most of its time."""
+    monkeypatch.setattr(stateful, "Bounces", None)
+    made = [(i, i % 3, datetime(2024, 1, 1 + i // 2, i % 24), ("view", "click", "view", "error")[i % 4], float(i), '{"k": 7}') for i in range(40)]
+    events = spark.createDataFrame(made, "event_id long, user_id long, ts timestamp, event_type string, value double, props string")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.all_queries()["stream_bounces"](spark, str(tmp_path))
+    want = catalog.all_queries()["bounce_union"](spark, str(tmp_path)).select(*got.columns)
+    assert counted(got) == counted(want) and got.count() > 0
