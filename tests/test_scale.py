@@ -6,7 +6,8 @@ from datetime import datetime
 
 import pytest
 
-from brookmart.operators import keywords, visits, windows
+from brookmart import schemas
+from brookmart.operators import keywords, visits, wide, windows
 from brookmart.plans import catalog
 from brookmart.streaming import stateful
 from tests.test_state import hot_pages
@@ -70,3 +71,37 @@ def test_query_of_bounces_calls_no_python_per_key(spark, monkeypatch, tmp_path):
     got = catalog.all_queries()["stream_bounces"](spark, str(tmp_path))
     want = catalog.all_queries()["bounce_union"](spark, str(tmp_path)).select(*got.columns)
     assert counted(got) == counted(want) and got.count() > 0
+
+
+def texts(spark, columns, rows):
+    """Text rows; columns that are not given hold their own name and the row's number."""
+    made = [tuple(row[c] if c in row else f"{c} {i}" for c in columns) for i, row in enumerate(rows)]
+    return spark.createDataFrame(made, ", ".join(f"{c} string" for c in columns))
+
+
+def test_refunds_joined_before_the_other_parts(spark):
+    lines = [("1", "o1", "s1"), ("1", "o1", "s1"), ("2", "o1", "s2"), ("3", "o2", "s1"), (None, "o2", "s2"), ("5", None, "s1"), ("6", "o9", "s9"), ("7", "o3", None)]
+    detail = texts(spark, schemas.ORDER_DETAIL, [{"id": a, "order_id": b, "sku_id": c} for a, b, c in lines])
+    info = texts(spark, schemas.ORDER_INFO, [{"id": o} for o in ("o1", "o1", "o2", "o3", None)])
+    activity = texts(spark, schemas.ORDER_DETAIL_ACTIVITY, [{"order_detail_id": d} for d in ("1", "1", "3", None)])
+    coupon = texts(spark, schemas.ORDER_DETAIL_COUPON, [{"order_detail_id": d} for d in ("2", "6", None)])
+    refunds = [("o1", "s1"), ("o1", "s1"), ("o2", "s1"), ("o2", "s2"), ("o9", "s9"), (None, "s1"), ("o3", None), ("o7", "s1")]
+    refund = texts(spark, schemas.ORDER_REFUND_INFO, [{"order_id": o, "sku_id": k} for o, k in refunds])
+    want = wide.refund_wide(refund, wide.order_wide(detail, info, activity, coupon))
+    got = wide.refund_order_wide(refund, detail, info, activity, coupon)
+    assert got.columns == want.columns == schemas.REFUND_WIDE
+    assert counted(got) == counted(want) and got.count() > 10
+
+
+def test_query_of_refunds_deals_no_wide_rows_by_sku(spark):
+    """Only lines and refunds are dealt by order and sku, before any other join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        part = texts(spark, schemas.ORDER_DETAIL, [{}])
+        refund = texts(spark, schemas.ORDER_REFUND_INFO, [{}])
+        rest = [texts(spark, columns, [{}]) for columns in (schemas.ORDER_INFO, schemas.ORDER_DETAIL_ACTIVITY, schemas.ORDER_DETAIL_COUPON)]
+        plan = plan_of(wide.refund_order_wide(refund, part, *rest))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(joins) == 4 and "sku_id" in joins[-1] and not any("sku_id" in line for line in joins[:-1])
