@@ -579,3 +579,35 @@ def test_pii_collisions(spark, monkeypatch):
     assert len(found) == 8 == len({r.surrogate for r in found})
     with pytest.raises(ValueError, match="collide"):
         pii.surrogates(spark.createDataFrame([(f"u{i}@a.org",) for i in range(50)], "raw string"), rounds=2)
+
+
+def test_lm_scoring_answers_in_stretches(spark, monkeypatch):
+    """A chunk's answers are arrays a stretch of buckets at a time, with the predictions of all at once."""
+    rng, buckets = random.Random(5), 7
+    texts = [" ".join("".join(rng.choices("abcde", k=rng.randint(1, 6))) for _ in range(200)) for _ in range(12)]
+    sent = [lm_scoring.chunk_pairs(buckets)(pa.table({"chunk": pa.array([c] * 4, pa.int64()), "text": texts[4 * c:4 * c + 4], "held_out": pa.array([0] * 4, pa.int32())})) for c in range(3)]
+    told = pa.concat_tables(
+        lm_scoring.bucket_totals(buckets)(pa.concat_tables([t.filter(pa.compute.equal(t.column("bucket"), b)) for t in sent]))
+        for b in sorted({b for t in sent for b in t.column("bucket").to_pylist()}))
+    told = told.filter(pa.compute.equal(told.column("chunk"), 1))
+    monkeypatch.setattr(lm_scoring, "PAIRS_AT_ONCE", 50)
+    answers = lm_scoring.Answers(told, buckets)
+    most = max(len(k.as_py()) // 8 for k in told.column("keys"))
+    streams = lm_scoring.streams(pa.array(texts))
+    symbols, whole = lm_scoring.Symbols(streams[4:8]), lm_scoring.count_tables(streams, None, np.ones(12))
+    got, expected = lm_scoring.Local(symbols, answers, 1), lm_scoring.Local(symbols, whole, 1)
+    for kind in range(lm_scoring.N_CONTEXTS):
+        assert all(len(keys) < 50 + most for _, keys, _ in answers.parts(kind, np.zeros(0, np.uint64)))
+        assert np.array_equal(got.stretched[kind], expected.stretched[kind])
+    assert all(np.array_equal(got.levels[k], expected.levels[k]) for k in expected.levels)
+    every = collections.Counter(w for s in streams for w in s.split(b" "))
+    assert answers.word_totals(symbols.token_keys).tolist() == [every[w] for s in streams[4:8] for w in s.split(b" ")]
+
+
+def test_lm_scoring_buckets_follow_the_text(spark, monkeypatch):
+    seen, made = [], lm_scoring.chunk_pairs
+    monkeypatch.setattr(lm_scoring, "chunk_pairs", lambda buckets: seen.append(buckets) or made(buckets))
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 100)
+    docs = spark.createDataFrame([(i, "some words of a text " * 3) for i in range(30)], "doc_id long, text string")
+    assert lm_scoring.score(docs).count() == 30
+    assert seen[0] >= 30 * 62 // 100
