@@ -33,9 +33,14 @@ def _before(name: str) -> str:
     return rf"\{{{_BLANK}(?:{other})*+{key}{_BLANK}"
 
 
+def member_or_empty(text: Column, name: str) -> Column:
+    """Text of a member's value, of the first member of that name; empty if it is not found."""
+    return F.regexp_extract(text, rf"(?s)^{_BLANK}{_before(name)}({_VALUE})", 1)
+
+
 def member(text: Column, name: str) -> Column:
-    """Text of a member's value, of the first member of that name; null if it is not found."""
-    found = F.regexp_extract(text, rf"(?s)^{_BLANK}{_before(name)}({_VALUE})", 1)
+    """:func:`member_or_empty`, null if it is not found."""
+    found = member_or_empty(text, name)
     return F.when(found != "", found)
 
 
@@ -78,5 +83,5 @@ def holds(text: Column, names: tuple[str, ...]) -> Column:
 
 def quoted(value: Column) -> Column:
     """JSON text of a string; null stays null."""
-    listed = F.to_json(F.array(value))
-    return F.when(value.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+    # The brackets of the list stand outside the quotes of its item.
+    return F.when(value.isNotNull(), F.btrim(F.to_json(F.array(value)), F.lit("[]")))

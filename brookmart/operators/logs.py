@@ -68,11 +68,13 @@ def with_new_flag(log: DataFrame, is_new: Column) -> DataFrame:
     """
     changed = ~is_new.eqNullSafe(F.col("common.is_new"))
     record = F.col("record")
-    spliced = jsontext.with_inner_member(record, "common", "is_new", "0", "1")
+    # A column of its own, so that the pattern runs once.
+    log = log.withColumn("_spliced", F.when(changed & (is_new == "0"), jsontext.with_inner_member(record, "common", "is_new", "0", "1")))
+    spliced = F.col("_spliced")
     plain = (is_new == "0") & (spliced != record) & ~jsontext.repeated(record, "common") & ~jsontext.repeated(record, "is_new")
     anew = _with_entries(F.parse_json("record"), ("common",), {"common": F.parse_json(
         _with_entries(F.col("common_all"), ("is_new",), {"is_new": _as_variant(is_new)}))})
-    log = log.withColumn("record", F.when(changed, F.when(plain, spliced).otherwise(anew)).otherwise(record))
+    log = log.withColumn("record", F.when(changed, F.when(plain, spliced).otherwise(anew)).otherwise(record)).drop("_spliced")
     return log.withColumn("common", F.col("common").withField("is_new", is_new))
 
 
@@ -126,12 +128,11 @@ def _as_variant(value: Column) -> Column:
     return value.cast("variant")
 
 
-def _item_texts(name: str) -> Column:
+def _item_texts(name: str, texts: Column) -> Column:
     """Texts of the items of an array member as received; empty where they are not found for certain.
 
     The parsed array tells how many there are.
     """
-    texts = jsontext.items(jsontext.member(F.col("record"), name))
     return F.when((F.size(texts) == F.size(name)) & ~jsontext.repeated(F.col("record"), name), texts).otherwise(F.array().cast("array<string>"))
 
 
@@ -146,10 +147,8 @@ def _item_message(item: Column, text: Column, entries: dict[str, Column]) -> Col
     return F.when(plain, jsontext.with_members(text, entries)).otherwise(anew)
 
 
-def _common_text() -> Column:
-    """The object ``common`` as received, with the repaired flag."""
-    record = F.col("record")
-    found = F.when(~jsontext.repeated(record, "common"), jsontext.member(record, "common"))
+def _common_text(found: Column) -> Column:
+    """The object ``common`` as received, with the repaired flag; ``found`` is what was cut out of the record, or null."""
     return F.coalesce(found, F.to_json(F.try_variant_get(F.try_parse_json("record"), "$.common", "variant")))
 
 
@@ -162,13 +161,22 @@ def _action_entries() -> dict[str, Column]:
 
 
 def _with_items(log: DataFrame, name: str, common_as_text: bool = True) -> DataFrame:
-    """What the messages of a record's items refer to, made once per record."""
-    common = jsontext.quoted(_common_text()) if common_as_text else _common_text()
-    return log.withColumns({
-        f"_{name}": F.when(F.size(name) > 0, _item_texts(name)),
-        "_page_id": jsontext.quoted(F.col("page.page_id")),
-        **({"_common": F.when(F.size("actions") > 0, common)} if name == "actions" else {}),
-    })
+    """What the messages of a record's items refer to, made once per record.
+
+    What a step uses more than once is a column of the step before: within one expression
+    the patterns would run again for each use.
+    """
+    record, some, actions = F.col("record"), F.size(name) > 0, name == "actions"
+    cut = {"_cut": F.when(some, jsontext.member_or_empty(record, name))}
+    if actions:
+        cut["_cut_common"] = F.when(some & ~jsontext.repeated(record, "common"), jsontext.member_or_empty(record, "common"))
+    texts = {"_texts": jsontext.items(F.col("_cut"))}
+    if actions:
+        texts["_common"] = F.when(some, _common_text(F.when(F.col("_cut_common") != "", F.col("_cut_common"))))
+    made = {f"_{name}": F.when(some, _item_texts(name, F.col("_texts"))), "_page_id": jsontext.quoted(F.col("page.page_id"))}
+    if actions and common_as_text:
+        made["_common"] = jsontext.quoted(F.col("_common"))
+    return log.withColumns(cut).withColumns(texts).withColumns(made).drop("_cut", "_cut_common", "_texts")
 
 
 def display_rows(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

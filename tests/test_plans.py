@@ -5,7 +5,7 @@ import re
 import pytest
 
 from brookmart.plans.catalog import all_queries as queries
-from brookmart.operators import changelog, latest, wide
+from brookmart.operators import changelog, latest, logs, wide
 from brookmart import schemas
 from brookmart.sources.standins import Standins
 
@@ -183,3 +183,13 @@ def test_places_are_not_dealt_by_first_character(spark, no_broadcast):
 def test_order_aggregate_holds_the_earliest_line_once(spark):
     text = plan(queries()["user_province_sku_stats"](spark, SF_DIR))
     assert "min_by" not in text and text.count("partial_min(") == 1
+
+
+def test_log_fan_out_cuts_each_part_once(spark):
+    """A pattern over a whole record stands once in the plan for displays, actions, common and the flag."""
+    raw = spark.createDataFrame([(1, '{"common":{"mid":"m","is_new":"1"},"page":{"page_id":"p"},"displays":[{"a":1}],"actions":[{"b":2}],"ts":1}')], "id long, value string")
+    made = logs.fan_out(logs.repair_log(logs.parse_records(raw)))
+    text = made._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract(") == 3
+    assert text.count("regexp_replace(") == 1
+    assert {r.value for r in made.where("topic = 'dwd_display_log'").collect()} == {'{"a":1,"ts":1,"page_id":"p"}'}
