@@ -221,9 +221,8 @@ class RankArrayBpe:
         uneven |= ~full & (np.diff(begins) > 0)
         keys = words.hashes ^ (lead.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
         values, inverse = self.memo.of(words, keys, lead)
-        odd = np.array([v is None for v in values], bool)
-        uneven[row[odd[inverse]]] = True
-        ids, places = laid_out([v or b"" for v in values], inverse)
+        uneven[row[(values.sizes < 0)[inverse]]] = True
+        ids, places = laid_out(values, inverse)
         bounds = places[offsets]
         if not uneven.any():
             return ids, bounds

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from brookmart.llm.common import text_slices
-from brookmart.llm.wordhash import Memo, Words
+from brookmart.llm.wordhash import Memo, Words, laid_out
 
 #: What precedes a word in pieces (fixed value of the vocabulary format).
 WORD_START = "▁"
@@ -138,7 +138,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 words = Words(part)
                 values, inverse = memo.of(words, words.hashes)
                 sums = np.zeros(len(inverse) + 1, np.int64)
-                np.cumsum(np.frombuffer(b"".join(values), "<u4")[inverse], out=sums[1:])
+                np.cumsum(laid_out(values, inverse)[0], out=sums[1:])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(part)), pa.array(np.diff(words.offsets).astype(np.int64)), pa.array(np.diff(sums[words.offsets]))],
                     names=[key, "n_words", "n_tokens"],

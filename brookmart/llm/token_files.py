@@ -20,7 +20,9 @@ text columns are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -92,8 +94,14 @@ def unpack(packed: bytes, width: int, first: int, n: int) -> np.ndarray:
 
 
 WORDS_AT_ONCE = 512
+#: Words kept per worker; beyond it the store starts anew.
+CACHE_WORDS = 1_000_000
 #: Letters whose ids are kept beside those of whole words.
 CACHE_LETTERS = 200_000
+#: Letters A-Z and U+00C0 to U+00DE, each one character in both cases and in normal form; as words of a text, and in UTF-8.
+LETTERS = [chr(c) for c in [*range(0x41, 0x5B), *range(0xC0, 0xDF)] if c != 0xD7]
+_LATIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]?)").fullmatch
+_LOWER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 def split_at(ids: np.ndarray, mark: np.ndarray) -> list[np.ndarray]:
@@ -113,7 +121,7 @@ def word_encoder(path: str) -> Memo:
     """
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
@@ -128,26 +136,48 @@ def word_encoder(path: str) -> Memo:
 
         # Where the vocabulary cuts marks from letters and lowers letters, a word of letters with a
         # mark behind it has the ids of its lower-case letters and those of the mark.
-        marks = {m: ids_of(m) for m in ".,;:!?"}
-        parted = all(ids_of(a + m) == ids_of(a) + v for m, v in marks.items() for a in ("abc", "Stone"))
-        lowered = all(ids_of(a) == ids_of(a.lower()) for a in ("ABC", "Stone", "rivER"))
-        letters: dict[str, bytes] = {}
+        marks = {m.encode(): ids_of(m) for m in ".,;:!?"}
+        parted = all(ids_of(a + m.decode()) == ids_of(a) + v for m, v in marks.items() for a in ("abc", "Stone", "Über", "cité"))
+        lowered = all(ids_of(a) == ids_of(a.lower()) for a in ("ABC", "Stone", "rivER", *LETTERS))
+        # Where it makes one piece of lower-case letters, they go past its normaliser and splitter.
+        plain = Tokenizer(tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+        def plain_ids(texts: list[str]) -> list[bytes]:
+            out: list[bytes] = []
+            for i in range(0, len(texts), WORDS_AT_ONCE):
+                out += [array("I", e.ids).tobytes() for e in plain.encode_batch_fast(texts[i:i + WORDS_AT_ONCE], add_special_tokens=False)]
+            return out
+
+        probes = [x.lower() for a in LETTERS for x in (a, "e" + a, a + "n", "st" + a + "nes")]
+        whole = plain_ids(probes) == [ids_of(x) for x in probes]
+        letters: dict[bytes, bytes] = {}
 
         def values(words: list[bytes]) -> list[bytes]:
-            texts, ends = [w.decode() for w in words], [b""] * len(words)
+            ends = [b""] * len(words)
             if len(letters) > CACHE_LETTERS:
                 letters.clear()
-            for i, text in enumerate(texts):
-                if parted and text[-1] in marks and text[:-1].isascii() and text[:-1].isalpha():
-                    text, ends[i] = text[:-1], marks[text[-1]]
-                texts[i] = text.lower() if lowered and text.isascii() and text.isalpha() else text
-            new = [t for t in dict.fromkeys(texts) if t not in letters]
+            for i, word in enumerate(words):
+                if (match := _LATIN(word)) is None:
+                    continue
+                own, mark = match.groups()
+                if mark and not parted:
+                    continue
+                words[i] = own if not lowered else own.lower() if own.isascii() else own.decode().lower().encode()
+                ends[i] = marks[mark] if mark else b""
+            new = [w for w in dict.fromkeys(words) if w not in letters]
             found = dict(zip(new, computed(new), strict=True))
-            out = [(letters.get(t) or found[t]) + end for t, end in zip(texts, ends, strict=True)]
             letters.update(found)
-            return out
+            return [letters[w] + end for w, end in zip(words, ends, strict=True)]
+
+        def computed(words: list[bytes]) -> list[bytes]:
+            easy = [whole and _LOWER(w) is not None for w in words]
+            texts = [w.decode() for w in words]
+            first = iter(plain_ids([t for t, e in zip(texts, easy, strict=True) if e]))
+            rest = iter(in_full([t for t, e in zip(texts, easy, strict=True) if not e]))
+            return [next(first if e else rest) for e in easy]
 
-        def computed(words: list[str]) -> list[bytes]:
+        def in_full(words: list[str]) -> list[bytes]:
             out: list[bytes] = []
             for i in range(0, len(words), WORDS_AT_ONCE):
                 texts = words[i:i + WORDS_AT_ONCE]
@@ -158,7 +188,7 @@ def word_encoder(path: str) -> Memo:
                     out += [ids_of(t) for t in texts]
             return out
 
-        _encoders[path] = Memo(values, 500_000)
+        _encoders[path] = Memo(values, CACHE_WORDS)
     return _encoders[path]
 
 

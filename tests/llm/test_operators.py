@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from brookmart.llm import bpe, decontamination, jaccard_join, lm_scoring, pii, quality_rules, substring_dedup, token_counts, token_files, url_filter
+from brookmart.llm import bpe, decontamination, jaccard_join, lm_scoring, pii, quality_rules, substring_dedup, token_counts, token_files, url_filter, wordhash
 from brookmart.llm.common import scratch, written
 from brookmart.llm.components import components
 
@@ -514,6 +515,44 @@ def test_word_ids_are_the_text_ids():
         assert ids[bounds[i]:bounds[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_word_ids_of_latin_letters_and_of_nothing():
+    """Letters past the normaliser, marks behind them, and words without ids when the store starts anew."""
+    library, memo, rng = Tokenizer.from_file(WORD_BPE), token_files.word_encoder(WORD_BPE), random.Random(5)
+    letters = [chr(c) for c in range(0xC0, 0x100)] + [*"abcstlreABCSTM'"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", ";", "!?", "\u0301", "\x85"]) for _ in range(4000)]
+    texts += ["\x85", "\x85 \x85", "it's", "IT'S."]
+    split, limit = token_files.Words(pa.array(texts)), memo.limit
+    memo.limit = 0
+    try:
+        for _ in range(2):
+            values, inverse = memo.of(split, split.hashes)
+    finally:
+        memo.limit = limit
+    ids, places = token_files.laid_out(values, inverse)
+    bounds = places[split.offsets]
+    for i, text in enumerate(texts):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_memory_of_kept_words():
+    """A word that a worker keeps takes its key, its place and its value, not Python objects."""
+    memo = wordhash.Memo(lambda words: [w if w != b"w7" else None for w in words], 1 << 30)
+    tracemalloc.start()
+    try:
+        for k in range(20):
+            words = wordhash.Words(pa.array([" ".join(f"w{i}" for i in range(10_000 * k, 10_000 * (k + 1)))]))
+            values, inverse = memo.of(words, words.hashes)
+        del words, values, inverse
+        assert tracemalloc.get_traced_memory()[0] < 200_000 * 60
+    finally:
+        tracemalloc.stop()
+    words = wordhash.Words(pa.array(["w7 w12345 new w7"]))
+    values, inverse = memo.of(words, words.hashes)
+    assert values.sizes[inverse].tolist() == [-1, 6, 3, -1]
+    data, places = wordhash.laid_out(values, inverse, 1)
+    assert data.tobytes() == b"w12345new" and places.tolist() == [0, 0, 6, 9, 9]
+
+
 def test_pii(spark, docs, rows, empty):
     made = [
         (1, 'Mail Anna.Smith@Acme.com or anna.smith@acme.com; tel +1 (743) 555-3824 or (743) 555-3824. Card 4111 1111 1111 1111. IP 10.2.3.4.'),
