@@ -290,7 +290,9 @@ def gathered(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray, bounds: np.n
     flat, begins = table
     sizes = np.diff(begins)[ids]
     places = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.repeat(begins[:-1][ids] - places[:-1], sizes) + np.arange(places[-1])
+    kind = np.int32 if max(places[-1], len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begins[:-1][ids] - places[:-1]).astype(kind), sizes)
+    at += np.arange(places[-1], dtype=kind)
     return flat[at], places[bounds]
 
 

@@ -537,6 +537,8 @@ def test_word_ids_of_latin_letters_and_of_nothing():
 def test_memory_of_kept_words():
     """A word that a worker keeps takes its key, its place and its value, not Python objects."""
     memo = wordhash.Memo(lambda words: [w if w != b"w7" else None for w in words], 1 << 30)
+    words = wordhash.Words(pa.array(["one word"]))
+    memo.of(words, words.hashes)
     tracemalloc.start()
     try:
         for k in range(20):
@@ -553,6 +555,45 @@ def test_memory_of_kept_words():
     assert data.tobytes() == b"w12345new" and places.tolist() == [0, 0, 6, 9, 9]
 
 
+def test_memory_of_word_hashes():
+    """A slice's hashes need little beside it, and no table of powers of its length is kept."""
+    texts = pa.array(["some words of a text that is cut in slices " * 25_000], pa.large_string())
+    wordhash.Words(texts.slice(0, 0))
+    tracemalloc.start()
+    try:
+        words = wordhash.Words(texts)
+        assert tracemalloc.get_traced_memory()[1] < 32 * texts.nbytes
+        del words
+        assert tracemalloc.get_traced_memory()[0] < 2 * texts.nbytes
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_windows_compared_at_once():
+    """Windows of a chunk take their hashes, anchor, text and place, and few more bytes while they are sorted."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    passage = [" ".join(rng.choice(vocabulary) for _ in range(2000)) for _ in range(40)]
+    texts = [pa.array([t], pa.large_string()) for t in passage + passage[::-1]]
+    held = [(i, i, t, np.unique(substring_dedup.Anchors(t).anchor)) for i, t in enumerate(texts)]
+    tracemalloc.start()
+    try:
+        found = substring_dedup._chunk_pieces(held)
+        first = next(found)
+        assert tracemalloc.get_traced_memory()[1] < 95 * 80 * 2000
+        rest = [first, *found]
+    finally:
+        tracemalloc.stop()
+    known = [r for r in rest if r["segment"] is None]
+    assert [(r["ka"], r["start"], r["stop"]) for r in known] == [(i, 0, 2000) for i in range(80)]
+    sent = {}
+    for r in rest:
+        if r["segment"] is not None:
+            assert r["known"] and r["segment"].split() == texts[r["ka"]][0].as_py().split()[r["start"]:r["stop"]]
+            sent[r["ka"]] = sent.get(r["ka"], 0) + r["stop"] - r["start"] - substring_dedup.SIZE + 1
+    assert sent == {i: 2000 - substring_dedup.SIZE + 1 for i in range(40)}
+
+
 def test_pii(spark, docs, rows, empty):
     made = [
         (1, 'Mail Anna.Smith@Acme.com or anna.smith@acme.com; tel +1 (743) 555-3824 or (743) 555-3824. Card 4111 1111 1111 1111. IP 10.2.3.4.'),
