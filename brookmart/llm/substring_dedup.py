@@ -148,26 +148,31 @@ def _chunk_pieces(texts: list[tuple[int, int, pa.Array, np.ndarray]]) -> Iterato
     for i, (_, _, text, recurring) in enumerate(texts):
         found = Anchors(text)
         use = np.isin(found.anchor, recurring)
-        words_of.append(found.words)
         h = found.words.hashes
         h1.append(windows(h, SIZE, 11)[found.at[use]])
         h2.append(windows(h, SIZE, 12)[found.at[use]])
         anchors.append(found.anchor[use])
-        places.append(found.at[use])
-        owners.append(np.full(int(use.sum()), i))
+        places.append(found.at[use].astype(np.int32))
+        owners.append(np.full(len(places[-1]), i, np.int32))
+        words_of.append(found.words.places())
     if not h1:
         return
     h1, h2, anchor, owner, at = map(np.concatenate, (h1, h2, anchors, owners, places))
+    del anchors, owners, places
     if not len(h1):
         return
-    order = np.lexsort((at, owner, h2, h1))
+    order = np.lexsort((h2, h1)).astype(np.int32)  # equal windows stay in the order of texts and places
     head = np.ones(len(order), bool)
     head[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
-    group = np.cumsum(head) - 1
+    del h1, h2
+    # A window has an equal one if it is not the head of its group or the next one is not a head.
+    twice = ~head
+    twice[:-1] |= ~head[1:]
     known = np.zeros(len(order), bool)
-    known[order] = np.bincount(group)[group] > 1
+    known[order] = twice
     sent = np.zeros(len(order), bool)
     sent[order[head]] = True  # one copy of each window
+    del order, head, twice
 
     def runs(use: np.ndarray, *same: np.ndarray) -> Iterator[tuple[int, int]]:
         at_use = np.flatnonzero(use)
@@ -185,9 +190,10 @@ def _chunk_pieces(texts: list[tuple[int, int, pa.Array, np.ndarray]]) -> Iterato
         yield {"ka": ka, "kb": kb, "start": int(at[a]), "stop": int(at[b]) + SIZE, "anchor": None, "known": True, "segment": None}
     for a, b in runs(sent, anchor, known):
         ka, kb = texts[owner[a]][:2]
-        w = words_of[owner[a]]
+        data, begins, ends = words_of[owner[a]]
         stop = int(at[b]) + SIZE
-        text = b" ".join(w.word(i) for i in range(int(at[a]), stop)).decode()
+        places = slice(int(at[a]), stop)
+        text = b" ".join([bytes(data[x:y]) for x, y in zip(begins[places].tolist(), ends[places].tolist(), strict=True)]).decode()
         yield {"ka": ka, "kb": kb, "start": int(at[a]), "stop": stop, "anchor": int(anchor[a].view(np.int64)), "known": bool(known[a]), "segment": text}
 
 
