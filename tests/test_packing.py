@@ -56,3 +56,11 @@ def test_lines_are_dealt_once(spark, large):
     exchanges = text.count("Exchange hashpartitioning(order_id")
     assert exchanges == 1 and "hashpartitioning(id" not in text.split("_part_line")[0]
     assert text.count("hashpartitioning(order_id") + text.count("hashpartitioning(_part_order") == 2
+
+
+def test_payments_meet_lines_where_they_lie(spark, large):
+    payment = texts(spark, schemas.PAYMENT_INFO, [{"order_id": o} for o in ("o1", "o2", "o7", None)])
+    inputs = parts_of_lines(spark)
+    paid = wide.payment_wide(payment, wide.order_wide(*inputs))
+    assert plan_of(paid).count("Exchange hashpartitioning(order_id") == 1
+    assert counted(paid) == counted(wide.payment_wide(payment, wide.order_wide(*inputs, hot=True)))
