@@ -64,3 +64,11 @@ def test_payments_meet_lines_where_they_lie(spark, large):
     paid = wide.payment_wide(payment, wide.order_wide(*inputs))
     assert plan_of(paid).count("Exchange hashpartitioning(order_id") == 1
     assert counted(paid) == counted(wide.payment_wide(payment, wide.order_wide(*inputs, hot=True)))
+
+
+def test_refunded_lines_are_dealt_packed(spark, large):
+    detail, info, activity, coupon = parts_of_lines(spark)
+    refund = texts(spark, schemas.ORDER_REFUND_INFO, [{"order_id": "o1", "sku_id": "sku_id 0"}, {"order_id": "o1", "sku_id": None}])
+    made = wide.refund_order_wide(refund, detail, info, activity, coupon)
+    assert "_line_texts" in plan_of(made)
+    assert counted(made) == counted(wide.refund_wide(refund, wide.order_wide(detail, info, activity, coupon, hot=True))) and made.count() > 0
