@@ -7,6 +7,8 @@ import pytest
 from brookmart import schemas
 from brookmart.functions.packing import packed, unpacked
 from brookmart.operators import wide
+from brookmart.plans import catalog
+from brookmart.streaming import sinks
 from tests.test_scale import counted, plan_of, texts
 
 ODD = [None, "", "0", "007", "-1.50", "1997-01-31 00:00:01", "12\n", "1E5", "E", "F", "\x01", "\x02", "a\x01b", "sku 7", "é", "٣", "1,5", " "]
@@ -72,3 +74,24 @@ def test_refunded_lines_are_dealt_packed(spark, large):
     made = wide.refund_order_wide(refund, detail, info, activity, coupon)
     assert "_line_texts" in plan_of(made)
     assert counted(made) == counted(wide.refund_wide(refund, wide.order_wide(detail, info, activity, coupon, hot=True))) and made.count() > 0
+
+
+def test_changes_of_a_version_table_deal_the_versions_once(spark, large, tmp_path):
+    rng = random.Random(7)
+    table = sinks.VersionTable(str(tmp_path / "t"), ["k"], ["seq"])
+    for number in range(4):
+        rows = [(rng.choice([*"abcdefgh", None]), number * 10 + i, rng.choice([None, "x", "y"]), rng.random() < 0.3) for i in range(6)]
+        table(spark.createDataFrame(rows, "k string, seq int, v string, gone boolean"), number)
+    for since, upto in ((9, 39), (-1, 25), (19, 19), (100, 200), (39, 9)):
+        got = table.changes(spark, since, upto, ["k", "v"], "gone")
+        old, new = (table.as_of(spark, at, "gone").select("k", "v") for at in (since, upto))
+        assert counted(got) == counted(sinks.change_feed(old, new, ["k"]))
+    # Two windows and both sides of a join dealt them four times before.
+    assert plan_of(table.changes(spark, 9, 39, ["k", "v"], "gone")).count("Exchange") == 1
+
+
+def test_deletions_are_found_by_key(spark, large, monkeypatch):
+    plans, write = [], sinks.VersionTable.__call__
+    monkeypatch.setattr(sinks.VersionTable, "__call__", lambda self, batch, number: (plans.append(plan_of(batch)), write(self, batch, number))[1])
+    catalog.all_queries()["order_wide_changes"](spark, "/root/testdata/sf0.001")
+    assert not any("sku_name" in line for line in plans[2].splitlines() if "FileScan" in line)
