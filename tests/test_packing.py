@@ -1,13 +1,16 @@
 """Rows that are dealt with their texts packed."""
 
 import random
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from brookmart import schemas
 from brookmart.functions.packing import packed, unpacked
-from brookmart.operators import wide
+from brookmart.operators import wide, windows
 from brookmart.plans import catalog
+from brookmart.sources.standins import Standins
 from brookmart.streaming import sinks
 from tests.test_scale import counted, plan_of, texts
 
@@ -95,3 +98,25 @@ def test_deletions_are_found_by_key(spark, large, monkeypatch):
     monkeypatch.setattr(sinks.VersionTable, "__call__", lambda self, batch, number: (plans.append(plan_of(batch)), write(self, batch, number))[1])
     catalog.all_queries()["order_wide_changes"](spark, "/root/testdata/sf0.001")
     assert not any("sku_name" in line for line in plans[2].splitlines() if "FileScan" in line)
+
+
+def exchanged(df) -> list[str]:
+    """Lines of the plan from each exchange to what it deals."""
+    lines = plan_of(df).splitlines()
+    return [f"{line} {lines[i + 1]}" for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+
+
+def test_windows_of_a_batch_travel_as_their_start(spark):
+    rows = spark.createDataFrame(
+        [(1, "2024-01-01 00:00:09.5"), (1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:10"), (2, "1969-12-31 23:59:59"), (2, None)], "k int, t string")
+    made = windows.tumbling(rows.withColumn("event_ts", F.col("t").cast("timestamp")), ["k"], {"n": F.count(F.lit(1))})
+    assert "window#" not in plan_of(made) and made.columns == ["k", "n", "stt", "edt"]
+    assert sorted(map(tuple, made.collect())) == [
+        (1, 1, "2024-01-01 00:00:10", "2024-01-01 00:00:20"), (1, 2, "2024-01-01 00:00:00", "2024-01-01 00:00:10"),
+        (2, 1, "1969-12-31 23:59:50", "1970-01-01 00:00:00")]
+
+
+def test_order_lines_go_to_their_orders_packed(spark, large):
+    lines = catalog._order_lines(Standins(spark, "/root/testdata/sf0.001"))
+    dealt = [line for line in exchanged(lines) if "order_id" in line and "_line_digits" in line]
+    assert len(dealt) == 1 and lines.filter("create_time is null or sku_num is null").count() == 0
