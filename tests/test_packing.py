@@ -106,6 +106,18 @@ def exchanged(df) -> list[str]:
     return [f"{line} {lines[i + 1]}" for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
 
 
+def test_enrichment_deals_neither_names_nor_province_texts(spark, large):
+    """Both came from dimensions anyway, and travelled with every row."""
+    queries = catalog.all_queries()
+    for name in ("snowflake_enrich", "snowflake_enrich_left"):
+        df = queries[name](spark, "/root/testdata/sf0.001")
+        text = plan_of(df)
+        facts = [line for line in text.splitlines() if "lineitem.parquet" in line]
+        assert facts and "'sku '" not in text and "sku  " not in text.replace("sku_", "")
+        joins = [line for line in text.splitlines() if "SortMergeJoin" in line]
+        assert "province_id" in joins[0] and "_win#" in text and "_win.end" not in text
+
+
 def test_windows_of_a_batch_travel_as_their_start(spark):
     rows = spark.createDataFrame(
         [(1, "2024-01-01 00:00:09.5"), (1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:10"), (2, "1969-12-31 23:59:59"), (2, None)], "k int, t string")
@@ -116,6 +128,15 @@ def test_windows_of_a_batch_travel_as_their_start(spark):
         (2, 1, "1969-12-31 23:59:50", "1970-01-01 00:00:00")]
 
 
+def test_order_lines_without_sku_names_give_the_same_numbers(spark):
+    rows = [("b", "1", "late", "3.00", "5", "6", "2", "4.00", "2024-01-01 00:00:03"), ("a", "1", "first", "1.00", "5", "6", "1", "2.50", "2024-01-01 00:00:03")]
+    df = spark.createDataFrame(rows, "order_detail_id string, sku_id string, sku_name string, order_price string, user_id string, province_id string,"
+                                     "sku_num string, split_total_amount string, create_time string")
+    want = windows.user_province_sku_stats(windows.order_measures(df)).drop("sku_name")
+    got = windows.user_province_sku_stats(windows.order_measures(df.drop("sku_name")))
+    assert got.columns == want.columns and counted(got) == counted(want) and got.first().sku_price == Decimal("1.00")
+
+
 def test_order_lines_go_to_their_orders_packed(spark, large):
     lines = catalog._order_lines(Standins(spark, "/root/testdata/sf0.001"))
     dealt = [line for line in exchanged(lines) if "order_id" in line and "_line_digits" in line]
